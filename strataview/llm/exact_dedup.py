@@ -24,12 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataview.llm.staging import stage
+from strataview.llm.staging import join_groups, stage
 
 #: Runs that one round merges, as a power of two.
 ROUND_BITS = 3
-#: A text with more than one in so many rows may skew a join: at most so many exist.
-HOT_SHARE = 2000
 
 ENTRY = "digest string, check_digest long, size long, keep_chars long, keep_id long, n long"
 
@@ -106,23 +104,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = rows.withColumn("n", F.lit(1).cast("long")).select("digest", "check_digest", "size", "keep_chars", "keep_id", "n")
     first = first.mapInPandas(_run, ENTRY).withColumn("run", F.spark_partition_id().cast("long"))
     winners = stage(tree_merge(first, runs).select("digest", "keep_id", F.col("n").alias("group_size")), "winners")
-    repeated = winners.where("group_size > 1")
-
-    # Groups above a fixed share of all rows are few by arithmetic: at most HOT_SHARE.
-    total = rows.count()
-    is_hot = F.col("group_size") * HOT_SHARE > F.lit(total)
-    hot = repeated.where(is_hot).select(F.col("digest").alias("hot_digest"), F.col("keep_id").alias("hot_keep"), F.col("group_size").alias("hot_size"))
-    cold = repeated.where(~is_hot).select("digest", F.col("keep_id").alias("cold_keep"), F.col("group_size").alias("cold_size"))
-    out = rows.select(F.col("keep_id").alias("doc_id"), "digest").join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
-    # rows of hot groups get a null key: they meet no partner and are not dealt to one task
-    out = out.withColumn("cold_key", F.when(F.col("hot_digest").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("doc_id").cast("string"))))
-    out = out.join(cold.withColumnRenamed("digest", "cold_key"), "cold_key", "left")
-    grouped = F.col("hot_size").isNotNull() | F.col("cold_size").isNotNull()
-    keep = F.when(grouped, F.coalesce(F.col("hot_keep"), F.col("cold_keep"))).otherwise(F.col("doc_id"))
+    rows = rows.select(F.col("keep_id").alias("doc_id"), "digest")
+    out = join_groups(rows, winners.where("group_size > 1"), "digest", "group_size", rows.count())
+    keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         keep.alias("keep_id"),
-        F.coalesce("hot_size", "cold_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )

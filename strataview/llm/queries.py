@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataview.llm.exact_dedup import exact_dedup
+from strataview.llm.jaccard_join import jaccard_join
 from strataview.llm.mixing import mix_sources
 from strataview.llm.pii import find_pii
 from strataview.llm.secrets import scan_secrets
@@ -26,6 +27,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_documents(spark, sf_dir))
 
@@ -35,7 +40,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_secrets, op5_exact_dedup, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_mixing, op4_secrets, op5_exact_dedup, op7_jaccard_join, op9_pii, op10_warc)
 }
 
 ORACLE_SQL = {

@@ -46,3 +46,25 @@ def crc_bucket(column: Column, modulus: int) -> Column:
 
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: A key with more than one in so many rows can skew a join; at most so many such keys exist.
+HOT_SHARE = 2000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` left join ``groups`` (unique by ``key``; ``size``: rows of that key).
+
+    Keys above a fixed share of all ``total`` rows are joined by broadcast, being
+    at most HOT_SHARE by arithmetic; no other key can crowd a task.
+    """
+    columns = [c for c in groups.columns if c != key]
+    is_hot = F.col(size) * HOT_SHARE > F.lit(total)
+    hot = groups.where(is_hot).select(F.col(key).alias("__hot_key"), *(F.col(c).alias(f"__hot_{c}") for c in columns))
+    cold = groups.where(~is_hot).select(F.col(key).alias("__cold_key"), *(F.col(c).alias(f"__cold_{c}") for c in columns))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
+    # rows of hot keys go by a random-looking salt that no cold key can match
+    out = out.withColumn("__salt", F.when(F.col("__hot_key").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
+    cold = cold.withColumn("__zero", F.lit(0).cast("long"))
+    out = out.join(cold, (F.col(key) == F.col("__cold_key")) & (F.col("__salt") == F.col("__zero")), "left")
+    return out.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in columns))

@@ -142,9 +142,13 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tupl
 
 def distinct_sets(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text, and where each text's begin (n + 1)."""
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
+    if len(owner) and (owner[1:] < owner[:-1]).any():
+        order = np.argsort(owner, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+    at = np.searchsorted(owner, np.arange(n + 1))
+    hashes = hashes.copy()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        hashes[a:b].sort()
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
-    return hashes, np.searchsorted(owner, np.arange(n + 1))
+    return hashes[new], np.searchsorted(owner[new], np.arange(n + 1))

@@ -161,7 +161,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-    ordered = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # a number of its own: a row of the index is small, but stands for a read of its record
+    files = index.select("file").distinct().count()
+    ordered = index.select("file", "offset", "length").repartition(max(files, 1), "file").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, RECORD)
 
 
