@@ -10,6 +10,7 @@ from strataview.llm.exact_dedup import exact_dedup
 from strataview.llm.jaccard_join import jaccard_join
 from strataview.llm.mixing import mix_sources
 from strataview.llm.pii import find_pii
+from strataview.llm.repeats import remove_repeats
 from strataview.llm.secrets import scan_secrets
 from strataview.llm.staging import read_documents
 from strataview.llm.warc import round_trip
@@ -31,6 +32,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_documents(spark, sf_dir))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_documents(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_secrets, op5_exact_dedup, op7_jaccard_join, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_mixing, op4_secrets, op5_exact_dedup, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
 }
 
 ORACLE_SQL = {
