@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strataview.llm.exact_dedup import exact_dedup
 from strataview.llm.jaccard_join import jaccard_join
 from strataview.llm.mixing import mix_sources
+from strataview.llm.ngram_lm import score_documents
 from strataview.llm.pii import find_pii
 from strataview.llm.repeats import remove_repeats
 from strataview.llm.secrets import scan_secrets
@@ -20,6 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_documents(spark, sf_dir))
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_documents(spark, sf_dir))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_documents(spark, sf_dir))
 
@@ -45,7 +50,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_secrets, op5_exact_dedup, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_mixing, op3_ngram_lm, op4_secrets, op5_exact_dedup, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
 }
 
 ORACLE_SQL = {
