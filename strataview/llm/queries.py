@@ -14,6 +14,7 @@ from strataview.llm.pii import find_pii
 from strataview.llm.repeats import remove_repeats
 from strataview.llm.secrets import scan_secrets
 from strataview.llm.staging import read_documents
+from strataview.llm.toxicity import score_toxicity
 from strataview.llm.warc import round_trip
 
 
@@ -21,6 +22,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
+
+
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_ngram_lm, op4_secrets, op5_exact_dedup, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_mixing, op2_toxicity, op3_ngram_lm, op4_secrets, op5_exact_dedup, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
 }
 
 ORACLE_SQL = {
