@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataview.llm.decontaminate import find_contamination
 from strataview.llm.exact_dedup import exact_dedup
 from strataview.llm.jaccard_join import jaccard_join
 from strataview.llm.mixing import mix_sources
@@ -38,6 +39,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_toxicity, op3_ngram_lm, op4_secrets, op5_exact_dedup, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_mixing, op2_toxicity, op3_ngram_lm, op4_secrets, op5_exact_dedup, op6_decontamination, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
 }
 
 ORACLE_SQL = {
