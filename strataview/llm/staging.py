@@ -68,3 +68,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     cold = cold.withColumn("__zero", F.lit(0).cast("long"))
     out = out.join(cold, (F.col(key) == F.col("__cold_key")) & (F.col("__salt") == F.col("__zero")), "left")
     return out.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in columns))
+
+
+#: Rows of ids that may be broadcast (counted before).
+BROADCAST_ROWS = 100_000
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows whose values equal a row of ``dropped`` (null-safe).
+
+    ``on``: column of ``dropped`` to the expression over ``docs``.  Few rows are broadcast, more
+    are joined by shuffle.
+    """
+    names = {name: f"__dropped_{name}" for name in on}
+    dropped = stage(dropped.select(*(F.col(n).alias(new) for n, new in names.items())).distinct(), "dropped")
+    if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    match = F.lit(True)
+    for name, expression in on.items():
+        match = match & expression.eqNullSafe(F.col(names[name]))
+    return docs.join(dropped, match, "left_anti")
