@@ -6,16 +6,18 @@ link into a group if it shares at least ``threshold * |query|`` tokens with that
 only groups that reach the bound are opened and compared member by member.
 
 The matrix is laid out by token: every node contributes its rarest
-``|x| - ceil(t|x|) + 1`` tokens (two linked nodes share one of those at least), and one pass
-over the rows sorted by token drops the tokens that a single node has.  Groups are made in two
-rounds:
-
-1. every node queries the smallest node of each of its tokens (groups of one).  The links
-   found give components: the groups of similar nodes, a clique of n copies at n - 1
-   tests instead of n * n / 2;
+``|x| - ceil(t|x|) + l`` tokens, with ``l = 1 + |x| / 10``; of two linked nodes these parts share
+``l`` tokens at least (the smaller node's l).  One pass over the rows sorted by token drops
+the tokens that a single node has.  Groups are made in two rounds:
+
+1. every node queries the smallest node of each of its tokens (groups of one), if the
+   tokens they share and those that may follow the last shared one can reach the threshold.
+   The links found give components: the groups of similar nodes, a clique of n copies at
+   n - 1 tests instead of n * n / 2;
 2. tokens that still occur in several groups send the nodes of the lower group as
-   queries to the higher groups.  Components are opened in blocks of ``BLOCK`` members, each
-   with its own token union and bound.
+   queries to the higher groups, if the query's part shares ``l`` tokens with the group's
+   union.  Components are opened in blocks of ``BLOCK`` members, each with its own
+   whole token union and bound.
 
 "Rarest" follows a fixed-size count sketch over all documents.  It only orders the tokens, so
 its collisions cost speed, never links; common lines and passages come last and are
@@ -39,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataview.llm.components import connected_components
-from strataview.llm.staging import join_groups, stage
+from strataview.llm.staging import join_groups, keep_rows, stage
 from strataview.llm.textkit import distinct_sets, mix, shingle_hashes, steps, text_buffers
 
 WORDS = 5
 #: Threshold as hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SKETCH_BITS, SLICES = 18, 16
+#: One more token is contributed, and must be shared, for every so many of a node.
+SPARE = 10
 #: Members of a block that is opened at once, and queries sent to one copy of it.
 BLOCK, QUERIES_A_COPY = 128, 2000
 _SEED1, _SEED2 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -130,44 +134,57 @@ def _matrix_rows(words: int, percent: int, sketch):
                 wanted = np.zeros(len(n), bool)
                 wanted[first] = True
                 wanted &= n > 0
-                share = n - (percent * n + 99) // 100 + 1
+                share = np.minimum(n, n - (percent * n + 99) // 100 + 1 + n // SPARE)
                 owner = np.repeat(np.arange(len(n)), n)
                 key = (owner.astype(np.int64) << 8) | rarity[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(key, kind="stable")  # ties keep the order of the hashes
                 rank = np.arange(len(order)) - np.repeat(at[:-1], n)
                 take = (rank < share[owner]) & wanted[owner]
                 picked = order[take]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[picked].view(np.int64)), pa.array(node[owner[take]])], ["token", "node"])
+                columns = [tokens[picked].view(np.int64), node[owner[take]], rank[take].astype(np.int32), n[owner[take]].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "rank", "size"])
 
     return run
 
 
+MATRIX = "token long, node long, rank int, size int, head long, head_rank int, head_size int"
+
+
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and node: distinct rows whose token has two nodes or more.
+    """Of rows sorted by token and node: distinct rows whose token has two nodes or more,
+    each with the token's first node.
 
-    The last row of a batch waits for the next one; of a run that goes on only that row
-    is held, never the run.
+    The last row of a batch waits for the next one; of a run that goes on only that row and the
+    run's first are held, never the run.
     """
-    token = node = np.zeros(0, np.int64)
-    shared = False  # the waiting row's token has had another node
+    names = ["token", "node", "rank", "size", "head", "head_rank", "head_size"]
+    held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)] * 2
+    head: list | None = None  # of the waiting row's token, if that has had another node
     for batch in batches:
-        token = np.concatenate([token, batch.column(0).to_numpy(zero_copy_only=False)])
-        node = np.concatenate([node, batch.column(1).to_numpy(zero_copy_only=False)])
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node = token[new], node[new]
+        rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        rows = [r[new] for r in rows]
+        token = rows[0]
         if not len(token):
             continue
         follows = np.zeros(len(token), bool)
         follows[1:] = token[1:] == token[:-1]
-        follows[0] = shared
+        first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(token))))
+        heads = [r[first] for r in rows[1:]]
+        if head is not None:
+            follows[0] = True
+            run = token == token[0]
+            for column, value in zip(heads, head, strict=True):
+                column[run] = value
         keep = follows.copy()
         keep[:-1] |= token[:-1] == token[1:]
-        shared = bool(follows[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(token[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], ["token", "node"])
-        token, node = token[-1:], node[-1:]
-    if shared:
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], ["token", "node"])
+        keep[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*rows, *heads)], names)
+        held = [r[-1:] for r in rows]
+        head = [c[-1] for c in heads] if follows[-1] else None
+    if head is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, *(np.array([v]) for v in head))], names)
 
 
 def _sets(words: int):
@@ -243,27 +260,37 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if nodes.where("c1 <> c2").limit(1).count():
         raise ValueError("two different shingle sets share an identity")
 
-    matrix = texts.mapInArrow(_matrix_rows(words, percent, sketch), "token long, node long")
-    matrix = stage(matrix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, "token long, node long"), "matrix")
+    matrix = texts.mapInArrow(_matrix_rows(words, percent, sketch), "token long, node long, rank int, size int")
+    matrix = stage(matrix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, MATRIX), "matrix")
+
+    def spare(size: str):
+        return F.floor(F.col(size) / SPARE) + 1
 
     # round 1: groups of one, the smallest node of each token
-    heads = matrix.groupBy("token").agg(F.min("node").alias("grp"))
-    first = stage(matrix.join(heads, "token").where("node <> grp").select(F.col("node").alias("query"), "grp").distinct(), "candidates")
-    involved = matrix.select("node").distinct().join(nodes, "node").select("least_id", "node")
-    sets = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi").mapInArrow(_sets(words), "node long, tokens array<long>")
-    sets = stage(sets, "sets")
+    pairs = matrix.where("node <> head").groupBy(F.col("node").alias("query"), F.col("head").alias("grp"))
+    pairs = pairs.agg(F.count("*").alias("c"), F.max("rank").alias("i"), F.max("head_rank").alias("j"), F.max("size").alias("n"), F.max("head_size").alias("m"))
+    reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    able = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + percent) >= percent * (F.col("n") + F.col("m")))
+    first = stage(pairs.where(able).select("query", "grp"), "candidates")
     own = first.select("grp").distinct().withColumn("member", F.col("grp"))
+
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        found = nodes.join(wanted, "node", "left_semi")
+        few = keep_rows(texts, found, "least_id", F.col("doc_id"))
+        return stage(few.mapInArrow(_sets(words), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+
+    sets = with_sets(first.select(F.col("query").alias("node")).unionByName(first.select(F.col("grp").alias("node"))).distinct())
     links = stage(query_groups(first, own, sets, percent), "links")
     groups = stage(connected_components(links), "groups")
 
     # round 2: tokens that several groups still share
-    placed = matrix.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    by_group = placed.groupBy("token", "g").agg(F.count("*").alias("n"))
-    several = by_group.groupBy("token").agg(F.max("g").alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    open_tokens = stage(placed.join(several, "token").select("token", "node", "g", "top"), "open-tokens")
-    higher = open_tokens.select("token", F.col("g").alias("grp")).distinct()
-    second = open_tokens.where("g < top").join(higher, "token").where("g < grp").select(F.col("node").alias("query"), "grp").distinct()
-    second = stage(second.join(first.select("query", "grp"), ["query", "grp"], "left_anti"), "candidates")
+    placed = matrix.select("token", "node", "size").join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    spans = placed.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("top")).where("low < top")
+    open_tokens = stage(placed.join(spans, "token").select("token", "node", "size", "g", "top"), "open-tokens")
+    higher = open_tokens.groupBy("token", F.col("g").alias("grp")).agg(F.min("size").alias("m"))
+    shared = open_tokens.where("g < top").join(higher, "token").where("g < grp").groupBy(F.col("node").alias("query"), "grp")
+    shared = shared.agg(F.count("*").alias("c"), F.max("size").alias("n"), F.min("m").alias("m")).where(F.col("c") >= F.least(spare("n"), spare("m")))
+    second = stage(shared.select("query", "grp").join(first.select("query", "grp"), ["query", "grp"], "left_anti"), "candidates")
     targets = second.select("grp").distinct()
     blocks = groups.join(targets.withColumnRenamed("grp", "component"), "component").select("component", F.col("node").alias("member"))
     lone = targets.join(groups.select(F.col("component").alias("grp")).distinct(), "grp", "left_anti").select("grp", F.col("grp").alias("member"), F.lit(0).alias("block"))
@@ -273,7 +300,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = stage(blocks, "blocks")
     per_block = second.join(blocks.select("grp", "block").distinct(), "grp").select("query", F.struct("grp", "block").alias("grp"))
     members = blocks.select(F.struct("grp", "block").alias("grp"), "member")
-    more = query_groups(per_block, members, sets, percent)
+    more_sets = with_sets(second.select(F.col("query").alias("node")).unionByName(blocks.select(F.col("member").alias("node"))).distinct())
+    more = query_groups(per_block, members, more_sets, percent)
     every = links.unionByName(more)
     final = connected_components(every)
 

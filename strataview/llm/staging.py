@@ -88,3 +88,11 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, on: dict[str, Column]) -> Dat
     for name, expression in on.items():
         match = match & expression.eqNullSafe(F.col(names[name]))
     return docs.join(dropped, match, "left_anti")
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, name: str, on: Column) -> DataFrame:
+    """``docs`` whose ``on`` equals a value of column ``name`` of ``kept`` (null-safe); few are broadcast."""
+    kept = stage(kept.select(F.col(name).alias("__kept")).distinct(), "kept")
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    return docs.join(kept, on.eqNullSafe(F.col("__kept")), "left_semi")

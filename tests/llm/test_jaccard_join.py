@@ -72,8 +72,9 @@ def test_edge_cases(spark):
 def test_shared_only_across_batches():
     rng = np.random.default_rng(0)
     rows = np.unique(rng.integers(0, 30, (200, 2)), axis=0)
+    counts, heads = np.bincount(rows[:, 0]), {t: n for t, n in rows[::-1].tolist()}
     for size in (1, 2, 3, 7, 500):
-        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + size, 0]), pa.array(rows[k : k + size, 1])], ["token", "node"]) for k in range(0, len(rows), size)]
-        got = [(t, n) for b in jj._shared_only(iter(batches)) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        counts = np.bincount(rows[:, 0])
-        assert got == [(t, n) for t, n in rows.tolist() if counts[t] > 1]
+        columns = [rows[:, 0], rows[:, 1], (rows[:, 1] * 2).astype(np.int32), (rows[:, 1] * 3).astype(np.int32)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in columns], ["token", "node", "rank", "size"]) for k in range(0, len(rows), size)]
+        got = [r for b in jj._shared_only(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert got == [(t, n, 2 * n, 3 * n, heads[t], 2 * heads[t], 3 * heads[t]) for t, n in rows.tolist() if counts[t] > 1]
