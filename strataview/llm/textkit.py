@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
