@@ -1,0 +1 @@
+"""Spark-native exploration of data whose real shape is unknown."""

@@ -51,7 +51,7 @@ def decode_triple(a: Column, b: Column, c: Column) -> Column:
 
 def decode_timestamp(v: Column) -> Column:
     """A Spark timestamp to Gregorian seconds."""
-    return F.unix_seconds(v) + EPOCH
+    return F.unix_seconds(v.cast("timestamp")) + EPOCH
 
 
 def to_gmsecs(g: Column) -> Column:

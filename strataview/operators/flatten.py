@@ -105,3 +105,12 @@ def facts(df: DataFrame, value: Column, dtype: T.DataType, name: str = "row", ca
     """Facts of ``value`` for every record of ``df``; the columns ``keep`` come along."""
     array = facts_of(value, dtype, F.lit("$"), name, frozenset(categorical), depth)
     return df.select(*keep, F.inline(array))
+
+
+def field_paths(dtype: T.DataType, path: str = "$") -> list[str]:
+    """Paths of the schema's fields in their order."""
+    if isinstance(dtype, T.StructType):
+        return [p for f in dtype.fields for p in (f"{path}.{f.name}", *field_paths(f.dataType, f"{path}.{f.name}"))]
+    if isinstance(dtype, T.ArrayType):
+        return field_paths(dtype.elementType, f"{path}[]")
+    return []

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from strataview.functions.hashing import hash32
 from strataview.functions.hierarchy import RANK
 from strataview.operators.flatten import facts as make_facts
+from strataview.operators.flatten import field_paths
 from strataview.operators.merge import first_of, last_of, with_span
 from strataview.operators.sketches import NODE, estimates, register_index, register_rank, sample
 from strataview.plans.options import Options, make_options
@@ -52,7 +53,7 @@ def probe_facts(df: DataFrame, probe=0, options: Options | None = None, where=No
     chosen = select(df, selector)
     if isinstance(chosen.dtype, T.NullType):
         df = df.limit(0)
-    elif selector not in (0, (), []):
+    elif not (isinstance(selector, (int, tuple, list)) and selector in (0, (), [])):
         df = df.where(chosen.ok)
 
     def attribute(name: str):
@@ -125,7 +126,7 @@ def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **give
         dictionary = dictionary.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= options.dict_cap).drop("__r")
     histogram = flat.where(F.col("class").isin(*HISTOGRAMS) & F.col("len").isNotNull()).groupBy(*NODE, F.col("len").alias("bucket")).agg(F.count("*").alias("n"))
 
-    meta = {**asdict(options), "probe": repr(probe), "started": started, "processed": None, "truncated": []}
+    meta = {**asdict(options), "probe": repr(probe), "fields": field_paths(select(df, normalize_probe(probe)[0]).dtype), "started": started, "processed": None, "truncated": []}
     spec = RawSpec(nodes, registers, samples, extremes, dictionary, histogram, meta)
     if options.output_path:
         processed = (df.limit(options.limit) if options.limit is not None else df).count()

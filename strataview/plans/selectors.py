@@ -8,7 +8,6 @@ key or element, or null on the way) is skipped: it counts as processed, but is n
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,9 +58,9 @@ def select(df: DataFrame, selector) -> Selected:
         steps = steps[0].split(".")
     out, first = whole, True
     for step in steps:
-        if step == 0 and not isinstance(step, bool):
+        if not isinstance(step, Column) and step == 0:
             continue
-        if isinstance(step, Column) or isinstance(step, Callable):
+        if isinstance(step, Column) or callable(step):
             value = step if isinstance(step, Column) else step(out.value)
             dtype = df.select(value.alias("v")).schema[0].dataType
             out = Selected(value, dtype, out.ok & value.isNotNull())

@@ -10,6 +10,7 @@ import json
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from strataview.operators import merge as M
@@ -35,6 +36,10 @@ class Spec:
     def tables(self) -> dict[str, DataFrame]:
         return {t: df for t in TABLES if (df := getattr(self, t)) is not None}
 
+    def persist(self):
+        """Keep the tables in memory for repeated reading."""
+        return replace(self, **{name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in self.tables().items()})
+
     def save(self, path: str, mode: str = "errorifexists") -> None:
         """Write the tables and the metadata below ``path``."""
         spark = self.nodes.sparkSession
