@@ -10,14 +10,14 @@ The matrix is laid out by token: every node contributes its rarest
 ``l`` tokens at least (the smaller node's l).  One pass over the rows sorted by token drops
 the tokens that a single node has.  Groups are made in two rounds:
 
-1. every node queries the smallest node of each of its tokens (groups of one), if the
-   tokens they share and those that may follow the last shared one can reach the threshold.
-   The links found give components: the groups of similar nodes, a clique of n copies at
-   n - 1 tests instead of n * n / 2;
+1. star rounds: every node queries one node of each of its tokens, that of the least group
+   (at first every node is a group), if the tokens they share and those that may follow the
+   last shared one can reach the threshold.  The links found give components: the groups of
+   similar nodes, a clique of n copies at about n tests instead of n * n / 2;
 2. tokens that still occur in several groups send the nodes of the lower group as
    queries to the higher groups, if the query's part shares ``l`` tokens with the group's
-   union.  Components are opened in blocks of ``BLOCK`` members, each with its own
-   whole token union and bound.
+   union and its other tokens could make up the rest.  Components are opened in blocks of
+   ``BLOCK`` members, each with its own whole token union and bound.
 
 "Rarest" follows a fixed-size count sketch over all documents.  It only orders the tokens, so
 its collisions cost speed, never links; common lines and passages come last and are
@@ -47,7 +47,9 @@ from strataview.llm.textkit import distinct_sets, mix, shingle_hashes, steps, te
 WORDS = 5
 #: Threshold as hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-SKETCH_BITS, SLICES = 18, 16
+SKETCH_BITS, SLICES = 20, 64
+#: Rounds in which every token has one head.
+STARS = 3
 #: One more token is contributed, and must be shared, for every so many of a node.
 SPARE = 10
 #: Members of a block that is opened at once, and queries sent to one copy of it.
@@ -74,13 +76,14 @@ def _describe(words: int):
     """Rows of the documents, and the slices of this task's count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["doc_id", "n_shingles", "node", "check", "slice", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for whole in batches:
             for batch in steps(whole):
                 tokens, at = document_sets(batch, words)
-                sketch += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                places, times = np.unique((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                sketch[places] += times.astype(np.int32)
                 n = np.diff(at)
                 node, check = set_ids(tokens, at)
                 empty = n == 0
@@ -115,9 +118,7 @@ def count_sketch(described: DataFrame) -> np.ndarray:
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for row in rows:
         sketch[row["slice"]] += np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    flat = sketch.ravel()
-    # octaves are enough to tell common tokens, and fit a byte
-    return np.ceil(4 * np.log2(1 + flat)).astype(np.uint8)
+    return np.minimum(sketch.ravel(), (1 << 31) - 1).astype(np.int32)
 
 
 def _matrix_rows(words: int, percent: int, sketch):
@@ -136,7 +137,7 @@ def _matrix_rows(words: int, percent: int, sketch):
                 wanted &= n > 0
                 share = np.minimum(n, n - (percent * n + 99) // 100 + 1 + n // SPARE)
                 owner = np.repeat(np.arange(len(n)), n)
-                key = (owner.astype(np.int64) << 8) | rarity[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                key = (owner.astype(np.int64) << 32) | rarity[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(key, kind="stable")  # ties keep the order of the hashes
                 rank = np.arange(len(order)) - np.repeat(at[:-1], n)
                 take = (rank < share[owner]) & wanted[owner]
@@ -266,31 +267,57 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def spare(size: str):
         return F.floor(F.col(size) / SPARE) + 1
 
-    # round 1: groups of one, the smallest node of each token
-    pairs = matrix.where("node <> head").groupBy(F.col("node").alias("query"), F.col("head").alias("grp"))
-    pairs = pairs.agg(F.count("*").alias("c"), F.max("rank").alias("i"), F.max("head_rank").alias("j"), F.max("size").alias("n"), F.max("head_size").alias("m"))
-    reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    able = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + percent) >= percent * (F.col("n") + F.col("m")))
-    first = stage(pairs.where(able).select("query", "grp"), "candidates")
-    own = first.select("grp").distinct().withColumn("member", F.col("grp"))
+    sets: DataFrame | None = None
 
     def with_sets(wanted: DataFrame) -> DataFrame:
-        found = nodes.join(wanted, "node", "left_semi")
-        few = keep_rows(texts, found, "least_id", F.col("doc_id"))
-        return stage(few.mapInArrow(_sets(words), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
-
-    sets = with_sets(first.select(F.col("query").alias("node")).unionByName(first.select(F.col("grp").alias("node"))).distinct())
-    links = stage(query_groups(first, own, sets, percent), "links")
-    groups = stage(connected_components(links), "groups")
-
-    # round 2: tokens that several groups still share
-    placed = matrix.select("token", "node", "size").join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    spans = placed.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("top")).where("low < top")
-    open_tokens = stage(placed.join(spans, "token").select("token", "node", "size", "g", "top"), "open-tokens")
-    higher = open_tokens.groupBy("token", F.col("g").alias("grp")).agg(F.min("size").alias("m"))
-    shared = open_tokens.where("g < top").join(higher, "token").where("g < grp").groupBy(F.col("node").alias("query"), "grp")
-    shared = shared.agg(F.count("*").alias("c"), F.max("size").alias("n"), F.min("m").alias("m")).where(F.col("c") >= F.least(spare("n"), spare("m")))
-    second = stage(shared.select("query", "grp").join(first.select("query", "grp"), ["query", "grp"], "left_anti"), "candidates")
+        """Whole sets of the nodes ``wanted``; those fetched before are not computed again."""
+        nonlocal sets
+        lacking = wanted.distinct() if sets is None else wanted.distinct().join(sets.select("node"), "node", "left_anti")
+        found = stage(nodes.join(lacking, "node", "left_semi").select("least_id"), "lacking")
+        if sets is None or found.limit(1).count():
+            few = keep_rows(texts, found, "least_id", F.col("doc_id"))
+            made = stage(few.mapInArrow(_sets(words), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+            sets = made if sets is None else sets.unionByName(made.join(sets.select("node"), "node", "left_anti"))
+        return sets
+
+    # star rounds: every node queries one node of each of its tokens, that of the least group
+    heads = matrix.where("node <> head").select("token", F.col("node").alias("query"), "rank", "size", F.col("head").alias("grp"), "head_rank", "head_size")
+    links = tested = None
+    for _ in range(STARS):
+        pairs = heads.groupBy("query", "grp")
+        pairs = pairs.agg(F.count("*").alias("c"), F.max("rank").alias("i"), F.max("head_rank").alias("j"), F.max("size").alias("n"), F.max("head_size").alias("m"))
+        reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+        able = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + percent) >= percent * (F.col("n") + F.col("m")))
+        first = pairs.where(able).select("query", "grp")
+        first = stage(first if tested is None else first.join(tested, ["query", "grp"], "left_anti"), "candidates")
+        if tested is not None and not first.limit(1).count():
+            break
+        tested = first if tested is None else tested.unionByName(first)
+        ends = first.select(F.col("query").alias("node")).unionByName(first.select(F.col("grp").alias("node")))
+        own = first.select("grp").distinct().withColumn("member", F.col("grp"))
+        found = stage(query_groups(first, own, with_sets(ends), percent), "links")
+        links = found if links is None else links.unionByName(found)
+        groups = stage(connected_components(links), "groups")
+        members_of = groups.groupBy("component").agg(F.count("*").alias("members"))
+        named = groups.join(members_of, "component").select("node", F.col("component").alias("g"), "members")
+        placed = matrix.select("token", "node", "rank", "size").join(named, "node", "left").withColumn("g", F.coalesce("g", "node"))
+        spans = placed.groupBy("token").agg(F.min(F.struct("g", "node", "rank", "size")).alias("head"), F.max("g").alias("top")).where("head.g < top")
+        open_tokens = stage(placed.join(spans, "token"), "open-tokens")
+        heads = open_tokens.where("g <> head.g").select("token", F.col("node").alias("query"), "rank", "size", F.col("head.node").alias("grp"), F.col("head.rank").alias("head_rank"), F.col("head.size").alias("head_size"))
+
+    # last round: tokens that several groups still share
+    # a group of one has a place for each token, a larger one only its least and greatest size
+    higher = open_tokens.groupBy("token", F.col("g").alias("grp")).agg(
+        F.min("size").alias("m"), F.max("size").alias("most"), F.max(F.when(F.col("members").isNull(), F.col("rank"))).alias("at")
+    )
+    near = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("most") >= percent * F.col("n"))
+    shared = open_tokens.where("g < top").withColumnRenamed("size", "n").join(higher, "token").where((F.col("g") < F.col("grp")) & near).groupBy(F.col("node").alias("query"), "grp")
+    shared = shared.agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("m").alias("m"), F.max("rank").alias("i"), F.max("at").alias("j"))
+    own_left = F.col("n") - F.col("i")
+    reach = F.col("c") + F.least(own_left, F.coalesce(F.col("m") - F.col("j"), own_left)) - 1
+    able = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (reach * 100 >= percent * F.col("n"))
+    shared = shared.where(able)
+    second = stage(shared.select("query", "grp"), "candidates")
     targets = second.select("grp").distinct()
     blocks = groups.join(targets.withColumnRenamed("grp", "component"), "component").select("component", F.col("node").alias("member"))
     lone = targets.join(groups.select(F.col("component").alias("grp")).distinct(), "grp", "left_anti").select("grp", F.col("grp").alias("member"), F.lit(0).alias("block"))
@@ -300,8 +327,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = stage(blocks, "blocks")
     per_block = second.join(blocks.select("grp", "block").distinct(), "grp").select("query", F.struct("grp", "block").alias("grp"))
     members = blocks.select(F.struct("grp", "block").alias("grp"), "member")
-    more_sets = with_sets(second.select(F.col("query").alias("node")).unionByName(blocks.select(F.col("member").alias("node"))).distinct())
-    more = query_groups(per_block, members, more_sets, percent)
+    ends = second.select(F.col("query").alias("node")).unionByName(blocks.select(F.col("member").alias("node")))
+    more = query_groups(per_block, members, with_sets(ends), percent)
     every = links.unionByName(more)
     final = connected_components(every)
 
