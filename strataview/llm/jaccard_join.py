@@ -6,17 +6,18 @@ link into a group if it shares at least ``threshold * |query|`` tokens with that
 only groups that reach the bound are opened and compared member by member.
 
 The matrix is laid out by token: every node contributes its rarest
-``|x| - ceil(t|x|) + l`` tokens, with ``l = 1 + |x| / 10``; of two linked nodes these parts share
-``l`` tokens at least (the smaller node's l).  One pass over the rows sorted by token drops
+``|x| - ceil(t|x|) + l`` tokens, with ``l = 1 + |x| / 40``; of two linked nodes these parts share
+``l`` tokens at least (the smaller node's l), and of the smaller node its rarest
+``|x| - ceil(2t / (1 + t) |x|) + l`` are enough.  One pass over the rows sorted by token drops
 the tokens that a single node has.  Groups are made in two rounds:
 
 1. star rounds: every node queries one node of each of its tokens, that of the least group
    (at first every node is a group), if the tokens they share and those that may follow the
    last shared one can reach the threshold.  The links found give components: the groups of
    similar nodes, a clique of n copies at about n tests instead of n * n / 2;
-2. tokens that still occur in several groups send the nodes of the lower group as
-   queries to the higher groups, if the query's part shares ``l`` tokens with the group's
-   union and its other tokens could make up the rest.  Components are opened in blocks of
+2. tokens that still occur in several groups send their nodes as queries to the groups of
+   no larger nodes, if the query's part shares ``l`` tokens with the union of the group's (shorter)
+   parts and its other tokens could make up the rest.  Components are opened in blocks of
    ``BLOCK`` members, each with its own whole token union and bound.
 
 "Rarest" follows a fixed-size count sketch over all documents.  It only orders the tokens, so
@@ -51,9 +52,11 @@ SKETCH_BITS, SLICES = 20, 64
 #: Rounds in which every token has one head.
 STARS = 3
 #: One more token is contributed, and must be shared, for every so many of a node.
-SPARE = 10
+SPARE = 40
 #: Members of a block that is opened at once, and queries sent to one copy of it.
 BLOCK, QUERIES_A_COPY = 128, 2000
+#: Groups up to this size are searched by member.
+SMALL = 16
 _SEED1, _SEED2 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -280,6 +283,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             sets = made if sets is None else sets.unionByName(made.join(sets.select("node"), "node", "left_anti"))
         return sets
 
+    def index_part(rank: str, size: str):
+        """Of the smaller one of two linked nodes the shared tokens come this early."""
+        n = F.col(size)
+        return F.col(rank) < n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + spare(size)
+
     # star rounds: every node queries one node of each of its tokens, that of the least group
     heads = matrix.where("node <> head").select("token", F.col("node").alias("query"), "rank", "size", F.col("head").alias("grp"), "head_rank", "head_size")
     links = tested = None
@@ -301,17 +309,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         members_of = groups.groupBy("component").agg(F.count("*").alias("members"))
         named = groups.join(members_of, "component").select("node", F.col("component").alias("g"), "members")
         placed = matrix.select("token", "node", "rank", "size").join(named, "node", "left").withColumn("g", F.coalesce("g", "node"))
-        spans = placed.groupBy("token").agg(F.min(F.struct("g", "node", "rank", "size")).alias("head"), F.max("g").alias("top")).where("head.g < top")
-        open_tokens = stage(placed.join(spans, "token"), "open-tokens")
+        spans = placed.groupBy("token").agg(F.min(F.struct("g", "node", "rank", "size")).alias("head"), F.max("g").alias("top"), F.max(index_part("rank", "size")).alias("indexed"))
+        open_tokens = stage(placed.join(spans.where("indexed and head.g < top").drop("indexed", "top"), "token"), "open-tokens")
         heads = open_tokens.where("g <> head.g").select("token", F.col("node").alias("query"), "rank", "size", F.col("head.node").alias("grp"), F.col("head.rank").alias("head_rank"), F.col("head.size").alias("head_size"))
 
     # last round: tokens that several groups still share
-    # a group of one has a place for each token, a larger one only its least and greatest size
-    higher = open_tokens.groupBy("token", F.col("g").alias("grp")).agg(
-        F.min("size").alias("m"), F.max("size").alias("most"), F.max(F.when(F.col("members").isNull(), F.col("rank"))).alias("at")
-    )
-    near = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("most") >= percent * F.col("n"))
-    shared = open_tokens.where("g < top").withColumnRenamed("size", "n").join(higher, "token").where((F.col("g") < F.col("grp")) & near).groupBy(F.col("node").alias("query"), "grp")
+    # (of a pair, the larger node is the query and the smaller one's group is opened)
+    # members of small groups are targets of their own, with a place for each token; a large group
+    # has its tokens' union, its least and greatest size
+    large = F.coalesce(F.col("members") > SMALL, F.lit(False))
+    targets = open_tokens.where(index_part("rank", "size")).withColumn("grp", F.when(large, F.col("g")).otherwise(F.col("node")))
+    higher = targets.groupBy("token", "grp").agg(F.min("g").alias("of"), F.min("size").alias("m"), F.max("size").alias("most"), F.max(F.when(~large, F.col("rank"))).alias("at"))
+    near = (F.col("m") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
+    shared = open_tokens.withColumnRenamed("size", "n").join(higher, "token").where((F.col("g") != F.col("of")) & near).groupBy(F.col("node").alias("query"), "grp")
     shared = shared.agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("m").alias("m"), F.max("rank").alias("i"), F.max("at").alias("j"))
     own_left = F.col("n") - F.col("i")
     reach = F.col("c") + F.least(own_left, F.coalesce(F.col("m") - F.col("j"), own_left)) - 1
@@ -319,8 +329,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = shared.where(able)
     second = stage(shared.select("query", "grp"), "candidates")
     targets = second.select("grp").distinct()
-    blocks = groups.join(targets.withColumnRenamed("grp", "component"), "component").select("component", F.col("node").alias("member"))
-    lone = targets.join(groups.select(F.col("component").alias("grp")).distinct(), "grp", "left_anti").select("grp", F.col("grp").alias("member"), F.lit(0).alias("block"))
+    big = members_of.where(F.col("members") > SMALL).select("component")
+    blocks = groups.join(big, "component", "left_semi").join(targets.withColumnRenamed("grp", "component"), "component").select("component", F.col("node").alias("member"))
+    lone = targets.join(big.select(F.col("component").alias("grp")), "grp", "left_anti").select("grp", F.col("grp").alias("member"), F.lit(0).alias("block"))
     # blocks by hash of the member, as many as the component's size asks for
     sizes = blocks.groupBy("component").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
     blocks = blocks.join(sizes, "component").select(F.col("component").alias("grp"), "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")).unionByName(lone)
