@@ -49,6 +49,10 @@ WORDS = 5
 #: Threshold as hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SKETCH_BITS, SLICES = 20, 64
+#: Families hold nodes that may be this near to each other (percent of the threshold).
+LOOSE = 80
+#: Nodes of a family whose sets one task holds twice at most.
+TILE = 1024
 #: Rounds in which every token has one head.
 STARS = 3
 #: One more token is contributed, and must be shared, for every so many of a node.
@@ -235,6 +239,44 @@ def _open(percent: int):
     return run
 
 
+def _open_tile(percent: int):
+    """Links among the nodes of two tiles of a family, for the (query, group) pairs asked for."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        right = right.drop_duplicates("node")
+        node, target = right["node"].to_numpy(), right["target"].to_numpy()
+        sets = [np.asarray(t) for t in right["tokens"]]
+        sizes = np.array([len(t) for t in sets])
+        tokens, whose = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, whose = tokens[order], whose[order]
+        place = {v: k for k, v in enumerate(node.tolist())}
+        a, b = [], []
+        for query, asked in left.groupby("query")["grp"]:
+            if query not in place:
+                continue
+            own = sets[place[query]]
+            wanted = np.isin(target, asked.to_numpy())
+            low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+            n = high - low
+            member = whose[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            in_group = wanted[member]
+            held = np.zeros(len(own) + 1, np.int64)
+            np.add.at(held, np.repeat(np.arange(len(own)), n)[in_group], 1)
+            if 100 * np.count_nonzero(held) < percent * len(own):
+                continue  # the union of the groups holds too few of the query's tokens
+            shared = np.bincount(member[in_group], minlength=len(sets))
+            for m in np.flatnonzero(wanted & (100 * shared >= percent * (len(own) + sizes - shared))).tolist():
+                if node[m] != query:
+                    a.append(query)
+                    b.append(node[m])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
 def query_groups(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ``candidates`` (query, grp) with ``members`` (grp, member) whose groups they open.
 
@@ -290,13 +332,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # star rounds: every node queries one node of each of its tokens, that of the least group
     heads = matrix.where("node <> head").select("token", F.col("node").alias("query"), "rank", "size", F.col("head").alias("grp"), "head_rank", "head_size")
-    links = tested = None
+    links = tested = near_pairs = None
+    loose = percent * LOOSE // 100
     for _ in range(STARS):
         pairs = heads.groupBy("query", "grp")
         pairs = pairs.agg(F.count("*").alias("c"), F.max("rank").alias("i"), F.max("head_rank").alias("j"), F.max("size").alias("n"), F.max("head_size").alias("m"))
         reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-        able = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + percent) >= percent * (F.col("n") + F.col("m")))
-        first = pairs.where(able).select("query", "grp")
+        total = F.col("n") + F.col("m")
+        similar = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + loose) >= loose * total)
+        pairs = stage(pairs.where(similar).withColumn("able", reach * (100 + percent) >= percent * total).select("query", "grp", "able"), "pairs")
+        near_pairs = pairs.select("query", "grp") if near_pairs is None else near_pairs.unionByName(pairs.select("query", "grp"))
+        first = pairs.where("able").select("query", "grp")
         first = stage(first if tested is None else first.join(tested, ["query", "grp"], "left_anti"), "candidates")
         if tested is not None and not first.limit(1).count():
             break
@@ -317,19 +363,46 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # (of a pair, the larger node is the query and the smaller one's group is opened)
     # members of small groups are targets of their own, with a place for each token; a large group
     # has its tokens' union, its least and greatest size
+    # families of loosely similar nodes: their sets are brought together once a tile, not once a pair
+    edges = near_pairs.select(F.col("query").alias("a"), F.col("grp").alias("b")).unionByName(links.select("a", "b"))
+    families = connected_components(edges).withColumnRenamed("component", "family")
+    tiles = families.groupBy("family").agg((F.floor(F.count("*") / TILE) + 1).cast("int").alias("tiles"))
+    families = stage(families.join(tiles, "family"), "families")
+
     large = F.coalesce(F.col("members") > SMALL, F.lit(False))
+    open_tokens = open_tokens.join(families, "node", "left")
     targets = open_tokens.where(index_part("rank", "size")).withColumn("grp", F.when(large, F.col("g")).otherwise(F.col("node")))
-    higher = targets.groupBy("token", "grp").agg(F.min("g").alias("of"), F.min("size").alias("m"), F.max("size").alias("most"), F.max(F.when(~large, F.col("rank"))).alias("at"))
+    higher = targets.groupBy("token", "grp").agg(
+        F.min("g").alias("of"), F.min("size").alias("m"), F.max("size").alias("most"), F.max(F.when(~large, F.col("rank"))).alias("at"), F.min("family").alias("its_family"), F.max(large).alias("large")
+    )
     near = (F.col("m") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
-    shared = open_tokens.withColumnRenamed("size", "n").join(higher, "token").where((F.col("g") != F.col("of")) & near).groupBy(F.col("node").alias("query"), "grp")
+    asking = open_tokens.withColumnRenamed("size", "n").drop("members", "head")
+    shared = asking.join(higher, "token").where((F.col("g") != F.col("of")) & near).groupBy(F.col("node").alias("query"), "grp", "family", "tiles", "its_family", "large")
     shared = shared.agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("m").alias("m"), F.max("rank").alias("i"), F.max("at").alias("j"))
     own_left = F.col("n") - F.col("i")
     reach = F.col("c") + F.least(own_left, F.coalesce(F.col("m") - F.col("j"), own_left)) - 1
     able = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (reach * 100 >= percent * F.col("n"))
-    shared = shared.where(able)
-    second = stage(shared.select("query", "grp"), "candidates")
+    every = stage(shared.where(able).select("query", "grp", "family", "tiles", "its_family", "large"), "candidates")
+    big = stage(members_of.where(F.col("members") > SMALL).select("component"), "big")
+
+    # pairs within a family, by its tiles
+    inside = every.where("family = its_family")
+    tile = lambda c: F.pmod(F.xxhash64(c), F.col("tiles")).cast("int")
+    all_tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
+    placed_pairs = inside.where("not large").withColumn("t", tile("grp")).unionByName(inside.where("large").withColumn("t", F.explode(all_tiles)))
+    keyed = placed_pairs.select("family", F.least(tile("query"), "t").alias("lo"), F.greatest(tile("query"), "t").alias("hi"), "query", "grp")
+    in_large = groups.join(big, "component", "left_semi")
+    ends = inside.select(F.col("query").alias("node")).distinct().unionByName(inside.where("not large").select(F.col("grp").alias("node")).distinct())
+    ends = ends.unionByName(in_large.join(inside.where("large").select(F.col("grp").alias("component")).distinct(), "component", "left_semi").select("node")).distinct()
+    rows_of = ends.join(families, "node").join(in_large, "node", "left").withColumn("u", F.explode(all_tiles))
+    rows_of = rows_of.select("family", F.least(tile("node"), "u").alias("lo"), F.greatest(tile("node"), "u").alias("hi"), "node", F.coalesce("component", "node").alias("target"))
+    rows_of = rows_of.join(keyed.select("family", "lo", "hi").distinct(), ["family", "lo", "hi"], "left_semi")
+    sets_of = rows_of.join(with_sets(ends), "node").toDF("node", "f", "l", "h", "target", "tokens")
+    more = stage(keyed.groupBy("family", "lo", "hi").cogroup(sets_of.groupBy("f", "l", "h")).applyInPandas(_open_tile(percent), "a long, b long"), "links")
+
+    # and the few that families do not hold together
+    second = every.where("family is null or its_family is null or family <> its_family").select("query", "grp")
     targets = second.select("grp").distinct()
-    big = members_of.where(F.col("members") > SMALL).select("component")
     blocks = groups.join(big, "component", "left_semi").join(targets.withColumnRenamed("grp", "component"), "component").select("component", F.col("node").alias("member"))
     lone = targets.join(big.select(F.col("component").alias("grp")), "grp", "left_anti").select("grp", F.col("grp").alias("member"), F.lit(0).alias("block"))
     # blocks by hash of the member, as many as the component's size asks for
@@ -339,9 +412,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_block = second.join(blocks.select("grp", "block").distinct(), "grp").select("query", F.struct("grp", "block").alias("grp"))
     members = blocks.select(F.struct("grp", "block").alias("grp"), "member")
     ends = second.select(F.col("query").alias("node")).unionByName(blocks.select(F.col("member").alias("node")))
-    more = query_groups(per_block, members, with_sets(ends), percent)
-    every = links.unionByName(more)
-    final = connected_components(every)
+    more = more.unionByName(query_groups(per_block, members, with_sets(ends), percent))
+    final = connected_components(links.unionByName(more))
 
     named = final.join(nodes.select("node", "least_id"), "node").withColumnRenamed("component", "c")
     best = named.groupBy("c").agg(F.min("least_id").alias("component_id"))

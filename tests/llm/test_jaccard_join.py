@@ -62,6 +62,7 @@ def test_blocks_and_copies(spark, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK", 2)
     monkeypatch.setattr(jj, "QUERIES_A_COPY", 3)
     monkeypatch.setattr(jj, "SMALL", 1)
+    monkeypatch.setattr(jj, "TILE", 7)
     check(spark, corpus(random.Random(2), 160))
 
 
