@@ -73,13 +73,14 @@ def sample(facts: DataFrame, k: int | None, expected: DataFrame | None = None) -
     top = float(1 << 32)
     level = F.when(F.col("estimate") <= 8.0 * k, F.lit(top)).otherwise(F.lit(top) * 6 * k / F.col("estimate"))
     levels = F.broadcast(expected.select(*NODE, level.alias("__level")))  # one row a node
-    below = values.join(levels, NODE).where("h < __level").groupBy(*keys).agg(F.count("*").alias("n"), F.max("__level").alias("__level"))
+    below = values.join(levels, NODE).where("h < __level").groupBy(*keys).agg(F.count("*").alias("n"))
     picked = bottom_k(below, k)
-    short = picked.groupBy(*NODE).agg(F.count("*").alias("__c"), F.max("__level").alias("__l")).where((F.col("__c") < k) & (F.col("__l") < top)).select(*NODE)
+    got = picked.groupBy(*NODE).agg(F.count("*").alias("__c"))
+    short = expected.select(*NODE, level.alias("__l")).where(F.col("__l") < top).join(got, NODE, "left").where(F.coalesce("__c", F.lit(0)) < k).select(*NODE)
     if short.limit(1).count() == 0:
-        return picked.drop("__level")
+        return picked
     again = bottom_k(values.join(F.broadcast(short), NODE, "left_semi").groupBy(*keys).agg(F.count("*").alias("n")), k)
-    return picked.join(F.broadcast(short), NODE, "left_anti").drop("__level").unionByName(again)
+    return picked.join(F.broadcast(short), NODE, "left_anti").unionByName(again)
 
 
 def merge_samples(parts: DataFrame, k: int | None, extra=()) -> DataFrame:

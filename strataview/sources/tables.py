@@ -35,7 +35,8 @@ def read_log(spark: SparkSession, path: str, schema: str | T.StructType, header:
     """An append-only log of JSON lines: (records, number of damaged lines); ``header`` rows are skipped."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     full = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
     good, bad = split_corrupt(rows)
     return (good.where(~header) if header is not None else good), bad.agg(F.count("*").alias("skipped"))
 
