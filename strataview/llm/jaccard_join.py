@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataview.llm.components import connected_components
-from strataview.llm.staging import join_groups, keep_rows, stage
+from strataview.llm.staging import BROADCAST_ROWS, join_groups, keep_rows, stage
 from strataview.llm.textkit import distinct_sets, mix, shingle_hashes, steps, text_buffers
 
 WORDS = 5
@@ -54,7 +54,7 @@ LOOSE = 80
 #: Nodes of a family whose sets one task holds twice at most.
 TILE = 1024
 #: Rounds in which every token has one head.
-STARS = 3
+STARS = 2
 #: One more token is contributed, and must be shared, for every so many of a node.
 SPARE = 40
 #: Members of a block that is opened at once, and queries sent to one copy of it.
@@ -277,6 +277,14 @@ def _open_tile(percent: int):
     return run
 
 
+def attach_sets(ids: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """``ids`` with the tokens of the node in column ``name``; few ids go to the sets by broadcast."""
+    ids = stage(ids, "ids")
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return sets.withColumnRenamed("node", name).join(ids, name).select(*(c for c in ids.columns), "tokens")
+
+
 def query_groups(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ``candidates`` (query, grp) with ``members`` (grp, member) whose groups they open.
 
@@ -284,9 +292,9 @@ def query_groups(candidates: DataFrame, members: DataFrame, sets: DataFrame, per
     """
     asked = candidates.groupBy("grp").agg((F.floor(F.count("*") / QUERIES_A_COPY) + 1).cast("int").alias("copies"))
     left = candidates.join(asked, "grp").withColumn("copy", F.pmod(F.xxhash64("query"), F.col("copies")).cast("int"))
-    left = left.join(sets.withColumnRenamed("node", "query"), "query").select("grp", "copy", "query", "tokens")
-    right = members.join(asked, "grp").join(sets.withColumnRenamed("node", "member"), "member")
-    right = right.select("grp", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "member", "tokens")
+    left = attach_sets(left.select("grp", "copy", "query"), sets, "query")
+    right = members.join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "member")
+    right = attach_sets(right, sets, "member")
     # new names on one side: both come from the same tables
     right = right.toDF("g", "c", "member", "tokens")
     return left.groupBy("grp", "copy").cogroup(right.groupBy("g", "c")).applyInPandas(_open(percent), "a long, b long")
@@ -321,8 +329,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = stage(nodes.join(lacking, "node", "left_semi").select("least_id"), "lacking")
         if sets is None or found.limit(1).count():
             few = keep_rows(texts, found, "least_id", F.col("doc_id"))
-            made = stage(few.mapInArrow(_sets(words), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
-            sets = made if sets is None else sets.unionByName(made.join(sets.select("node"), "node", "left_anti"))
+            # a repeated row gives its set again; whoever opens a group drops repeats
+            made = stage(few.mapInArrow(_sets(words), "node long, tokens array<long>"), "sets")
+            sets = made if sets is None else sets.unionByName(made)
         return sets
 
     def index_part(rank: str, size: str):
@@ -333,6 +342,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # star rounds: every node queries one node of each of its tokens, that of the least group
     heads = matrix.where("node <> head").select("token", F.col("node").alias("query"), "rank", "size", F.col("head").alias("grp"), "head_rank", "head_size")
     links = tested = near_pairs = None
+    still_open = matrix
     loose = percent * LOOSE // 100
     for _ in range(STARS):
         pairs = heads.groupBy("query", "grp")
@@ -354,9 +364,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = stage(connected_components(links), "groups")
         members_of = groups.groupBy("component").agg(F.count("*").alias("members"))
         named = groups.join(members_of, "component").select("node", F.col("component").alias("g"), "members")
-        placed = matrix.select("token", "node", "rank", "size").join(named, "node", "left").withColumn("g", F.coalesce("g", "node"))
+        placed = still_open.select("token", "node", "rank", "size").join(named, "node", "left").withColumn("g", F.coalesce("g", "node"))
         spans = placed.groupBy("token").agg(F.min(F.struct("g", "node", "rank", "size")).alias("head"), F.max("g").alias("top"), F.max(index_part("rank", "size")).alias("indexed"))
-        open_tokens = stage(placed.join(spans.where("indexed and head.g < top").drop("indexed", "top"), "token"), "open-tokens")
+        open_tokens = still_open = stage(placed.join(spans.where("indexed and head.g < top").drop("indexed", "top"), "token"), "open-tokens")
         heads = open_tokens.where("g <> head.g").select("token", F.col("node").alias("query"), "rank", "size", F.col("head.node").alias("grp"), F.col("head.rank").alias("head_rank"), F.col("head.size").alias("head_size"))
 
     # last round: tokens that several groups still share
@@ -397,7 +407,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows_of = ends.join(families, "node").join(in_large, "node", "left").withColumn("u", F.explode(all_tiles))
     rows_of = rows_of.select("family", F.least(tile("node"), "u").alias("lo"), F.greatest(tile("node"), "u").alias("hi"), "node", F.coalesce("component", "node").alias("target"))
     rows_of = rows_of.join(keyed.select("family", "lo", "hi").distinct(), ["family", "lo", "hi"], "left_semi")
-    sets_of = rows_of.join(with_sets(ends), "node").toDF("node", "f", "l", "h", "target", "tokens")
+    sets_of = attach_sets(rows_of, with_sets(ends), "node").toDF("f", "l", "h", "node", "target", "tokens")
     more = stage(keyed.groupBy("family", "lo", "hi").cogroup(sets_of.groupBy("f", "l", "h")).applyInPandas(_open_tile(percent), "a long, b long"), "links")
 
     # and the few that families do not hold together
