@@ -114,3 +114,14 @@ def field_paths(dtype: T.DataType, path: str = "$") -> list[str]:
     if isinstance(dtype, T.ArrayType):
         return field_paths(dtype.elementType, f"{path}[]")
     return []
+
+
+def leaf_types(dtype: T.DataType) -> set[str]:
+    """Names of the scalar types inside a type."""
+    if isinstance(dtype, T.StructType):
+        return {x for f in dtype.fields for x in leaf_types(f.dataType)}
+    if isinstance(dtype, T.ArrayType):
+        return {"array", *leaf_types(dtype.elementType)}
+    if isinstance(dtype, T.MapType):
+        return leaf_types(dtype.valueType)
+    return {dtype.typeName()}

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from strataview.functions.hashing import hash32
 from strataview.functions.hierarchy import RANK
 from strataview.operators.flatten import facts as make_facts
-from strataview.operators.flatten import field_paths
+from strataview.operators.flatten import field_paths, leaf_types
 from strataview.operators.merge import first_of, last_of, with_span
 from strataview.operators.sketches import NODE, estimates, register_index, register_rank, sample
 from strataview.plans.options import Options, make_options
@@ -75,6 +75,10 @@ def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **give
     _, attrs = normalize_probe(probe)
     flat = probe_facts(df, probe, options, where)
 
+    # what the schema rules out is not scanned for: a false filter leaves an empty relation
+    held = leaf_types(select(df, normalize_probe(probe)[0]).dtype)
+    scanned_for = lambda *names: flat if held & {*names, "variant"} else flat.where(F.lit(False))
+
     # 1. counts, registers, numeric extremes: fixed-width buffers only, so hash aggregation
     b = options.hll_b
     idx = register_index(F.col("h"), b).cast("int") if b else F.lit(0)
@@ -95,7 +99,7 @@ def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **give
     number_ends = numeric.select(*NODE, F.lit("min").alias("which"), F.col("num_min").alias("num"), F.col("inum_min").alias("inum"), F.lit(None).cast("string").alias("vtext")).unionByName(
         numeric.select(*NODE, F.lit("max").alias("which"), F.col("num_max").alias("num"), F.col("inum_max").alias("inum"), F.lit(None).cast("string").alias("vtext"))
     )
-    text_ends = flat.where(F.col("class").isin(*TEXTS)).groupBy(*NODE).agg(F.min("vtext").alias("lo"), F.max("vtext").alias("hi"))
+    text_ends = scanned_for("string", "boolean", "binary", "timestamp", "timestamp_ntz", "date").where(F.col("class").isin(*TEXTS)).groupBy(*NODE).agg(F.min("vtext").alias("lo"), F.max("vtext").alias("hi"))
     text_ends = text_ends.select(*NODE, F.inline(F.array(F.struct(F.lit("min").alias("which"), F.col("lo").alias("vtext")), F.struct(F.lit("max").alias("which"), F.col("hi").alias("vtext")))))
     ends = number_ends.unionByName(text_ends.select(*NODE, "which", F.lit(None).cast("double").alias("num"), F.lit(None).cast("bigint").alias("inum"), "vtext"))
     ends = ends.persist(StorageLevel.MEMORY_AND_DISK)
@@ -117,14 +121,14 @@ def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **give
         none = F.lit(None).cast("string")
         samples = samples.withColumns({"first_ts": none, "first_key": none, "last_ts": none, "last_key": none})
     dictionary = with_span(
-        flat.where(F.col("class").isin(*DICTIONARIES)).groupBy(*NODE, "vtext").agg(F.count("*").alias("n"), first_of("__ts", "__key").alias("__first"), last_of("__ts", "__key").alias("__last"))
+        (flat if options.categorical else scanned_for("boolean")).where(F.col("class").isin(*DICTIONARIES)).groupBy(*NODE, "vtext").agg(F.count("*").alias("n"), first_of("__ts", "__key").alias("__first"), last_of("__ts", "__key").alias("__last"))
     )
     if options.dict_cap is not None:
         from pyspark.sql import Window
 
         order = Window.partitionBy(*NODE).orderBy(F.desc("n"), "vtext")
         dictionary = dictionary.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= options.dict_cap).drop("__r")
-    histogram = flat.where(F.col("class").isin(*HISTOGRAMS) & F.col("len").isNotNull()).groupBy(*NODE, F.col("len").alias("bucket")).agg(F.count("*").alias("n"))
+    histogram = scanned_for("string", "binary", "array").where(F.col("class").isin(*HISTOGRAMS) & F.col("len").isNotNull()).groupBy(*NODE, F.col("len").alias("bucket")).agg(F.count("*").alias("n"))
 
     meta = {**asdict(options), "probe": repr(probe), "fields": field_paths(select(df, normalize_probe(probe)[0]).dtype), "started": started, "processed": None, "truncated": []}
     spec = RawSpec(nodes, registers, samples, extremes, dictionary, histogram, meta)
