@@ -17,7 +17,7 @@ the tokens that a single node has.  Groups are made in two rounds:
    similar nodes, a clique of n copies at about n tests instead of n * n / 2;
 2. tokens that still occur in several groups send their nodes as queries to the groups of
    no larger nodes, if the query's part shares ``l`` tokens with the union of the group's (shorter)
-   parts and its other tokens could make up the rest.  Components are opened in blocks of
+   parts and its other tokens could make up the rest; equal sizes ask once.  Components are opened in blocks of
    ``BLOCK`` members, each with its own whole token union and bound.
 
 "Rarest" follows a fixed-size count sketch over all documents.  It only orders the tokens, so
@@ -386,8 +386,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min("g").alias("of"), F.min("size").alias("m"), F.max("size").alias("most"), F.max(F.when(~large, F.col("rank"))).alias("at"), F.min("family").alias("its_family"), F.max(large).alias("large")
     )
     near = (F.col("m") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
-    asking = open_tokens.withColumnRenamed("size", "n").drop("members", "head")
-    shared = asking.join(higher, "token").where((F.col("g") != F.col("of")) & near).groupBy(F.col("node").alias("query"), "grp", "family", "tiles", "its_family", "large")
+    # of two nodes of one size a single one asks: the lone one the other's large group, else the greater id
+    once = F.col("large") | (F.col("m") < F.col("n")) | (~F.col("in_large") & (F.col("grp") < F.col("node")))
+    asking = open_tokens.withColumnRenamed("size", "n").withColumn("in_large", large).drop("members", "head")
+    shared = asking.join(higher, "token").where((F.col("g") != F.col("of")) & near & once).groupBy(F.col("node").alias("query"), "grp", "family", "tiles", "its_family", "large")
     shared = shared.agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("m").alias("m"), F.max("rank").alias("i"), F.max("at").alias("j"))
     own_left = F.col("n") - F.col("i")
     reach = F.col("c") + F.least(own_left, F.coalesce(F.col("m") - F.col("j"), own_left)) - 1
