@@ -17,7 +17,8 @@ the tokens that a single node has.  Groups are made in two rounds:
    similar nodes, a clique of n copies at about n tests instead of n * n / 2;
 2. tokens that still occur in several groups send their nodes as queries to the groups of
    no larger nodes, if the query's part shares ``l`` tokens with the union of the group's (shorter)
-   parts and its other tokens could make up the rest; equal sizes ask once.  Components are opened in blocks of
+   parts and, of a single node, its other tokens could make up the rest (of a union the shared tokens do not
+   tell); equal sizes ask once.  Components are opened in blocks of
    ``BLOCK`` members, each with its own whole token union and bound.
 
 "Rarest" follows a fixed-size count sketch over all documents.  It only orders the tokens, so
@@ -391,9 +392,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asking = open_tokens.withColumnRenamed("size", "n").withColumn("in_large", large).drop("members", "head")
     shared = asking.join(higher, "token").where((F.col("g") != F.col("of")) & near & once).groupBy(F.col("node").alias("query"), "grp", "family", "tiles", "its_family", "large")
     shared = shared.agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("m").alias("m"), F.max("rank").alias("i"), F.max("at").alias("j"))
-    own_left = F.col("n") - F.col("i")
-    reach = F.col("c") + F.least(own_left, F.coalesce(F.col("m") - F.col("j"), own_left)) - 1
-    able = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (reach * 100 >= percent * F.col("n"))
+    reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    # a union's i may come from another member than the one that links, which may hold tokens before it past its index part
+    reaches = F.col("large") | ((reach * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (reach * 100 >= percent * F.col("n")))
+    able = (F.col("c") >= F.least(spare("n"), spare("m"))) & reaches
     every = stage(shared.where(able).select("query", "grp", "family", "tiles", "its_family", "large"), "candidates")
     big = stage(members_of.where(F.col("members") > SMALL).select("component"), "big")
 

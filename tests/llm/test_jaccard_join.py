@@ -66,6 +66,25 @@ def test_blocks_and_copies(spark, monkeypatch):
     check(spark, corpus(random.Random(2), 160))
 
 
+def test_link_into_a_large_group(spark):
+    """x links to y alone; what x shares with y's group is early in other members, late in y."""
+    rng = random.Random(3)
+    own_x, own_y, early, lacking, late = ([f"{name}{k}" for k in range(n)] for name, n in (("x", 57), ("y", 57), ("e", 11), ("d", 40), ("l", 292)))
+    texts = [own_x + early + lacking + late, own_y + early + lacking + late]
+    texts += [rng.sample(own_y, 20) + early + late for _ in range(jj.SMALL + 1)]
+    # make the early tokens the rarest of the shared ones, and take the places of heads
+    texts += [early + lacking + late + [f"f{k}-{i}" for i in range(300)] for k in range(40)]
+    texts += [lacking + late + [f"g{k}-{i}" for i in range(300)] for k in range(20)]
+    sets = [set(t) for t in texts]
+    linked = {(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert [p for p in linked if 0 in p] == [(0, 1)]
+    group = set(range(jj.SMALL + 3))
+    assert all(b in group for _, b in linked) and all((1, k) in linked for k in group - {0, 1})
+    data = [(k, " ".join(t), "en", "a", 0, "", "", "") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in jj.jaccard_join(cases.frame(spark, data), words=1).collect()}
+    assert got == {k: 0 if k in group else k for k in range(len(texts))}
+
+
 def test_edge_cases(spark):
     check(spark, cases.rows())
     assert jj.jaccard_join(cases.frame(spark, [])).count() == 0
