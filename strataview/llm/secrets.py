@@ -1,15 +1,15 @@
 """Secret scan by a randomness test battery, in DataFrame functions only.
 
 Base patterns (assignments, access keys, long hex) are found as such.  Beside them,
-every token of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that holds a digit and a
-letter is a candidate.  Its encoding is inferred (hex, base32, alphanumeric, base64)
-and three tests of randomness against that alphabet are made: chi-squared uniformity,
+every token of 20 or more characters of ``[A-Za-z0-9+/_-]``, padding by ``=`` at its end
+included, that holds a digit and a letter is a candidate; any other ``=`` parts tokens, as in
+``NAME=value``.  Its encoding is inferred (hex, base32, alphanumeric, base64, at last the
+union of them all, so that every candidate is tested) and three tests of randomness against that alphabet are made: chi-squared uniformity,
 the runs test about the median, and lag-1 serial correlation.  The combined p-value
 is three times the smallest (Bonferroni).  Tokens are not random in general; so a test's
 rejection is a discovery of structure, and Benjamini-Hochberg control at level ``q``
 is applied within bands of token length, since power grows with length.  Tokens that
-are not rejected, and are of a length at which structure would have shown, are reported
-as kind ``random``.
+are not rejected are reported as kind ``random``, from the shortest candidate on.
 
 The control needs the ranks of all p-values of a band.  They are counted in bins of
 -log10 p (a bounded histogram, rounded towards 1, so the control is conservative); no
@@ -30,7 +30,8 @@ from strataview.llm.staging import stage
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: '=' is padding where no other character of a token follows; a candidate has 20 characters with two of it at most.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?|(?:[A-Za-z0-9+/_-]{19}={1,2}|[A-Za-z0-9+/_-]{18}==)(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "random")
 
 #: Inferred encodings, narrowest first: pattern and alphabet in ordinal order.
@@ -41,6 +42,7 @@ ALPHABETS = (
     (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     (r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     (r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    (r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 #: Upper ends of the length bands, and bins of -log10 p.
 BANDS = (24, 32, 48, 64, 128, 512)
@@ -121,11 +123,11 @@ def _band(length: Column) -> Column:
     return out
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05, least: int = 24) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05, least: int = 0) -> DataFrame:
     """One row per document: counts and digest of the base kinds, and all spans.
 
     ``q`` is the false-discovery level of the structure tests, ``least`` the shortest
-    token whose randomness is reported.
+    token (without padding) whose randomness is reported.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))

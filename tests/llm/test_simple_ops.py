@@ -111,6 +111,24 @@ def test_randomness_battery(spark):
     assert not any(got[k] for k in range(40, 80))
 
 
+def test_every_candidate_is_tested(spark):
+    parts = [
+        ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY"),
+        ("STRIPE_SK=", "sk9fQ2LmX8vT4bNc7RzKpWd1HgYs"),
+        ("id ", "Zk3+vQ9_xT1/mW7-pL5bR2dHs8Yc"),
+        ("id ", "x7Kq9mT2vLp4ZrW8sBn3"),
+        ("id ", "Qm7xT2vLp4ZrW8sBn3Kd5A=="),
+        ("NAME_OF_A_LONG_SETTING_1=", "Hq7xT2vLp4ZrW8sBn3Kd5A"),
+        ("KEY=", "vT8kQm2LxZ5rWb7NpY=="),
+        ("id ", "vT8kQm2LxZ5rWb7NpY="),  # too short
+    ]
+    data = [(k, f"set {a}{b} end", "en", "a", 0, "", "", "") for k, (a, b) in enumerate(parts)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in records(secrets.scan_secrets(cases.frame(spark, data)))}
+    for k, (a, b) in enumerate(parts):
+        begin = 4 + len(a)
+        assert (f"random:{begin}:{begin + len(b)}" in got[k]) == (len(b) >= 20), (b, got[k])
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/ b", "same"), (2, "http://b", "same"), (5, None, None), (4, "u", ""), (3, "u\r\nX: y", "é" * 100_000), (9, "z", "same")]
     frame = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, digest string").repartition(3)
