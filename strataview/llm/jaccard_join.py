@@ -1,25 +1,22 @@
 """Exact n-gram Jaccard join through a token-group matrix.
 
-Documents with the same shingle set are one *node*.  Nodes are partitioned into groups of
-similar nodes; a group stores the union of its members' tokens.  A query node can only
-link into a group if it shares at least ``threshold * |query|`` tokens with that union;
-only groups that reach the bound are opened and compared member by member.
-
-The matrix is laid out by token: every node contributes its rarest
-``|x| - ceil(t|x|) + l`` tokens, with ``l = 1 + |x| / 40``; of two linked nodes these parts share
-``l`` tokens at least (the smaller node's l), and of the smaller node its rarest
-``|x| - ceil(2t / (1 + t) |x|) + l`` are enough.  One pass over the rows sorted by token drops
-the tokens that a single node has.  Groups are made in two rounds:
-
-1. star rounds: every node queries one node of each of its tokens, that of the least group
-   (at first every node is a group), if the tokens they share and those that may follow the
-   last shared one can reach the threshold.  The links found give components: the groups of
-   similar nodes, a clique of n copies at about n tests instead of n * n / 2;
-2. tokens that still occur in several groups send their nodes as queries to the groups of
-   no larger nodes, if the query's part shares ``l`` tokens with the union of the group's (shorter)
-   parts and, of a single node, its other tokens could make up the rest (of a union the shared tokens do not
-   tell); equal sizes ask once.  Components are opened in blocks of
-   ``BLOCK`` members, each with its own whole token union and bound.
+Documents with the same shingle set are one *node*.
+
+1. *Groups.*  Every node has ``BANDS`` keys made of minima of its set (one permutation, cut into
+   bins).  Nodes that share a key are loosely similar; their components are the groups
+   ("families"), and a node alone is a group of one.  Whatever this misses costs
+   work in step 3, never a link.
+2. *Inside groups.*  A group is opened by its own members, in tiles of at most ``TILE`` nodes
+   and ``TILE_TOKENS`` tokens, so that no task holds an unbounded group.
+3. *Between groups*, the token-group matrix, laid out by token.  Every node contributes its rarest
+   ``|x| - ceil(t|x|) + l`` tokens, with ``l = 1 + |x| / 40``; of two linked nodes these parts share
+   ``l`` tokens at least (the smaller node's l), and of the smaller node its rarest
+   ``|x| - ceil(2t / (1 + t) |x|) + l`` are enough.  A group's row of the matrix is the union of its
+   members' such parts.  A node asks each group of another family that holds nodes of fitting,
+   no larger size, and the group qualifies if the union holds ``l`` of the node's tokens (of a group of one,
+   also if the tokens behind the last shared one could make up the rest).
+4. *Opening.*  Nodes are compared with a group's members only if the group's whole token union
+   holds ``t|x|`` of their tokens; intersections are products of 0/1 matrices, so exact.
 
 "Rarest" follows a fixed-size count sketch over all documents.  It only orders the tokens, so
 its collisions cost speed, never links; common lines and passages come last and are
@@ -37,31 +34,31 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataview.llm.components import connected_components
-from strataview.llm.staging import BROADCAST_ROWS, join_groups, keep_rows, stage
+from strataview.llm.components import connected_components, forest
+from strataview.llm.staging import BROADCAST_ROWS, join_groups, keep_rows, release, stage
 from strataview.llm.textkit import distinct_sets, mix, shingle_hashes, steps, text_buffers
 
 WORDS = 5
 #: Threshold as hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SKETCH_BITS, SLICES = 20, 64
-#: Families hold nodes that may be this near to each other (percent of the threshold).
-LOOSE = 80
-#: Nodes of a family whose sets one task holds twice at most.
-TILE = 1024
-#: Rounds in which every token has one head.
-STARS = 2
+#: Bins of the permutation (leading bits of a token), and bins that make one key.
+BIN_BITS, ROWS_A_BAND = 6, 3
+BANDS = (1 << BIN_BITS) // ROWS_A_BAND
+#: (key, node) pairs that a task combines before it sends them on.
+COMBINED = 2_000_000
+#: Nodes and tokens of a tile.
+TILE, TILE_TOKENS = 2048, 1_500_000
 #: One more token is contributed, and must be shared, for every so many of a node.
 SPARE = 40
-#: Members of a block that is opened at once, and queries sent to one copy of it.
-BLOCK, QUERIES_A_COPY = 128, 2000
-#: Groups up to this size are searched by member.
-SMALL = 16
+#: Queries sent to one copy of a group's tile.
+QUERIES_A_COPY = 1000
+#: Columns of a dense product, and the documents a token may have to be counted pair by pair in a large unit.
+WIDTH, LIGHT = 2048, 8
 _SEED1, _SEED2 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -80,13 +77,38 @@ def set_ids(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def band_keys(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of each set: an empty bin takes the minimum of the next bin that has one."""
+    n, bins = len(at) - 1, 1 << BIN_BITS
+    if not n:
+        return np.zeros((0, BANDS), np.int64)
+    place = np.repeat(np.arange(n), np.diff(at)) * bins + (tokens >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    first = np.ones(len(place), bool)
+    first[1:] = place[1:] != place[:-1]
+    least = np.zeros(n * bins, np.uint64)
+    least[place[first]] = tokens[first]
+    full = np.zeros(n * bins, bool)
+    full[place[first]] = True
+    least, full = np.tile(least.reshape(n, bins), 2), np.tile(full.reshape(n, bins), 2)
+    source = np.where(full, np.arange(2 * bins), 2 * bins - 1)
+    source = np.minimum.accumulate(source[:, ::-1], axis=1)[:, ::-1][:, : BANDS * ROWS_A_BAND]
+    value = mix(np.take_along_axis(least, source, 1) + (source - np.arange(BANDS * ROWS_A_BAND)).astype(np.uint64))
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS)).copy()
+    for k in range(ROWS_A_BAND):
+        keys = mix(keys + value[:, k::ROWS_A_BAND])
+    return keys.view(np.int64)
+
+
+DESCRIBED = "doc_id long, n_shingles long, node long, check long, bands array<long>, slice int, counts binary"
+
+
 def _describe(words: int):
     """Rows of the documents, and the slices of this task's count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "n_shingles", "node", "check", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n_shingles", "node", "check", "bands", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for whole in batches:
             for batch in steps(whole):
                 tokens, at = document_sets(batch, words)
@@ -95,12 +117,13 @@ def _describe(words: int):
                 n = np.diff(at)
                 node, check = set_ids(tokens, at)
                 empty = n == 0
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(band_keys(tokens, at).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(node, mask=empty), pa.array(check, mask=empty), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(node, mask=empty), pa.array(check, mask=empty), bands, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names
                 )
         if sketch.any():
             parts = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(sketch, SLICES)]
-            nulls = [pa.nulls(SLICES, k) for k in kinds[:4]]
+            nulls = [pa.nulls(SLICES, k) for k in kinds[:5]]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
@@ -129,6 +152,63 @@ def count_sketch(described: DataFrame) -> np.ndarray:
     return np.minimum(sketch.ravel(), (1 << 31) - 1).astype(np.int32)
 
 
+def _combine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, head, null) for the least node of each key in this task, (any, node, head) for its others."""
+
+    def combined(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        head = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        other = node != head
+        pairs = np.unique(np.column_stack([node[other], head[other]]), axis=0)
+        columns = [np.concatenate([key[first], mix(pairs[:, 0].view(np.uint64)).view(np.int64)]), np.concatenate([node[first], pairs[:, 0]])]
+        heads = pa.array(np.concatenate([np.zeros(int(first.sum()), np.int64), pairs[:, 1]]), mask=np.arange(len(columns[0])) < first.sum())
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), heads], ["key", "node", "head"])
+
+    keys: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+    for batch in batches:
+        if batch.num_rows:
+            keys.append(batch.column(1).flatten().to_numpy())
+            nodes.append(np.repeat(batch.column(0).to_numpy(), BANDS))
+        if sum(map(len, keys)) > COMBINED:
+            yield combined(keys, nodes)
+            keys, nodes = [], []
+    if keys:
+        yield combined(keys, nodes)
+
+
+def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from every node of a key to the key's least; rows are sorted by key and node."""
+    last, its_head = None, None
+    for batch in batches:
+        done = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        if done.any():
+            ready = batch.filter(pa.array(done))
+            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2)], ["a", "b"])
+        key, node = (batch.column(k).to_numpy()[~done] for k in (0, 1))
+        if not len(key):
+            continue
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        head = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        if last is not None and key[0] == last:
+            head[: int(np.searchsorted(key, last, "right"))] = its_head
+        last, its_head = key[-1], head[-1]
+        other = node != head
+        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(head[other])], ["a", "b"])
+
+
+def find_groups(described: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that share a key with another."""
+    keys = described.where("node is not null").select("node", "bands").mapInArrow(_combine_keys, "key long, node long, head long")
+    edges = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_key_edges, "a long, b long")
+    return connected_components(edges)
+
+
 def _matrix_rows(words: int, percent: int, sketch):
     """(token, node) of each node's rarest tokens; repeats within a step are dropped."""
 
@@ -156,19 +236,16 @@ def _matrix_rows(words: int, percent: int, sketch):
     return run
 
 
-MATRIX = "token long, node long, rank int, size int, head long, head_rank int, head_size int"
+MATRIX = "token long, node long, rank int, size int"
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and node: distinct rows whose token has two nodes or more,
-    each with the token's first node.
+    """Of rows sorted by token and node: distinct rows whose token has two nodes or more.
 
-    The last row of a batch waits for the next one; of a run that goes on only that row and the
-    run's first are held, never the run.
+    The last row of a batch waits for the next one; of a run that goes on only that row is held.
     """
-    names = ["token", "node", "rank", "size", "head", "head_rank", "head_size"]
     held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)] * 2
-    head: list | None = None  # of the waiting row's token, if that has had another node
+    known = False  # the waiting row's token has had another node
     for batch in batches:
         rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
         new = np.ones(len(rows[0]), bool)
@@ -177,23 +254,16 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = rows[0]
         if not len(token):
             continue
-        follows = np.zeros(len(token), bool)
-        follows[1:] = token[1:] == token[:-1]
-        first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(token))))
-        heads = [r[first] for r in rows[1:]]
-        if head is not None:
-            follows[0] = True
-            run = token == token[0]
-            for column, value in zip(heads, head, strict=True):
-                column[run] = value
-        keep = follows.copy()
+        keep = np.zeros(len(token), bool)
+        keep[1:] = token[1:] == token[:-1]
+        keep[0] = known
+        known = bool(keep[-1])
         keep[:-1] |= token[:-1] == token[1:]
         keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*rows, *heads)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], ["token", "node", "rank", "size"])
         held = [r[-1:] for r in rows]
-        head = [c[-1] for c in heads] if follows[-1] else None
-    if head is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, *(np.array([v]) for v in head))], names)
+    if known:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["token", "node", "rank", "size"])
 
 
 def _sets(words: int):
@@ -208,226 +278,195 @@ def _sets(words: int):
     return run
 
 
-def open_groups(queries: list[np.ndarray], members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(query, member) links of one block: bound by the token union, then open."""
-    sizes = np.array([len(m) for m in members])
-    tokens = np.concatenate(members)
-    whose = np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, whose = tokens[order], whose[order]
-    out = []
-    for q, query in enumerate(queries):
-        low, high = np.searchsorted(tokens, query), np.searchsorted(tokens, query, "right")
-        if 100 * np.count_nonzero(high > low) < percent * len(query):
-            continue  # the union holds too few of the query's tokens
-        n = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(whose[at], minlength=len(members))
-        for m in np.flatnonzero(100 * shared >= percent * (len(query) + sizes - shared)):
-            out.append((q, int(m)))
+def intersections(tokens: np.ndarray, whose: np.ndarray, asks: np.ndarray, opened: np.ndarray) -> np.ndarray:
+    """Shared tokens of every asking set (rows) and opened set (columns).
+
+    ``tokens`` are numbered from 0 in the order of the rows given; products of 0/1 matrices,
+    ``WIDTH`` tokens at a time.
+    """
+    row, column = np.full(int(whose.max()) + 1, -1), np.full(int(whose.max()) + 1, -1)
+    row[asks], column[opened] = np.arange(len(asks)), np.arange(len(opened))
+    out = np.zeros((len(asks), len(opened)), np.float32)
+    if len(asks) * len(opened) > 1 << 16:  # rare tokens, pair by pair
+        times = np.bincount(tokens)
+        for d in range(1, LIGHT + 1):
+            member = whose[(times == d)[tokens]].reshape(-1, d)
+            for i in range(d):
+                for j in range(d):
+                    r, c = row[member[:, i]], column[member[:, j]]
+                    good = (r >= 0) & (c >= 0)
+                    if good.any():
+                        np.add.at(out, (r[good], c[good]), 1)
+        heavy = (times > LIGHT)[tokens]
+        tokens, whose = np.unique(tokens[heavy], return_inverse=True)[1], whose[heavy]
+    total = int(tokens[-1]) + 1 if len(tokens) else 0
+    cuts = np.searchsorted(tokens, np.arange(0, total + WIDTH, WIDTH))
+    for k, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        t, w = tokens[low:high] - k * WIDTH, whose[low:high]
+        left, right = np.zeros((len(asks), WIDTH), np.float32), np.zeros((len(opened), WIDTH), np.float32)
+        a, b = row[w] >= 0, column[w] >= 0
+        left[row[w[a]], t[a]] = 1
+        right[column[w[b]], t[b]] = 1
+        out += left @ right.T
     return out
 
 
-def _open(percent: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        members, queries = right.drop_duplicates("member"), left.drop_duplicates("query")
-        links = open_groups([np.asarray(t) for t in queries["tokens"]], [np.asarray(t) for t in members["tokens"]], percent)
-        a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": queries["query"].to_numpy()[a], "b": members["member"].to_numpy()[b]})
+def open_unit(role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of set numbers that lead to each linked set of a unit: role 1 asks, 2 is opened, 3 both.
 
-    return run
+    Linked sets are given as a forest: each with the least of its component.
+    """
+    whose = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    token, whose = tokens[order], whose[order]
+    again = np.zeros(len(token), bool)
+    again[1:] = token[1:] == token[:-1]
+    again[:-1] |= again[1:].copy()
+    token, whose = token[again], whose[again]  # others are in no intersection
+    # the union of the other sets holds enough of a set's tokens, or it links with none
+    held = np.bincount(whose, minlength=len(sizes))
+    able = 100 * held >= percent * sizes
+    asks, opened = np.flatnonzero(able & (role & 1 > 0)), np.flatnonzero(able & (role & 2 > 0))
+    if not len(asks) or not len(opened):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    live = able[whose]
+    token, whose = token[live], whose[live]
+    number = np.zeros(len(token), np.int64)
+    number[1:] = np.cumsum(token[1:] != token[:-1])
+    shared = intersections(number, whose, asks, opened)
+    linked = (100 + percent) * shared >= percent * (sizes[asks].astype(np.float32)[:, None] + sizes[opened].astype(np.float32))
+    a, b = np.nonzero(linked)
+    a, b = asks[a], opened[b]
+    return forest(len(sizes), a[a != b], b[a != b])
 
 
-def _open_tile(percent: int):
-    """Links among the nodes of two tiles of a family, for the (query, group) pairs asked for."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        right = right.drop_duplicates("node")
-        node, target = right["node"].to_numpy(), right["target"].to_numpy()
-        sets = [np.asarray(t) for t in right["tokens"]]
-        sizes = np.array([len(t) for t in sets])
-        tokens, whose = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, whose = tokens[order], whose[order]
-        place = {v: k for k, v in enumerate(node.tolist())}
-        a, b = [], []
-        for query, asked in left.groupby("query")["grp"]:
-            if query not in place:
+def _open(percent: int):
+    """Links of all units; rows (unit, role, node, tokens) are sorted by unit."""
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        node, role = table.column("node").to_numpy(), table.column("role").to_numpy()
+        lists = table.column("tokens").combine_chunks()
+        at = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()
+        unit = table.column("unit").to_numpy()
+        cuts = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own, first, back = np.unique(node[low:high], return_index=True, return_inverse=True)  # repeated rows give a set again
+            if len(own) < 2:
+                continue
+            roles = np.zeros(len(own), np.int64)
+            np.bitwise_or.at(roles, back, role[low:high].astype(np.int64))
+            first = first + low
+            sizes = at[first + 1] - at[first]
+            tokens = np.concatenate([values[at[k] : at[k + 1]] for k in first])
+            a, b = open_unit(roles, sizes, tokens, percent)
+            out[0].append(own[a])
+            out[1].append(own[b])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            own = sets[place[query]]
-            wanted = np.isin(target, asked.to_numpy())
-            low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
-            n = high - low
-            member = whose[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            in_group = wanted[member]
-            held = np.zeros(len(own) + 1, np.int64)
-            np.add.at(held, np.repeat(np.arange(len(own)), n)[in_group], 1)
-            if 100 * np.count_nonzero(held) < percent * len(own):
-                continue  # the union of the groups holds too few of the query's tokens
-            shared = np.bincount(member[in_group], minlength=len(sets))
-            for m in np.flatnonzero(wanted & (100 * shared >= percent * (len(own) + sizes - shared))).tolist():
-                if node[m] != query:
-                    a.append(query)
-                    b.append(node[m])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            unit = batch.column(0).to_numpy()
+            change = np.flatnonzero(unit[1:] != unit[:-1])
+            cut = int(change[-1]) + 1 if len(change) else 0  # the last unit may go on
+            if waiting and (cut or waiting[-1].column(0)[-1].as_py() != unit[-1]):
+                waiting.append(batch.slice(0, cut))
+                yield links(waiting)
+                waiting = []
+            elif cut:
+                yield links([batch.slice(0, cut)])
+            waiting.append(batch.slice(cut))
+        if waiting:
+            yield links(waiting)
 
     return run
 
 
-def attach_sets(ids: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """``ids`` with the tokens of the node in column ``name``; few ids go to the sets by broadcast."""
-    ids = stage(ids, "ids")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return sets.withColumnRenamed("node", name).join(ids, name).select(*(c for c in ids.columns), "tokens")
+def open_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of ``units`` (unit, role, node); few of them go to the sets by broadcast."""
+    wanted = F.broadcast(units) if units.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else units
+    rows = sets.join(wanted, "node").select("unit", "role", "node", "tokens")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_open(percent), "a long, b long")
 
 
-def query_groups(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of ``candidates`` (query, grp) with ``members`` (grp, member) whose groups they open.
+def between_groups(placed: DataFrame, percent: int) -> DataFrame:
+    """(query, grp): groups whose row of the matrix holds enough of a node of another group.
 
-    A block that many queries ask for is copied, so no task gets an unbounded number of them.
+    ``placed``: token, node, rank, size, grp, large (the group has several nodes).
     """
-    asked = candidates.groupBy("grp").agg((F.floor(F.count("*") / QUERIES_A_COPY) + 1).cast("int").alias("copies"))
-    left = candidates.join(asked, "grp").withColumn("copy", F.pmod(F.xxhash64("query"), F.col("copies")).cast("int"))
-    left = attach_sets(left.select("grp", "copy", "query"), sets, "query")
-    right = members.join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "member")
-    right = attach_sets(right, sets, "member")
-    # new names on one side: both come from the same tables
-    right = right.toDF("g", "c", "member", "tokens")
-    return left.groupBy("grp", "copy").cogroup(right.groupBy("g", "c")).applyInPandas(_open(percent), "a long, b long")
+
+    def spare(size: str):
+        return F.floor(F.col(size) / SPARE) + 1
+
+    # of the smaller one of two linked nodes the shared tokens come this early
+    early = F.col("rank") < F.col("size") - F.floor((2 * percent * F.col("size") + 99 + percent) / (100 + percent)) + spare("size")
+    matrix = placed.where(early).groupBy("token", "grp").agg(F.min("size").alias("m"), F.max("size").alias("most"), F.max("rank").alias("at"), F.max("large").alias("large"))
+    asking = placed.select("token", F.col("node").alias("query"), F.col("size").alias("n"), "rank", F.col("grp").alias("own"), F.col("large").alias("in_large"))
+    fits = (F.col("m") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
+    # of two nodes of one size a single one asks: the lone one the other's group, else the greater
+    once = F.col("large") | (F.col("m") < F.col("n")) | (~F.col("in_large") & (F.col("grp") < F.col("query")))
+    shared = asking.join(matrix, "token").where((F.col("own") != F.col("grp")) & fits & once)
+    shared = shared.groupBy("query", "grp", "large").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("m").alias("m"), F.max("rank").alias("i"), F.max("at").alias("j"))
+    reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    # a union's last shared rank may come from another member than the one that links
+    reaches = F.col("large") | (reach * (100 + percent) >= percent * (F.col("n") + F.col("m")))
+    return shared.where((F.col("c") >= F.least(spare("n"), spare("m"))) & reaches).select("query", "grp")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = stage(
-        texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, node long, check long, slice int, counts binary"), "described"
-    )
+    described = stage(texts.mapInArrow(_describe(words), DESCRIBED), "described")
     sketch = spark.sparkContext.broadcast(count_sketch(described))
     rows = described.where("slice is null").select("doc_id", "n_shingles", "node", "check")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    nodes = rows.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("n_shingles").alias("size")
+    )
     nodes = stage(nodes, "nodes")
     if nodes.where("c1 <> c2").limit(1).count():
         raise ValueError("two different shingle sets share an identity")
 
-    matrix = texts.mapInArrow(_matrix_rows(words, percent, sketch), "token long, node long, rank int, size int")
-    matrix = stage(matrix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, MATRIX), "matrix")
-
-    def spare(size: str):
-        return F.floor(F.col(size) / SPARE) + 1
-
-    sets: DataFrame | None = None
-
-    def with_sets(wanted: DataFrame) -> DataFrame:
-        """Whole sets of the nodes ``wanted``; those fetched before are not computed again."""
-        nonlocal sets
-        lacking = wanted.distinct() if sets is None else wanted.distinct().join(sets.select("node"), "node", "left_anti")
-        found = stage(nodes.join(lacking, "node", "left_semi").select("least_id"), "lacking")
-        if sets is None or found.limit(1).count():
-            few = keep_rows(texts, found, "least_id", F.col("doc_id"))
-            # a repeated row gives its set again; whoever opens a group drops repeats
-            made = stage(few.mapInArrow(_sets(words), "node long, tokens array<long>"), "sets")
-            sets = made if sets is None else sets.unionByName(made)
-        return sets
-
-    def index_part(rank: str, size: str):
-        """Of the smaller one of two linked nodes the shared tokens come this early."""
-        n = F.col(size)
-        return F.col(rank) < n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + spare(size)
-
-    # star rounds: every node queries one node of each of its tokens, that of the least group
-    heads = matrix.where("node <> head").select("token", F.col("node").alias("query"), "rank", "size", F.col("head").alias("grp"), "head_rank", "head_size")
-    links = tested = near_pairs = None
-    still_open = matrix
-    loose = percent * LOOSE // 100
-    for _ in range(STARS):
-        pairs = heads.groupBy("query", "grp")
-        pairs = pairs.agg(F.count("*").alias("c"), F.max("rank").alias("i"), F.max("head_rank").alias("j"), F.max("size").alias("n"), F.max("head_size").alias("m"))
-        reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-        total = F.col("n") + F.col("m")
-        similar = (F.col("c") >= F.least(spare("n"), spare("m"))) & (reach * (100 + loose) >= loose * total)
-        pairs = stage(pairs.where(similar).withColumn("able", reach * (100 + percent) >= percent * total).select("query", "grp", "able"), "pairs")
-        near_pairs = pairs.select("query", "grp") if near_pairs is None else near_pairs.unionByName(pairs.select("query", "grp"))
-        first = pairs.where("able").select("query", "grp")
-        first = stage(first if tested is None else first.join(tested, ["query", "grp"], "left_anti"), "candidates")
-        if tested is not None and not first.limit(1).count():
-            break
-        tested = first if tested is None else tested.unionByName(first)
-        ends = first.select(F.col("query").alias("node")).unionByName(first.select(F.col("grp").alias("node")))
-        own = first.select("grp").distinct().withColumn("member", F.col("grp"))
-        found = stage(query_groups(first, own, with_sets(ends), percent), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = stage(connected_components(links), "groups")
-        members_of = groups.groupBy("component").agg(F.count("*").alias("members"))
-        named = groups.join(members_of, "component").select("node", F.col("component").alias("g"), "members")
-        placed = still_open.select("token", "node", "rank", "size").join(named, "node", "left").withColumn("g", F.coalesce("g", "node"))
-        spans = placed.groupBy("token").agg(F.min(F.struct("g", "node", "rank", "size")).alias("head"), F.max("g").alias("top"), F.max(index_part("rank", "size")).alias("indexed"))
-        open_tokens = still_open = stage(placed.join(spans.where("indexed and head.g < top").drop("indexed", "top"), "token"), "open-tokens")
-        heads = open_tokens.where("g <> head.g").select("token", F.col("node").alias("query"), "rank", "size", F.col("head.node").alias("grp"), F.col("head.rank").alias("head_rank"), F.col("head.size").alias("head_size"))
-
-    # last round: tokens that several groups still share
-    # (of a pair, the larger node is the query and the smaller one's group is opened)
-    # members of small groups are targets of their own, with a place for each token; a large group
-    # has its tokens' union, its least and greatest size
-    # families of loosely similar nodes: their sets are brought together once a tile, not once a pair
-    edges = near_pairs.select(F.col("query").alias("a"), F.col("grp").alias("b")).unionByName(links.select("a", "b"))
-    families = connected_components(edges).withColumnRenamed("component", "family")
-    tiles = families.groupBy("family").agg((F.floor(F.count("*") / TILE) + 1).cast("int").alias("tiles"))
-    families = stage(families.join(tiles, "family"), "families")
-
-    large = F.coalesce(F.col("members") > SMALL, F.lit(False))
-    open_tokens = open_tokens.join(families, "node", "left")
-    targets = open_tokens.where(index_part("rank", "size")).withColumn("grp", F.when(large, F.col("g")).otherwise(F.col("node")))
-    higher = targets.groupBy("token", "grp").agg(
-        F.min("g").alias("of"), F.min("size").alias("m"), F.max("size").alias("most"), F.max(F.when(~large, F.col("rank"))).alias("at"), F.min("family").alias("its_family"), F.max(large).alias("large")
-    )
-    near = (F.col("m") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
-    # of two nodes of one size a single one asks: the lone one the other's large group, else the greater id
-    once = F.col("large") | (F.col("m") < F.col("n")) | (~F.col("in_large") & (F.col("grp") < F.col("node")))
-    asking = open_tokens.withColumnRenamed("size", "n").withColumn("in_large", large).drop("members", "head")
-    shared = asking.join(higher, "token").where((F.col("g") != F.col("of")) & near & once).groupBy(F.col("node").alias("query"), "grp", "family", "tiles", "its_family", "large")
-    shared = shared.agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("m").alias("m"), F.max("rank").alias("i"), F.max("at").alias("j"))
-    reach = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    # a union's i may come from another member than the one that links, which may hold tokens before it past its index part
-    reaches = F.col("large") | ((reach * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (reach * 100 >= percent * F.col("n")))
-    able = (F.col("c") >= F.least(spare("n"), spare("m"))) & reaches
-    every = stage(shared.where(able).select("query", "grp", "family", "tiles", "its_family", "large"), "candidates")
-    big = stage(members_of.where(F.col("members") > SMALL).select("component"), "big")
-
-    # pairs within a family, by its tiles
-    inside = every.where("family = its_family")
-    tile = lambda c: F.pmod(F.xxhash64(c), F.col("tiles")).cast("int")
-    all_tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
-    placed_pairs = inside.where("not large").withColumn("t", tile("grp")).unionByName(inside.where("large").withColumn("t", F.explode(all_tiles)))
-    keyed = placed_pairs.select("family", F.least(tile("query"), "t").alias("lo"), F.greatest(tile("query"), "t").alias("hi"), "query", "grp")
-    in_large = groups.join(big, "component", "left_semi")
-    ends = inside.select(F.col("query").alias("node")).distinct().unionByName(inside.where("not large").select(F.col("grp").alias("node")).distinct())
-    ends = ends.unionByName(in_large.join(inside.where("large").select(F.col("grp").alias("component")).distinct(), "component", "left_semi").select("node")).distinct()
-    rows_of = ends.join(families, "node").join(in_large, "node", "left").withColumn("u", F.explode(all_tiles))
-    rows_of = rows_of.select("family", F.least(tile("node"), "u").alias("lo"), F.greatest(tile("node"), "u").alias("hi"), "node", F.coalesce("component", "node").alias("target"))
-    rows_of = rows_of.join(keyed.select("family", "lo", "hi").distinct(), ["family", "lo", "hi"], "left_semi")
-    sets_of = attach_sets(rows_of, with_sets(ends), "node").toDF("f", "l", "h", "node", "target", "tokens")
-    more = stage(keyed.groupBy("family", "lo", "hi").cogroup(sets_of.groupBy("f", "l", "h")).applyInPandas(_open_tile(percent), "a long, b long"), "links")
-
-    # and the few that families do not hold together
-    second = every.where("family is null or its_family is null or family <> its_family").select("query", "grp")
-    targets = second.select("grp").distinct()
-    blocks = groups.join(big, "component", "left_semi").join(targets.withColumnRenamed("grp", "component"), "component").select("component", F.col("node").alias("member"))
-    lone = targets.join(big.select(F.col("component").alias("grp")), "grp", "left_anti").select("grp", F.col("grp").alias("member"), F.lit(0).alias("block"))
-    # blocks by hash of the member, as many as the component's size asks for
-    sizes = blocks.groupBy("component").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
-    blocks = blocks.join(sizes, "component").select(F.col("component").alias("grp"), "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")).unionByName(lone)
-    blocks = stage(blocks, "blocks")
-    per_block = second.join(blocks.select("grp", "block").distinct(), "grp").select("query", F.struct("grp", "block").alias("grp"))
-    members = blocks.select(F.struct("grp", "block").alias("grp"), "member")
-    ends = second.select(F.col("query").alias("node")).unionByName(blocks.select(F.col("member").alias("node")))
-    more = more.unionByName(query_groups(per_block, members, with_sets(ends), percent))
-    final = connected_components(links.unionByName(more))
+    # groups of similar nodes, each cut into tiles
+    groups = find_groups(described).withColumnRenamed("component", "grp")
+    sized = groups.join(nodes.select("node", "size"), "node")
+    tiles = sized.groupBy("grp").agg((F.greatest(F.floor(F.count("*") / TILE), F.floor(F.sum("size") / TILE_TOKENS)) + 1).cast("int").alias("tiles"))
+    members = groups.join(tiles, "grp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    members = stage(members.select("grp", "tiles", "tile", "node"), "members")
+    other = members.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pair = F.xxhash64(F.lit(0), "grp", F.least("tile", "u"), F.greatest("tile", "u")).alias("unit")
+    inside = other.select(pair, F.when(F.col("tile") == F.col("u"), 3).when(F.col("tile") < F.col("u"), 1).otherwise(2).alias("role"), "node")
+
+    # the matrix, and what qualifies between groups
+    matrix = texts.mapInArrow(_matrix_rows(words, percent, sketch), MATRIX)
+    matrix = matrix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, MATRIX)
+    placed = matrix.join(members.select("node", "grp"), "node", "left").withColumn("large", F.col("grp").isNotNull()).withColumn("grp", F.coalesce("grp", "node"))
+    placed = stage(placed, "matrix")
+    asked = stage(between_groups(placed, percent), "asked")
+    release(placed)
+    blocks = members.select("grp", "tile", F.col("node").alias("member"))
+    lone = asked.join(members.select("grp").distinct(), "grp", "left_anti").select("grp").distinct().select("grp", F.lit(0).alias("tile"), F.col("grp").alias("member"))
+    blocks = blocks.join(asked.select("grp").distinct(), "grp", "left_semi").unionByName(lone)
+    copies = asked.groupBy("grp").agg((F.floor(F.count("*") / QUERIES_A_COPY) + 1).cast("int").alias("copies"))
+    unit = F.xxhash64(F.lit(1), "grp", "tile", "copy").alias("unit")
+    queries = asked.join(copies, "grp").withColumn("copy", F.pmod(F.xxhash64("query"), F.col("copies")).cast("int"))
+    queries = queries.join(blocks.select("grp", "tile").distinct(), "grp").select(unit, F.lit(1).alias("role"), F.col("query").alias("node"))
+    opened = blocks.join(copies, "grp").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    opened = opened.select(unit, F.lit(2).alias("role"), F.col("member").alias("node"))
+    units = stage(inside.unionByName(queries).unionByName(opened), "units")
+
+    # whole sets of the nodes concerned, and the links
+    ids = nodes.join(units.select("node").distinct(), "node", "left_semi").select("least_id")
+    sets = keep_rows(texts, ids, "least_id", F.col("doc_id")).mapInArrow(_sets(words), "node long, tokens array<long>")
+    links = stage(open_units(units, sets, percent), "links")
+    release(units)
+    final = connected_components(links)
+    release(links)
 
     named = final.join(nodes.select("node", "least_id"), "node").withColumnRenamed("component", "c")
     best = named.groupBy("c").agg(F.min("least_id").alias("component_id"))

@@ -36,7 +36,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and return a scan of it (lineage is cut)."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(staged: DataFrame) -> None:
+    """Delete a staged table that nothing will read any more; a folder that is gone already is no error."""
+    path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged._stage_path)
+    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_bucket(column: Column, modulus: int) -> Column:
