@@ -78,11 +78,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times"))
         large = _star(both.where("v > u"), low, 2 * before[0]).unionByName(low.where("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        # every node's least neighbour, and (down) its other lower neighbours; a node has few of those
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).where("a > b").distinct()
-        small = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+        small = _star(down, low, before[0]).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         old, edges = edges, stage(small.distinct(), "edges")
         release(old)
         after = _signature(edges)

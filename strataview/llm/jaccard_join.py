@@ -266,6 +266,41 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["token", "node", "rank", "size"])
 
 
+PLACED = MATRIX + ", grp long, large boolean"
+#: Rows of one token that wait for a second group to show up; beyond, they are passed on.
+WAITING = 200_000
+
+
+def _several_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token: those whose token has two groups or more."""
+    waiting: list[pa.RecordBatch] = []
+    passed = None  # the last token of which rows were passed on
+
+    def chosen(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        token, grp = table.column("token").to_numpy(), table.column("grp").to_numpy()
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        several = np.maximum.reduceat(grp, first) != np.minimum.reduceat(grp, first)
+        several |= token[first] == passed if passed is not None else False
+        return table.filter(pa.array(np.repeat(several, np.diff(np.append(first, len(token)))))).to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column(0).to_numpy()
+        change = np.flatnonzero(token[1:] != token[:-1])
+        cut = int(change[-1]) + 1 if len(change) else 0  # the last token may go on
+        if cut or (waiting and waiting[-1].column(0)[-1].as_py() != token[-1]):
+            yield from chosen([*waiting, batch.slice(0, cut)])
+            waiting = []
+        waiting.append(batch.slice(cut))
+        if sum(b.num_rows for b in waiting) > WAITING:
+            yield from waiting
+            waiting, passed = [], token[-1]
+    if waiting:
+        yield from chosen(waiting)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -445,7 +480,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the matrix, and what qualifies between groups
     matrix = texts.mapInArrow(_matrix_rows(words, percent, sketch), MATRIX)
     matrix = matrix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, MATRIX)
-    placed = matrix.join(members.select("node", "grp"), "node", "left").withColumn("large", F.col("grp").isNotNull()).withColumn("grp", F.coalesce("grp", "node"))
+    whose, few = members.select("node", "grp"), members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    placed = matrix.join(F.broadcast(whose) if few else whose, "node", "left").withColumn("large", F.col("grp").isNotNull()).withColumn("grp", F.coalesce("grp", "node"))
+    placed = placed.select("token", "node", "rank", "size", "grp", "large")
+    placed = (placed if few else placed.repartition("token")).sortWithinPartitions("token").mapInArrow(_several_groups, PLACED)
     placed = stage(placed, "matrix")
     asked = stage(between_groups(placed, percent), "asked")
     release(placed)

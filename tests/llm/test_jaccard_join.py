@@ -144,3 +144,19 @@ def test_components_of_hubs_and_chains(spark):
     edges = spark.createDataFrame([*chain, *hub, (7, 7)], "a long, b long").repartition(6)
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(301)}
+
+
+def test_several_groups_across_batches(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = np.array(sorted(rng.integers(0, 40, (200, 2)).tolist()))
+    rows[:, 1] %= 3
+    groups = {t: {g for u, g in rows.tolist() if u == t} for t in rows[:, 0].tolist()}
+    schema = ["token", "node", "rank", "size", "grp", "large"]
+    for size in (1, 2, 3, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + size, c]) for c in (0, 1, 0, 0, 1, 1)], schema) for k in range(0, len(rows), size)]
+        got = [r for b in jj._several_groups(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)]
+        assert got == [(t, g) for t, g in rows.tolist() if len(groups[t]) > 1]
+    monkeypatch.setattr(jj, "WAITING", 3)  # passes on more, never less
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + 2, c]) for c in (0, 1, 0, 0, 1, 1)], schema) for k in range(0, len(rows), 2)]
+    got = {r for b in jj._several_groups(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)}
+    assert got >= {(t, g) for t, g in rows.tolist() if len(groups[t]) > 1}
