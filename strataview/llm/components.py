@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges are first contracted to a forest within each task.  Each step is then a grouped minimum and
+Edges are first contracted to forests within tasks, as they come and dealt by either end (an end of
+very many edges over ``SALTS`` tasks), so few rounds are left.  Each step is then a grouped minimum and
 a join over the edge table, in which keys of very many edges are joined by broadcast (``join_groups``);
 nothing is gathered in one task or on the driver, and the edges are staged after every round, so a
 lost executor costs one round at most.
@@ -19,6 +20,7 @@ from strataview.llm.staging import join_groups, release, stage
 
 #: Edges that a task contracts at once.
 CONTRACTED = 2_000_000
+SALTS = 8
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Raises if the labels have not settled after ``max_rounds``.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_contract, "a long, b long")
+    for end, other in ("ba", "ab"):
+        edges = edges.repartition(end, F.pmod(F.xxhash64(other), F.lit(SALTS))).mapInArrow(_contract, "a long, b long")
     edges = stage(edges.distinct(), "edges")
     before = _signature(edges)
     for _ in range(max_rounds):
