@@ -1,22 +1,26 @@
-"""Removal of long repeated byte strings (at least ``length`` bytes).
+"""Removal of long repeated byte strings (at least ``LENGTH`` bytes), and passages that documents share.
 
-A byte goes if a string of ``length`` bytes that covers it also starts anywhere else.
-Strings are compared where equal ones must meet: every window of ``length`` bytes has
-an *anchor*, its least 32-byte gram (by hash, leftmost), and equal windows have equal
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else.  Beside
+that, sequences of ``PASSAGE`` words (lower-cased, white space apart) that another document holds
+too are reported and not removed.  Both are one search over windows of symbols, bytes or words.
+Windows are compared where equal ones must meet: every window has
+an *anchor*, its least gram (by hash, leftmost), and equal windows have equal
 anchors at equal distances.  Consecutive windows with one anchor make a *run*.
 
 1. One row per run goes by anchor.  Runs that are identical as a whole count as
-   one variant; a variant that occurs twice is removed wherever it occurs.
-2. Where an anchor has several variants, one representative of each sends its bytes,
-   and their windows are compared by distance from the anchor.
+   one variant; a variant that occurs twice (words: in two documents) is covered wherever it occurs.
+2. Where an anchor has several variants, one representative of each sends its symbols,
+   and their windows are compared by distance from the anchor.  Anchors of more than
+   ``HOT`` variants never meet in a task: their windows are counted by hash, row by row.
 3. Covered ranges are united per document and cut out.
 
+Runs are the same if the 64-bit hashes of anchor and content, the length and the place of the anchor agree.
 ``bwt.py`` holds the merge of shard Burrows-Wheeler transforms; the README gives its
 measured cost and says why this way is the one that runs.
 
-Defined cases: a null text is an empty one; texts shorter than ``length`` lose nothing; rows
-that repeat are occurrences of each other; matches never cross documents; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: a null text is an empty one; texts shorter than a window lose nothing; rows
+that repeat are occurrences of each other for removal, and one document for passages; matches never
+cross documents; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataview.llm.staging import stage
-from strataview.llm.textkit import mix, powers, range_sums, steps, text_buffers
+from strataview.llm.textkit import byte_symbols, mix, powers, steps, symbol_sums, text_buffers, word_hashes
 
+#: Bytes of a window and its grams; words of a passage and its grams.
 LENGTH, GRAM = 400, 32
+PASSAGE, PASSAGE_GRAM = 51, 8
+BYTES, WORDS = 0, 1
+#: Variants of an anchor that are compared in one task.
+HOT = 2000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POSITION_BITS = 24
 
@@ -49,15 +58,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def find_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows: text number, first window, windows, anchor distance, anchor, two content hashes."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(7))
-    if len(data) < length:
+def window_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[end] - sums[begin]) * powers(len(sums))[1][begin])
+
+
+def find_runs(symbols: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of windows: text number, first window, windows, anchor distance, anchor, content hash."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+    if len(symbols) < length:
         return none
-    sums = range_sums(data)
-    inverse = powers(len(sums))[1]
-    at = np.arange(len(data) - gram + 1)
-    grams = mix((sums[gram:] - sums[:-gram]) * inverse[at])
+    sums = symbol_sums(symbols)
+    at = np.arange(len(symbols) - gram + 1)
+    grams = window_hashes(sums, at, at + gram)
     # the least gram of a window, leftmost: hash above, position below
     packed = ((grams >> np.uint64(_POSITION_BITS)) << np.uint64(_POSITION_BITS)) | at.astype(np.uint64)
     least = sliding_min(packed, length - gram + 1) & np.uint64((1 << _POSITION_BITS) - 1)
@@ -72,105 +84,114 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(start)))
     begin, whose, anchor = start[first], owner[first], least[first]
-    end = begin + n - 1 + length
-    content = (sums[end] - sums[begin]) * inverse[begin]
-    once, twice = mix(content), mix(content ^ np.uint64(0x5851F42D4C957F2D)) + end.astype(np.uint64) - begin.astype(np.uint64)
-    return whose, begin - offsets[whose], n, anchor - begin, grams[anchor].view(np.int64), once.view(np.int64), mix(twice).view(np.int64)
-
+    content = window_hashes(sums, begin, begin + n - 1 + length)
+    return whose, begin - offsets[whose], n, anchor - begin, grams[anchor].view(np.int64), content.view(np.int64)
 
-RUN = "row long, first int, n int, gap int, anchor long, content long"
 
-
-def _segments(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, bounds, and (row number, byte offset) of texts; very long texts in overlapping pieces."""
-    data, offsets = text_buffers(batch.column(1))
+def long_runs(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``find_runs`` with very long texts in overlapping pieces."""
     most = 1 << (_POSITION_BITS - 1)
-    if len(data) <= most:
-        yield data, offsets, np.column_stack([np.arange(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)])
+    if len(symbols) <= most:
+        yield find_runs(symbols, offsets, length, gram)
         return
     for row in range(len(offsets) - 1):
-        text = data[offsets[row] : offsets[row + 1]]
-        for at in range(0, max(1, len(text) - LENGTH + 1), most):
-            piece = text[at : at + most + LENGTH - 1]
-            yield piece, np.array([0, len(piece)]), np.array([[row, at]])
+        text = symbols[offsets[row] : offsets[row + 1]]
+        for at in range(0, max(1, len(text) - length + 1), most):
+            piece = text[at : at + most + length - 1]
+            whose, first, *rest = find_runs(piece, np.array([0, len(piece)]), length, gram)
+            yield (whose + row, first + at, *rest)
+
+
+def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's begin and the last end."""
+    hashes, owner = word_hashes(data, offsets)
+    return hashes, np.searchsorted(owner, np.arange(len(offsets)))
+
+
+RUN = "row long, kind int, first int, n int, gap int, anchor long, content long"
+SHARED = "kind int, n int, gap int, anchor long, content long, low int, high int"
+PIECE = "kind int, n int, gap int, anchor long, content long, least long, most long, symbols binary"
+WINDOW = "kind int, n int, gap int, anchor long, content long, least long, most long, step int, value long"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in steps(whole):
             rows = batch.column(0).to_numpy()
-            for data, offsets, origin in _segments(batch):
-                whose, first, n, gap, anchor, content, _ = find_runs(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows[origin[whose, 0]], pa.int64()),
-                        pa.array(first + origin[whose, 1], pa.int32()),
-                        pa.array(n, pa.int32()),
-                        pa.array(gap, pa.int32()),
-                        pa.array(anchor, pa.int64()),
-                        pa.array(content, pa.int64()),
-                    ],
-                    ["row", "first", "n", "gap", "anchor", "content"],
-                )
-
-
-def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the asked runs of each text."""
+            data, offsets = text_buffers(batch.column(1))
+            for kind, (symbols, at), length, gram in ((BYTES, (byte_symbols(data), offsets), LENGTH, GRAM), (WORDS, word_symbols(data, offsets), PASSAGE, PASSAGE_GRAM)):
+                for whose, first, n, gap, anchor, content in long_runs(symbols, at, length, gram):
+                    # anchors of the two kinds never meet: the lowest bit is the kind
+                    yield _batch(RUN, [rows[whose], np.full(len(n), kind), first, n, gap, (anchor & ~1) | kind, content])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Symbols of the asked runs of each text: bytes, or hashes of words."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(0))
-        names = ("first", "n", "gap", "anchor", "content")
-        out: list[list] = [[], [], [], [], []]
+        words, at = word_symbols(data, offsets)
+        out: list[list] = [[] for _ in range(8)]
         for k, asked in enumerate(batch.column(1).to_pylist()):
-            text = data[offsets[k] : offsets[k + 1]]
+            text, its_words = data[offsets[k] : offsets[k + 1]], words[at[k] : at[k + 1]]
             for x in asked:
-                for column, name in zip(out, names[1:], strict=False):
+                for column, name in zip(out, ("kind", "n", "gap", "anchor", "content", "least", "most"), strict=False):
                     column.append(x[name])
-                out[4].append(text[x["first"] : x["first"] + x["n"] - 1 + LENGTH].tobytes())
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["n", "gap", "anchor", "content", "bytes"])
+                source, length = (its_words, PASSAGE) if x["kind"] else (text, LENGTH)
+                out[7].append(source[x["first"] : x["first"] + x["n"] - 1 + length].tobytes())
+        yield _batch(PIECE, out)
 
 
-def shared_windows(n: np.ndarray, gap: np.ndarray, anchor: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which windows (run after run) occur in more than one of the runs."""
-    sums = range_sums(data)
+def _values(kind: int, n: np.ndarray, gap: np.ndarray, anchor: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every window (run after run) with its distance from the anchor, and its place in the run."""
+    data, offsets = text_buffers(column)
+    symbols, length = (np.frombuffer(data.tobytes(), np.uint64), PASSAGE) if kind else (byte_symbols(data), LENGTH)
+    begin = offsets[:-1] // (8 if kind else 1)
     step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    at = np.repeat(offsets[:-1], n) + step
-    value = mix((sums[at + length] - sums[at]) * powers(len(sums))[1][at])
-    value = mix(value + mix((np.repeat(anchor, n) + np.repeat(gap, n) - step).astype(np.uint64)))
-    _, back, counts = np.unique(value, return_inverse=True, return_counts=True)
-    return counts[back] > 1
+    at = np.repeat(begin, n) + step
+    value = window_hashes(symbol_sums(symbols), at, at + length)
+    return mix(value + mix((np.repeat(anchor, n) + np.repeat(gap, n) - step).astype(np.uint64))), step
+
+
+def shared_windows(value: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Windows whose value has more than one origin, from the least and the greatest origin of each."""
+    own, back = np.unique(value, return_inverse=True)
+    low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+    np.minimum.at(low, back, least)
+    np.maximum.at(high, back, most)
+    return (low != high)[back]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared window ranges of the variants of each anchor; rows are sorted by anchor."""
     waiting: list[pa.RecordBatch] = []
 
-    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
-        n, gap, anchor, content = (rows.column(k).to_numpy() for k in range(4))
-        order = np.arange(len(n))
-        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        at = 0
-        while at < len(n):  # whole anchors, a few MB of bytes at a time
-            end = int(np.searchsorted(np.cumsum(n[at:]), 1 << 18, "right")) + at
-            end = min(max(end, at + 1), len(n))
-            end = int(np.searchsorted(anchor, anchor[end - 1], "right"))
-            part = slice(at, end)
-            data, offsets = text_buffers(rows.column(4).slice(at, end - at))
-            flags = np.zeros(int(n[part].sum()) + 1, bool)
-            flags[:-1] = shared_windows(n[part], gap[part], anchor[part], data, offsets)
-            which = np.repeat(order[part], n[part])
-            first = np.concatenate([[0], np.cumsum(n[part])[:-1]])
-            step = np.arange(len(which)) - np.repeat(first, n[part])
-            begins = flags[:-1] & ((step == 0) | ~np.concatenate([[False], flags[:-2]]))
-            ends = flags[:-1] & (np.concatenate([step[1:] == 0, [True]]) | ~flags[1:])
-            b, e = np.flatnonzero(begins), np.flatnonzero(ends)
-            row = which[b]
-            for column, values in zip(out, (n[row], gap[row], anchor[row], content[row], step[b], step[e]), strict=True):
-                column.append(values)
-            at = end
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), t) for c, t in zip(out, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["n", "gap", "anchor", "content", "low", "high"])
+    def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for kind in (BYTES, WORDS):
+            own = rows.filter(pa.array(rows.column(0).to_numpy() == kind))
+            n, gap, anchor, content, least, most = (own.column(k).to_numpy() for k in range(1, 7))
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):  # whole anchors, a few MB of symbols at a time
+                end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right"))
+                end = min(max(end, at + 1), len(n))
+                end = at + int(np.searchsorted(anchor[at:], anchor[end - 1], "right"))
+                part = slice(at, end)
+                value, step = _values(kind, n[part], gap[part], anchor[part], own.column(7).slice(at, end - at))
+                which = np.repeat(np.arange(at, end), n[part])
+                # bytes: any two variants; words: variants of two documents
+                flags = shared_windows(value, *((which, which) if kind == BYTES else (least[which], most[which])))
+                begins = flags & ((step == 0) | ~np.concatenate([[False], flags[:-1]]))
+                stops = flags & (np.concatenate([step[1:] == 0, [True]]) | ~np.concatenate([flags[1:], [False]]))
+                b, e = np.flatnonzero(begins), np.flatnonzero(stops)
+                row = which[b]
+                yield _batch(SHARED, [np.full(len(row), kind), n[row], gap[row], anchor[row], content[row], step[b], step[e]])
+                at = end
 
     def joined() -> pa.RecordBatch:
         return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
@@ -178,34 +199,48 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchors = batch.column(2).to_numpy()
+        anchors = batch.column(3).to_numpy()
         cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
-        if cut or (waiting and waiting[-1].column(2)[-1].as_py() != anchors[-1]):
+        if cut or (waiting and waiting[-1].column(3)[-1].as_py() != anchors[-1]):
             waiting.append(batch.slice(0, cut))
-            yield compare(joined())
+            yield from compare(joined())
             waiting = []
         waiting.append(batch.slice(cut))
     if waiting:
-        yield compare(joined())
+        yield from compare(joined())
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window of the given pieces."""
+    for batch in batches:
+        for kind in (BYTES, WORDS):
+            own = batch.filter(pa.array(batch.column(0).to_numpy() == kind))
+            for at in range(0, own.num_rows, 500):
+                part = own.slice(at, 500)
+                columns = [c.to_numpy() for c in part.columns[:7]]
+                value, step = _values(kind, *columns[1:4], part.column(7))
+                yield _batch(WINDOW, [*(np.repeat(c, columns[1]) for c in columns), step, value.view(np.int64)])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the covered ranges out of each text."""
+    """Cut the covered ranges out of each text; ranges of words are counted."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words"]
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in range(6)]
         for k, ranges in enumerate(batch.column(2).to_pylist()):
             text = data[offsets[k] : offsets[k + 1]]
-            spans = merge_ranges([(r["low"], r["high"]) for r in ranges or ()])
+            spans, passages = (merge_ranges([(r["low"], r["high"]) for r in ranges or () if r["kind"] == kind]) for kind in (BYTES, WORDS))
             kept, at = hashlib.sha256(), 0
             for low, high in spans:
                 kept.update(text[at:low].tobytes())
                 at = high
             kept.update(text[at:].tobytes())
-            for column, value in zip(out, (len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest()), strict=True):
+            found = (len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), len(passages), sum(b - a for a, b in passages))
+            for column, value in zip(out, found, strict=True):
                 column.append(value)
-        arrays = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        arrays = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
 
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -218,22 +253,43 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _length() -> Column:
+    return F.when(F.col("kind") == WORDS, PASSAGE).otherwise(LENGTH)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words.
+
+    The last two: maximal word sequences of which every ``PASSAGE`` words occur in another document, and their words.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    variant = ["anchor", "gap", "n", "content"]
-    runs = stage(texts.where(F.octet_length("text") >= LENGTH).select("row", "text").mapInArrow(_runs, RUN), "runs")
+    variant = ["kind", "anchor", "gap", "n", "content"]
+    # a text of fewer bytes than words and blanks of a passage has no window at all
+    runs = stage(texts.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).select("row", "text").mapInArrow(_runs, RUN), "runs")
     # partial aggregation: equal runs of a hot passage are one row per task
-    variants = stage(runs.groupBy(*variant).agg(F.count("*").alias("times"), F.min(F.struct("row", "first")).alias("at")), "variants")
-    several = variants.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor")
-    asked = variants.join(several, "anchor", "left_semi").select(F.col("at.row").alias("row"), F.struct(F.col("at.first").alias("first"), "n", "gap", "anchor", "content").alias("run"))
+    variants = runs.groupBy(*variant).agg(F.count("*").alias("times"), F.min(F.struct("row", "first")).alias("at"), F.max("row").alias("most"))
+    known = stage(variants, "variants")
+    anchors = stage(known.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "anchors")
+    run = F.struct(F.col("at.first").alias("first"), *variant, F.col("at.row").alias("least"), "most", (F.col("variants") > HOT).alias("hot")).alias("run")
+    asked = known.join(anchors, "anchor").select(F.col("at.row").alias("row"), run)
     asked = asked.groupBy("row").agg(F.collect_list("run").alias("runs"))  # at most a text's own runs
-    one = texts.select("row", "text").join(asked, "row").select("text", "runs")
-    pieces = one.mapInArrow(_cut_bytes, "n int, gap int, anchor long, content long, bytes binary")
-    pieces = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    shared = stage(pieces.mapInArrow(_compare, "n int, gap int, anchor long, content long, low int, high int"), "shared")
-    whole = runs.join(variants.where("times > 1").select(*variant), variant, "left_semi").select("row", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("high"))
-    partly = runs.join(shared, variant).select("row", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + LENGTH).alias("high"))
-    ranges = whole.unionByName(partly).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    return texts.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    one = texts.select("row", "text").join(asked, "row")
+
+    def pieces(hot: bool) -> DataFrame:
+        chosen = F.filter("runs", lambda r: r["hot"] if hot else ~r["hot"])
+        return one.select("text", chosen.alias("runs")).where(F.size("runs") > 0).mapInArrow(_pieces, PIECE)
+
+    shared = stage(pieces(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, SHARED), "shared")
+    if anchors.where(F.col("variants") > HOT).limit(1).count():
+        windows = stage(pieces(True).mapInArrow(_windows, WINDOW), "windows")
+        origin = lambda name: F.when(F.col("kind") == WORDS, F.col(name)).otherwise(F.xxhash64(*variant))
+        values = windows.groupBy("value", "kind").agg(F.min(origin("least")).alias("lo"), F.max(origin("most")).alias("hi")).where("lo <> hi").select("value", "kind")
+        found = windows.join(values, ["value", "kind"]).select("kind", "n", "gap", "anchor", "content", F.col("step").alias("low"), F.col("step").alias("high"))
+        shared = shared.unionByName(found)
+    repeated = known.where(F.when(F.col("kind") == WORDS, F.col("at.row") != F.col("most")).otherwise(F.col("times") > 1)).select(*variant)
+    whole = runs.join(repeated, variant, "left_semi").select("row", "kind", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + _length()).alias("high"))
+    partly = runs.join(shared, variant).select("row", "kind", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + _length()).alias("high"))
+    ranges = whole.unionByName(partly).groupBy("row").agg(F.collect_set(F.struct("kind", "low", "high")).alias("ranges"))
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
+    return texts.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, out)

@@ -97,13 +97,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, begin, end, np.searchsorted(offsets, begin, "right") - 1
 
 
-def range_sums(data: np.ndarray) -> np.ndarray:
+def byte_symbols(data: np.ndarray) -> np.ndarray:
+    """A fixed random number for every byte."""
+    return _BYTE[data]
+
+
+def symbol_sums(symbols: np.ndarray) -> np.ndarray:
     """Running polynomial sums; the difference of two gives a substring's hash."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data) + 1)[0][:-1], out=sums[1:], dtype=np.uint64)
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * powers(len(symbols) + 1)[0][:-1], out=sums[1:], dtype=np.uint64)
     return sums
 
 
+def range_sums(data: np.ndarray) -> np.ndarray:
+    return symbol_sums(_BYTE[data])
+
+
 def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit hashes of the byte ranges [begin, end)."""
     raw = (sums[end] - sums[begin]) * powers(len(sums))[1][begin]

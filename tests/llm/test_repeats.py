@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -20,7 +21,24 @@ def brute(data, length=400):
         spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]))
         kept = bytes(b for b, g in zip(t, gone[1:], strict=False) if not g)
         out.append((row[0], len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=str)
+    return sorted((a + b for a, b in zip(out, passages(data), strict=True)), key=str)
+
+
+def passages(data, size=51):
+    """Per row: maximal word ranges of which each ``size`` words occur in another document, and their words."""
+    words = [tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))) for r in data]
+    holders = {}
+    for row, w in zip(data, words, strict=True):
+        for k in range(len(w) - size + 1):
+            holders.setdefault(w[k : k + size], set()).add((row[0], row[1]))
+    out = []
+    for w in words:
+        held = np.zeros(len(w) + 2, bool)
+        for k in range(len(w) - size + 1):
+            if len(holders[w[k : k + size]]) > 1:
+                held[k + 1 : k + 1 + size] = True
+        out.append((int(np.count_nonzero(held[1:] & ~held[:-1])), int(held.sum())))
+    return out
 
 
 def check(spark, data):
@@ -47,20 +65,42 @@ def test_edge_cases(spark):
     assert repeats.remove_repeats(cases.frame(spark, [])).count() == 0
 
 
-def test_long_texts_in_pieces(spark, monkeypatch):
+def test_passages_of_short_words(spark):
+    """Passages shorter than a byte window; copies within one document do not count."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 4)))
+    shared = [[word() for _ in range(n)] for n in (49, 50, 51, 52, 60, 120)]
+    data = []
+    for k in range(60):
+        parts = [[word() for _ in range(rng.randint(0, 70))]]
+        for _ in range(rng.randint(0, 2)):
+            parts += [rng.choice(shared)[rng.choice([0, 0, 1, 5]) :], [word() for _ in range(rng.randint(0, 30))]]
+        text = rng.choice(["\n", " ", "\t "]).join(w.upper() if k % 5 == 0 else w for p in parts for w in p)
+        data.append((k, text, "en", "a", 0, "", "", ""))
+    own = " ".join(word() for _ in range(70))
+    data += [(80, own + " and " + own, "en", "a", 0, "", "", ""), (81, "x " * 101, "", "", 0, "", "", ""), data[7]]
+    assert any(n and len(r[1]) for r, (n, _) in zip(data, passages(data), strict=True))
+    check(spark, data)
+
+
+def test_anchors_of_many_variants(spark, monkeypatch):
+    """Beyond HOT variants windows are counted row by row, with the same result."""
+    monkeypatch.setattr(repeats, "HOT", 2)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = [text(n) for n in (300, 420, 700, 1200)]
+    check(spark, [(k, text(rng.randint(0, 300)) + rng.choice(shared)[rng.choice([0, 3]) :] + text(rng.randint(0, 300)), "en", "a", 0, "", "", "") for k in range(50)])
+
+
+def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "_POSITION_BITS", 11)
     rng = random.Random(2)
-    text = "".join(rng.choice("abcd") for _ in range(6000))
-    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 6000])
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["row", "text"])
+    data = np.frombuffer("".join(rng.choice("abcd") for _ in range(6000)).encode(), np.uint8)
     windows = []
-    for piece, bounds, origin in repeats._segments(batch):
-        whose, first, n, *_ = repeats.find_runs(piece, bounds)
-        windows += [int(f + origin[w, 1] + s) for w, f, k in zip(whose, first, n, strict=True) for s in range(k)]
+    for whose, first, n, *_ in repeats.long_runs(repeats.byte_symbols(data), np.array([0, 6000]), repeats.LENGTH, repeats.GRAM):
+        assert not whose.any()
+        windows += [int(f + s) for f, k in zip(first, n, strict=True) for s in range(k)]
     assert windows == list(range(6000 - 399))
-    assert len(data) == offsets[1]
 
 
 def test_sliding_min():
