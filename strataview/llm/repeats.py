@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataview.llm.staging import stage
+from strataview.llm.staging import release, stage
 from strataview.llm.textkit import byte_symbols, mix, powers, steps, symbol_sums, text_buffers, word_hashes
 
 #: Bytes of a window and its grams; words of a passage and its grams.
@@ -108,7 +108,7 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-RUN = "row long, kind int, first int, n int, gap int, anchor long, content long"
+RUN = "row long, first int, n int, gap int, anchor long, content long"
 SHARED = "kind int, n int, gap int, anchor long, content long, low int, high int"
 PIECE = "kind int, n int, gap int, anchor long, content long, least long, most long, symbols binary"
 WINDOW = "kind int, n int, gap int, anchor long, content long, least long, most long, step int, value long"
@@ -128,23 +128,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, (symbols, at), length, gram in ((BYTES, (byte_symbols(data), offsets), LENGTH, GRAM), (WORDS, word_symbols(data, offsets), PASSAGE, PASSAGE_GRAM)):
                 for whose, first, n, gap, anchor, content in long_runs(symbols, at, length, gram):
                     # anchors of the two kinds never meet: the lowest bit is the kind
-                    yield _batch(RUN, [rows[whose], np.full(len(n), kind), first, n, gap, (anchor & ~1) | kind, content])
+                    yield _batch(RUN, [rows[whose], first, n, gap, (anchor & ~1) | kind, content])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Symbols of the asked runs of each text: bytes, or hashes of words."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(0))
-        words, at = word_symbols(data, offsets)
-        out: list[list] = [[] for _ in range(8)]
-        for k, asked in enumerate(batch.column(1).to_pylist()):
-            text, its_words = data[offsets[k] : offsets[k + 1]], words[at[k] : at[k + 1]]
-            for x in asked:
-                for column, name in zip(out, ("kind", "n", "gap", "anchor", "content", "least", "most"), strict=False):
-                    column.append(x[name])
-                source, length = (its_words, PASSAGE) if x["kind"] else (text, LENGTH)
-                out[7].append(source[x["first"] : x["first"] + x["n"] - 1 + length].tobytes())
-        yield _batch(PIECE, out)
+    for whole in batches:
+        for batch in steps(whole):
+            data, offsets = text_buffers(batch.column(0))
+            words, at = word_symbols(data, offsets)
+            out: list[list] = [[] for _ in range(8)]
+            for k, asked in enumerate(batch.column(1).to_pylist()):
+                text, its_words = data[offsets[k] : offsets[k + 1]], words[at[k] : at[k + 1]]
+                for x in asked:
+                    kind = x["anchor"] & 1
+                    for column, value in zip(out, (kind, x["n"], x["gap"], x["anchor"], x["content"], x["least"], x["most"]), strict=False):
+                        column.append(value)
+                    source, length = (its_words, PASSAGE) if kind else (text, LENGTH)
+                    out[7].append(source[x["first"] : x["first"] + x["n"] - 1 + length].tobytes())
+            yield _batch(PIECE, out)
 
 
 def _values(kind: int, n: np.ndarray, gap: np.ndarray, anchor: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -225,22 +227,23 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the covered ranges out of each text; ranges of words are counted."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words"]
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
-        out: list[list] = [[] for _ in range(6)]
-        for k, ranges in enumerate(batch.column(2).to_pylist()):
-            text = data[offsets[k] : offsets[k + 1]]
-            spans, passages = (merge_ranges([(r["low"], r["high"]) for r in ranges or () if r["kind"] == kind]) for kind in (BYTES, WORDS))
-            kept, at = hashlib.sha256(), 0
-            for low, high in spans:
-                kept.update(text[at:low].tobytes())
-                at = high
-            kept.update(text[at:].tobytes())
-            found = (len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), len(passages), sum(b - a for a, b in passages))
-            for column, value in zip(out, found, strict=True):
-                column.append(value)
-        arrays = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
+    kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2
+    for whole in batches:
+        for batch in steps(whole):
+            data, offsets = text_buffers(batch.column(1))
+            out: list[list] = [[] for _ in range(6)]
+            for k, ranges in enumerate(batch.column(2).to_pylist()):
+                text = data[offsets[k] : offsets[k + 1]]
+                spans, passages = (merge_ranges([(r["low"], r["high"]) for r in ranges or () if r["kind"] == kind]) for kind in (BYTES, WORDS))
+                kept, at = hashlib.sha256(), 0
+                for low, high in spans:
+                    kept.update(text[at:low].tobytes())
+                    at = high
+                kept.update(text[at:].tobytes())
+                found = (len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), len(passages), sum(b - a for a, b in passages))
+                for column, value in zip(out, found, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
 
 
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,10 +256,6 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _length() -> Column:
-    return F.when(F.col("kind") == WORDS, PASSAGE).otherwise(LENGTH)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words.
 
@@ -264,12 +263,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    variant = ["kind", "anchor", "gap", "n", "content"]
+    variant = ["anchor", "gap", "n", "content"]
+    is_words = F.col("anchor").bitwiseAND(F.lit(1).cast("long")) == WORDS
+    length = F.when(is_words, PASSAGE).otherwise(LENGTH)
     # a text of fewer bytes than words and blanks of a passage has no window at all
-    runs = stage(texts.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).select("row", "text").mapInArrow(_runs, RUN), "runs")
-    # partial aggregation: equal runs of a hot passage are one row per task
-    variants = runs.groupBy(*variant).agg(F.count("*").alias("times"), F.min(F.struct("row", "first")).alias("at"), F.max("row").alias("most"))
-    known = stage(variants, "variants")
+    every = stage(texts.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).select("row", "text").mapInArrow(_runs, RUN), "runs")
+    # most anchors are alone; partial aggregation makes a hot passage one row per task
+    met = stage(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
+    runs = stage(every.join(met, "anchor", "left_semi"), "shared-runs")
+    release(every)
+    known = stage(runs.groupBy(*variant).agg(F.count("*").alias("times"), F.min(F.struct("row", "first")).alias("at"), F.max("row").alias("most")), "variants")
     anchors = stage(known.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "anchors")
     run = F.struct(F.col("at.first").alias("first"), *variant, F.col("at.row").alias("least"), "most", (F.col("variants") > HOT).alias("hot")).alias("run")
     asked = known.join(anchors, "anchor").select(F.col("at.row").alias("row"), run)
@@ -283,13 +286,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stage(pieces(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, SHARED), "shared")
     if anchors.where(F.col("variants") > HOT).limit(1).count():
         windows = stage(pieces(True).mapInArrow(_windows, WINDOW), "windows")
-        origin = lambda name: F.when(F.col("kind") == WORDS, F.col(name)).otherwise(F.xxhash64(*variant))
+        origin = lambda name: F.when(is_words, F.col(name)).otherwise(F.xxhash64(*variant))
         values = windows.groupBy("value", "kind").agg(F.min(origin("least")).alias("lo"), F.max(origin("most")).alias("hi")).where("lo <> hi").select("value", "kind")
         found = windows.join(values, ["value", "kind"]).select("kind", "n", "gap", "anchor", "content", F.col("step").alias("low"), F.col("step").alias("high"))
         shared = shared.unionByName(found)
-    repeated = known.where(F.when(F.col("kind") == WORDS, F.col("at.row") != F.col("most")).otherwise(F.col("times") > 1)).select(*variant)
-    whole = runs.join(repeated, variant, "left_semi").select("row", "kind", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + _length()).alias("high"))
-    partly = runs.join(shared, variant).select("row", "kind", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + _length()).alias("high"))
-    ranges = whole.unionByName(partly).groupBy("row").agg(F.collect_set(F.struct("kind", "low", "high")).alias("ranges"))
+    # whole runs that are covered, and the covered windows of others: one join
+    repeated = known.where(F.when(is_words, F.col("at.row") != F.col("most")).otherwise(F.col("times") > 1)).select(*variant, F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))
+    covered = runs.join(repeated.unionByName(shared.drop("kind")), variant)
+    covered = covered.select("row", F.struct(F.when(is_words, WORDS).otherwise(BYTES).alias("kind"), (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + length).alias("high")).alias("range"))
+    ranges = covered.groupBy("row").agg(F.collect_set("range").alias("ranges"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
     return texts.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, out)
