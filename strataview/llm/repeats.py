@@ -41,7 +41,7 @@ LENGTH, GRAM = 400, 32
 PASSAGE, PASSAGE_GRAM = 51, 8
 BYTES, WORDS = 0, 1
 #: Variants of an anchor that are compared in one task.
-HOT = 2000
+HOT = 20_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POSITION_BITS = 24
 
