@@ -58,57 +58,89 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def p_values(token: Column, alphabet: Column) -> dict[str, Column]:
-    """p-values of the three tests of ``token`` against uniform draws from ``alphabet``."""
-    n, k = F.length(token).cast("double"), F.length(alphabet).cast("double")
-    letters = F.split(alphabet, "")
-    squares = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    chi2, df = squares * k / n - n, k - 1
-    # Wilson and Hilferty's cube root makes chi-squared normal
-    z_chi = (F.pow(F.greatest(chi2, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    ranks = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double"))
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: inside lambdas Spark would evaluate it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums(token: Column, alphabet: Column) -> Column:
+    """What the tests need of ``token``, in one pass over the places of its characters in ``alphabet``."""
+    middle = (F.length(alphabet) + 1) / 2
+    zero = F.lit(0.0)
+    names = ("total", "squares", "lagged", "first", "last", "high", "turns")
+    start = F.struct(*(zero.alias(x) for x in names))
+
+    def step(s: Column, r: Column) -> Column:
+        begun = s["last"] > 0  # places count from 1
+        turn = begun & ((s["last"] > middle) != (r > middle))
+        values = (
+            s["total"] + r, s["squares"] + r * r, s["lagged"] + s["last"] * r, F.when(begun, s["first"]).otherwise(r), r,
+            s["high"] + F.when(r > middle, 1.0).otherwise(0.0), s["turns"] + F.when(turn, 1.0).otherwise(0.0),
+        )
+        return F.struct(*(v.alias(x) for v, x in zip(values, names, strict=True)))
 
-    def paired(f):
-        return F.zip_with(F.slice(ranks, F.lit(1), F.size(ranks) - 1), F.slice(ranks, F.lit(2), F.size(ranks) - 1), f)
+    return F.aggregate(F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double")), start, step)
 
-    def total(array: Column) -> Column:
-        return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
 
-    middle = (k + 1) / 2
-    high = total(F.transform(ranks, lambda x: F.when(x > middle, 1.0).otherwise(0.0)))
-    low = n - high
-    runs = 1 + total(paired(lambda a, b: F.when((a > middle) == (b > middle), 0.0).otherwise(1.0)))
-    expected = 2 * high * low / n + 1
+def letter_squares(token: Column, alphabet: Column) -> Column:
+    """Sum over the alphabet of the squared number of times that a letter occurs."""
+    n = F.length(token).cast("double")
+    return F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
+
+
+def p_values(n: Column, k: Column, squares: Column, s: Column) -> dict[str, Column]:
+    """p-values of the three tests of ``n`` characters against uniform draws from ``k`` letters, from ``sums``."""
+    chi2, df = squares * k / n - n, k - 1
+    # Wilson and Hilferty's cube root makes chi-squared normal
+    z_chi = (F.pow(F.greatest(chi2, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    high, runs = s["high"], 1 + s["turns"]
+    expected = 2 * high * (n - high) / n + 1
     spread = (expected - 1) * (expected - 2) / (n - 1)
     z_runs = F.when(spread > 0, F.abs(runs - expected) / F.sqrt(spread)).otherwise(F.lit(40.0))
-    mean = total(ranks) / n
-    variance = total(F.transform(ranks, lambda x: (x - mean) * (x - mean)))
-    lagged = total(paired(lambda a, b: (a - mean) * (b - mean)))
-    z_serial = F.when(variance > 0, F.abs(lagged / variance + 1 / n) * F.sqrt(n)).otherwise(F.lit(40.0))
+    mean = s["total"] / n
+    variance = s["squares"] - n * mean * mean
+    lagged = s["lagged"] - mean * (2 * s["total"] - s["first"] - s["last"]) + (n - 1) * mean * mean
+    z_serial = F.when(variance > 1e-6, F.abs(lagged / variance + 1 / n) * F.sqrt(n)).otherwise(F.lit(40.0))
     return {"chi": _upper_tail(z_chi), "runs": 2 * _upper_tail(z_runs), "serial": 2 * _upper_tail(z_serial)}
 
 
+SPANS = "array<struct<start:int,kind:int,end:int,token:string>>"
+#: Matches that one fold appends; a fold copies its result for every match.
+FOLD = 128
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None, group: Column | None = None) -> Column:
     """Array of struct(start, kind, end, token) of all matches of ``pattern``."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     judged = found if group is None else group
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>").alias("out"))
+    none = F.array().cast(SPANS)
 
-    def step(acc: Column, item: Column) -> Column:
+    def append(acc: Column, item: Column) -> Column:
         begin = acc["at"] + F.length(item["gap"])
         end = begin + F.length(item["token"])
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), item["judged"].alias("token"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    items = F.zip_with(
-        F.arrays_zip(found.alias("token"), judged.alias("judged")),
-        F.slice(gaps, F.lit(1), F.size(found)),
-        lambda m, gap: F.struct(m["token"].alias("token"), m["judged"].alias("judged"), gap.alias("gap")),
-    )
-    spans = F.aggregate(items, start, step)["out"]
-    spans = F.filter(spans, keep) if keep is not None else spans
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>"))
+    def spans_of(matches: Column) -> Column:
+        items = F.zip_with(
+            F.arrays_zip(matches.alias("token"), judged.alias("judged")),
+            F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)),
+            lambda m, gap: F.struct(m["token"].alias("token"), m["judged"].alias("judged"), gap.alias("gap")),
+        )
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        # folds of FOLD matches, each from 0, then their shifts
+        parts = once(items, lambda xs: F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(FOLD)), lambda at: F.aggregate(F.slice(xs, at, F.lit(FOLD)), begin, append)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("shifts"))
+
+        def shifted(ps: Column) -> Column:
+            shifts = F.aggregate(ps, zero, lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.array_append(acc["shifts"], acc["at"]).alias("shifts")))["shifts"]
+            move = lambda p, by: F.transform(p["out"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["token"].alias("token")))
+            return F.flatten(F.zip_with(ps, shifts, move))
+
+        return once(parts, shifted)
+
+    spans = once(found, lambda matches: F.when(F.size(matches) > 0, spans_of(matches)).otherwise(none))
+    return F.filter(spans, keep) if keep is not None else spans
 
 
 def _joined(spans: Column) -> Column:
@@ -140,19 +172,27 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _spans(F.col("text"), TOKEN, "random", lambda s: s["token"].rlike("[0-9]") & s["token"].rlike("[A-Za-z]")).alias("random"),
     )
 
-    def judged(s: Column) -> Column:
+    def inferred(s: Column) -> Column:
         token = F.regexp_replace(s["token"], "=+$", "")
         alphabet = F.lit(None).cast("string")
         for pattern, letters in reversed(ALPHABETS):
-            alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-        p = p_values(token, alphabet)
+            alphabet = F.when(s["token"].rlike(pattern.replace("$", "=*$")), F.lit(letters)).otherwise(alphabet)
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), token.alias("token"), alphabet.alias("alphabet"))
+
+    def summed(s: Column) -> Column:
+        found_sums = sums(s["token"], s["alphabet"]).alias("sums")
+        n, k = F.length(s["token"]).alias("n"), F.length(s["alphabet"]).alias("k")
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), n, k, letter_squares(s["token"], s["alphabet"]).alias("squares"), found_sums)
+
+    def judged(s: Column) -> Column:
+        p = p_values(s["n"].cast("double"), s["k"].cast("double"), s["squares"], s["sums"])
         combined = F.least(F.lit(1.0), 3 * F.least(*p.values()))
         # rounded down: a p-value counts as the larger end of its bin
         bin_ = F.least(F.lit(MAX_BIN), F.floor(-F.log10(F.greatest(combined, F.lit(1e-300))) / BIN_WIDTH)).cast("int")
-        tested = alphabet.isNotNull() & (F.length(token) >= 2)
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(tested, bin_).alias("bin"), _band(F.length(token)).alias("band"), F.length(token).alias("n"))
+        tested = s["k"].isNotNull() & (s["n"] >= 2)
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(tested, bin_).alias("bin"), _band(s["n"]).alias("band"), s["n"].alias("n"))
 
-    found = stage(found.withColumn("random", F.transform("random", judged)), "secret-candidates")
+    found = stage(found.withColumn("random", F.transform(F.transform(F.transform("random", inferred), summed), judged)), "secret-candidates")
     counts = found.select(F.explode("random").alias("s")).where("s.bin is not null").groupBy(F.col("s.band").alias("band"), F.col("s.bin").alias("bin")).agg(F.count("*").alias("n"))
     # bounded: 7 bands of 401 bins.  Rejected: all bins from the lowest that meets p <= q * rank / m
     per_band = Window.partitionBy("band")
