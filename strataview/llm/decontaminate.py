@@ -2,12 +2,13 @@
 
 A document is contaminated by a benchmark item of m bytes if some region of it is
 within ``floor(edit_share * m)`` edits of the whole item.  Such a region and the item
-share at least ``m - q + 1 - q * k`` q-grams on at most ``k + 1`` neighbouring diagonals.  Diagonals are
+share at least ``m - q + 1 - q * k`` q-grams on at most ``k + 1`` neighbouring diagonals; an item for which
+that is no bound gets shorter q-grams, ``q = m // (k + 1)``.  Diagonals are
 therefore cut into bands of ``2 * (k + 1)`` that overlap by half; only bands with enough shared
 q-grams are retained, and banded alignment verifies each.
 
 Letters A-Z count as lower case and every white-space character as a blank; items of fewer than
-``LEAST`` bytes are no evidence and are not searched.  Q-grams that very many item positions
+``LEAST`` bytes are no evidence and are not searched (``least=1`` searches all).  Q-grams that very many item positions
 share are not looked up; the bound of an item falls by the number it loses, so no
 region is lost.  An item that would lose all of its bound keeps its q-grams.
 
@@ -42,17 +43,27 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 HIT = "doc_id long, item_id long, start int, end int, distance int, budget int, shared int"
 
 
+def edit_budget(size, edit_share: float):
+    return np.floor(np.asarray(size) * edit_share).astype(np.int64)
+
+
+def indexes(items: list[tuple[list[int], bytes]], q: int, edit_share: float) -> list[Index]:
+    """Indexes of a block of items, one for each length of q-grams that they need."""
+    parts: dict[int, list] = {}
+    for ids, text in items:
+        parts.setdefault(max(1, min(q, len(text) // (int(edit_budget(len(text), edit_share)) + 1))), []).append((ids, text))
+    return [Index(part, size, edit_share) for size, part in sorted(parts.items())]
+
+
 class Index:
-    """Q-grams of a block of items."""
+    """Q-grams of items; for each of them the lemma asks for one shared q-gram at least."""
 
     def __init__(self, items: list[tuple[list[int], bytes]], q: int = Q, edit_share: float = EDIT_SHARE):
         self.ids = [i for i, _ in items]
         self.texts = [np.frombuffer(t, np.uint8) for _, t in items]
         self.q = q
         self.size = np.array([len(t) for t in self.texts], np.int64)
-        self.budget = np.floor(self.size * edit_share).astype(np.int64)
-        # a budget at which the lemma still asks for a shared q-gram
-        self.budget = np.minimum(self.budget, np.maximum((self.size - q) // q, 0))
+        self.budget = edit_budget(self.size, edit_share)
         self.need = self.size - q + 1 - q * self.budget
         item = np.repeat(np.arange(len(items)), self.size - q + 1) if len(items) else np.zeros(0, np.int64)
         grams = [grams_of(t, q) for t in self.texts]
@@ -126,10 +137,14 @@ def find_items(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tupl
     diagonal = np.repeat(at, n) - offsets[owner] - index.place[entry]
     band = diagonal // index.width[item]
     shift = int(index.size.max()) + 2
-    keys = (owner * len(index.ids) + item) * (1 << 32)
-    keys = np.concatenate([keys + band + shift, keys + band - 1 + shift])  # every diagonal is in two bands
+    # pairs are numbered anew, so that number and band fit a key: a step has fewer hits than 2**31
+    pairs, number = np.unique(owner * len(index.ids) + item, return_inverse=True)
+    if len(pairs) >= 1 << 31:
+        raise OverflowError("too many candidate pairs in one step")
+    keys = (number << 32) + band + shift
+    keys = np.concatenate([keys, keys - 1])  # every diagonal is in two bands
     keys, shared = np.unique(keys, return_counts=True)
-    pair, band = keys >> 32, (keys & 0xFFFFFFFF) - shift
+    pair, band = pairs[keys >> 32], (keys & 0xFFFFFFFF) - shift
     item = pair % len(index.ids)
     retained = shared >= index.need[item]
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
@@ -155,13 +170,13 @@ def find_items(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tupl
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        parts: list[Index] = shared.value
         for whole in batches:
             for batch in steps(whole):
                 data, offsets = text_buffers(batch.column(1))
                 data = _FOLD[data]
                 rows = []
-                for text, item, start, end, cost, count in find_items(index, data, offsets):
+                for index, (text, item, start, end, cost, count) in ((i, hit) for i in parts for hit in find_items(i, data, offsets)):
                     own = data[offsets[text] : offsets[text + 1]]
                     places = [int(np.count_nonzero((own[:k] & 0xC0) != 0x80)) for k in (start, end)]
                     doc = batch.column(0)[text].as_py()
@@ -198,6 +213,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for block in _blocks(benchmark, block_bytes, least):
-        hits = rows.mapInArrow(_search(spark.sparkContext.broadcast(Index(block, q, edit_share))), HIT)
+        hits = rows.mapInArrow(_search(spark.sparkContext.broadcast(indexes(block, q, edit_share))), HIT)
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else spark.createDataFrame([], HIT)

@@ -52,7 +52,7 @@ def test_equals_brute_force(spark):
             for i, t in items:
                 t = fold(t)
                 if len(t) >= dc.LEAST:
-                    budget = min(int(len(t) * dc.EDIT_SHARE), (len(t) - dc.Q) // dc.Q)
+                    budget = int(len(t) * dc.EDIT_SHARE)
                     if (e := edits(t, fold(d[1]))) <= budget:
                         want[d[0], i] = e
         assert {k: r.distance for k, r in got.items()} == want
@@ -67,3 +67,29 @@ def test_edge_cases(spark):
     assert {d for d, _ in got} == {0, 1, 2, 4, 17} and len(got) == 12
     assert dc.find_contamination(cases.frame(spark, []), bench).count() == 0
     assert dc.find_contamination(cases.frame(spark), bench.limit(0)).count() == 0
+
+
+def test_items_of_every_size(spark):
+    """Short items too, each with the whole budget of its size."""
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    items = [(k, text(k)) for k in range(1, 64)]
+    data = []
+    for k in range(120):
+        item = items[k % 63][1]
+        budget = int(len(item) * dc.EDIT_SHARE)
+        data.append((k, text(40) + damaged(rng, item, rng.randint(0, budget + 1)) + text(40), "en", "a", 0, "", "", ""))
+    got = {(r.doc_id, r.item_id): r.distance for r in dc.find_contamination(cases.frame(spark, data), spark.createDataFrame(items, "item_id long, text string"), least=1).collect()}
+    want = {(d[0], i): e for d in data for i, t in items if (e := edits(fold(t), fold(d[1]))) <= int(len(t) * dc.EDIT_SHARE)}
+    assert got == want
+    assert {25, 28, 38, 39} <= {i for _, i in want}
+
+
+def test_many_texts_and_items():
+    """Text and item numbers together exceed 32 bits."""
+    rng = np.random.default_rng(3)
+    index = dc.Index([([k], rng.integers(97, 123, 24).astype(np.uint8).tobytes()) for k in range(200_000)])
+    data = rng.integers(65, 91, 24 * 30_000).astype(np.uint8)
+    data[-24:] = index.texts[-1]
+    found = dc.find_items(index, data, np.arange(30_001) * 24)
+    assert [(t, i, d) for t, i, _, _, d, _ in found] == [(29_999, 199_999, 0)]
