@@ -6,6 +6,8 @@ classes (``#name/size``), tuples (``tuple/N``) and functions (``fun/N``) are nam
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,26 @@ MAX_BYTE, MAX_CHAR = 255, 0x10FFFF
 RANK = {"number": 0, "atom": 1, "tuple": 6, "map": 7, "list": 9, "bitstring": 10, "null": 11, "timestamp": 12, "date": 13}
 
 
+#: Field names by which a record stands for an improper list: its proper part and its tail.
+IMPROPER = ("__items", "__tail")
+
+
+def step_name(name: str) -> str:
+    """A field name as it stands in a path: dots, brackets and backslashes are escaped."""
+    return re.sub(r"([.\[\]\\])", r"\\\1", name)
+
+
+def step_column(name: Column) -> Column:
+    return F.regexp_replace(name, r"([.\[\]\\])", r"\\$1")
+
+
+def path_above(path: str) -> str | None:
+    """Path one level up: the record, list or map that holds the position; None for the root."""
+    if path == "$":
+        return None
+    return next((path[: -len(end)] for end in ("[]", "[|]") if path.endswith(end)), None) or re.sub(r"\.(?:[^.\[\]\\]|\\.)*$", "", path)
+
+
 def parent(name: str) -> str | None:
     """Supertype of a class; None for the root."""
     if name.startswith("#") or name.startswith("tuple/"):
@@ -125,5 +147,7 @@ def scalar_class(v: Column, dtype: T.DataType, categorical: bool = False) -> Col
 
 
 def type_to_string(name: str) -> str:
-    """Short display name."""
-    return name
+    """Short display name: records and tuples as ``#name/size`` and ``tuple/size``; other names that are no plain word are quoted."""
+    if name.startswith("#") or re.fullmatch(r"(tuple|fun)/\d+|[a-z]\w*|0", name):
+        return name
+    return f"'{name}'"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataview.functions.hierarchy import integer_class, scalar_class
+from strataview.functions.hierarchy import IMPROPER, integer_class, scalar_class, step_column, step_name
 
 FACT = "struct<path:string,class:string,vtext:string,inum:bigint,num:double,len:bigint>"
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -50,10 +50,16 @@ def scalar_fact(v: Column, dtype: T.DataType, path: Column, categorical: bool =
 
 def facts_of(v: Column, dtype: T.DataType, path: Column, name: str, categorical: frozenset[str], depth: int = VARIANT_DEPTH, label: str = "$") -> Column:
     """Array of the facts of a value of any type."""
+    if isinstance(dtype, T.StructType) and tuple(dtype.names) == IMPROPER and isinstance(dtype[0].dataType, T.ArrayType):
+        items, tail = v.getField(IMPROPER[0]), v.getField(IMPROPER[1])
+        own = F.array(_fact(path, F.when(v.isNull(), "null").otherwise("improper_list"), F.to_json(v), size=F.when(v.isNotNull(), F.size(items))))
+        heads = F.flatten(F.transform(items, lambda x: facts_of(x, dtype[0].dataType.elementType, F.concat(path, F.lit("[]")), name, categorical, depth, f"{label}[]")))
+        ends = facts_of(tail, dtype[1].dataType, F.concat(path, F.lit("[|]")), name, categorical, depth, f"{label}[|]")
+        return F.when(v.isNull(), own).otherwise(F.concat(own, F.coalesce(heads, F.array().cast(f"array<{FACT}>")), ends))
     if isinstance(dtype, T.StructType):
         size = len(dtype.fields) + 1
         own = F.array(_fact(path, F.when(v.isNull(), "null").otherwise(f"#{name}/{size}"), F.lit(None).cast("string")))
-        parts = [facts_of(v.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}")), f.name, categorical, depth, f"{label}.{f.name}") for f in dtype.fields]
+        parts = [facts_of(v.getField(f.name), f.dataType, F.concat(path, F.lit(f".{step_name(f.name)}")), f.name, categorical, depth, f"{label}.{step_name(f.name)}") for f in dtype.fields]
         children = F.concat(*parts) if parts else F.array().cast(f"array<{FACT}>")
         return F.when(v.isNull(), own).otherwise(F.concat(own, children))
     if isinstance(dtype, T.ArrayType):
@@ -63,7 +69,7 @@ def facts_of(v: Column, dtype: T.DataType, path: Column, name: str, categorical:
         return F.when(v.isNull(), own).otherwise(F.concat(own, items))
     if isinstance(dtype, T.MapType):
         own = F.array(_fact(path, F.when(v.isNull(), "null").otherwise("map"), F.lit(None).cast("string")))
-        entries = F.transform(F.map_entries(v), lambda e: facts_of(e["value"], dtype.valueType, F.concat(path, F.lit("."), e["key"].cast("string")), name, categorical, depth, f"{label}.*"))
+        entries = F.transform(F.map_entries(v), lambda e: facts_of(e["value"], dtype.valueType, F.concat(path, F.lit("."), step_column(e["key"].cast("string"))), name, categorical, depth, f"{label}.*"))
         return F.when(v.isNull(), own).otherwise(F.concat(own, F.flatten(entries)))
     if isinstance(dtype, T.VariantType):
         return variant_facts(v, path, depth)
@@ -75,11 +81,13 @@ def variant_facts(v: Column, path: Column, depth: int) -> Column:
     kind = F.schema_of_variant(v)
     text = v.cast("string")
     integer, number = v.try_cast("bigint"), v.try_cast("double")
+    whole = kind.rlike(r"^DECIMAL\(\d+,0\)$")  # integers beyond bigint
     is_list, is_map = kind.startswith("ARRAY"), kind.startswith("OBJECT")
     scalar = (
         F.when(v.isNull() | (kind == "VOID"), F.lit("null"))
         .when(kind == "BOOLEAN", F.lit("boolean"))
         .when(kind == "BIGINT", integer_class(integer))
+        .when(whole, integer_class(v.try_cast("decimal(38,0)")))
         .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.lit("float"))
         .when(kind == "STRING", F.when(F.octet_length(text) == 0, "<<>>").otherwise("binary"))
         .otherwise("term")
@@ -96,7 +104,7 @@ def variant_facts(v: Column, path: Column, depth: int) -> Column:
     )
     of_map = F.concat(
         F.array(_fact(path, F.lit("map"), F.lit(None).cast("string"))),
-        F.flatten(F.transform(F.map_entries(entries), lambda e: variant_facts(e["value"], F.concat(path, F.lit("."), e["key"]), depth - 1))),
+        F.flatten(F.transform(F.map_entries(entries), lambda e: variant_facts(e["value"], F.concat(path, F.lit("."), step_column(e["key"])), depth - 1))),
     )
     return F.when(is_list, of_list).when(is_map, of_map).otherwise(one)
 
@@ -110,7 +118,9 @@ def facts(df: DataFrame, value: Column, dtype: T.DataType, name: str = "row", ca
 def field_paths(dtype: T.DataType, path: str = "$") -> list[str]:
     """Paths of the schema's fields in their order."""
     if isinstance(dtype, T.StructType):
-        return [p for f in dtype.fields for p in (f"{path}.{f.name}", *field_paths(f.dataType, f"{path}.{f.name}"))]
+        if tuple(dtype.names) == IMPROPER:
+            return [f"{path}[|]", *field_paths(dtype[0].dataType, path), *field_paths(dtype[1].dataType, f"{path}[|]")]
+        return [p for f in dtype.fields for p in (f"{path}.{step_name(f.name)}", *field_paths(f.dataType, f"{path}.{step_name(f.name)}"))]
     if isinstance(dtype, T.ArrayType):
         return field_paths(dtype.elementType, f"{path}[]")
     return []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataview.functions.hierarchy import ancestors_column, is_generic_column, parent_column
+from strataview.functions.hierarchy import ancestors_column, is_generic_column, parent_column, path_above
 from strataview.operators.sketches import NODE
 
 
@@ -59,7 +59,7 @@ def sorted_alternatives(nodes: DataFrame) -> DataFrame:
 
 def path_parent(path):
     """Path one level up: the record, list or map that holds the position."""
-    return F.when(path == "$", F.lit(None)).when(path.endswith("[]"), F.substring(path, F.lit(1), F.length(path) - 2)).otherwise(F.regexp_replace(path, r"\.[^.\[\]]*$", ""))
+    return F.when(path == "$", F.lit(None)).when(path.rlike(r"\[\|?\]$") & ~path.endswith("\\]"), F.regexp_replace(path, r"\[\|?\]$", "")).otherwise(F.regexp_replace(path, r"\.(?:[^.\[\]\\]|\\.)*$", ""))
 
 
 def children_of(nodes: DataFrame, path: str, name: str | None = None) -> DataFrame:
@@ -74,6 +74,27 @@ def stack_of(nodes: DataFrame, path: str) -> DataFrame:
     steps, at = [], path
     while at is not None:
         steps.append(at)
-        cut = max(at.rfind("."), at.rfind("[]"))
-        at = at[:cut] if cut > 0 else None
-    return nodes.where(F.col("path").isin(steps)).withColumn("depth", F.length("path") - F.length(F.translate("path", ".[", "")))
+        at = path_above(at)
+    depth = F.array_position(F.array(*map(F.lit, reversed(steps))), F.col("path")) - 1
+    return nodes.where(F.col("path").isin(steps)).withColumn("depth", depth.cast("int"))
+
+
+def siblings_of(nodes: DataFrame, path: str) -> DataFrame:
+    """The nodes of all positions that share the parent of ``path``, numbered by name (``place``)."""
+    above = path_above(path)
+    if above is None:
+        return nodes.where(F.col("path") == path).withColumn("place", F.lit(1))
+    return nodes.where(path_parent(F.col("path")) == above).withColumn("place", F.dense_rank().over(Window.partitionBy(path_parent(F.col("path"))).orderBy("path")))
+
+
+def neighbour_of(nodes: DataFrame, path: str, by: int) -> DataFrame:
+    """The nodes ``by`` places to the right (left, if negative) of ``path``; none beyond the last."""
+    around = siblings_of(nodes, path)
+    here = around.where(F.col("path") == path).select(F.col("place").alias("__here")).distinct()
+    return around.join(F.broadcast(here), F.col("place") == F.col("__here") + by).drop("place", "__here")
+
+
+def nth_child(nodes: DataFrame, path: str, n: int) -> DataFrame:
+    """The nodes of the n-th position (from 1, by name) below ``path``."""
+    below = nodes.where(path_parent(F.col("path")) == path)
+    return below.withColumn("place", F.dense_rank().over(Window.partitionBy(path_parent(F.col("path"))).orderBy("path"))).where(F.col("place") == n).drop("place")

@@ -1,43 +1,85 @@
-"""Asynchronous profiling with a soft cancel."""
+"""Asynchronous profiling with interim specs, progress and a soft stop.
+
+With ``parts`` above 1 the records are dealt by hash into so many parts, which are profiled one after
+another (one scan of the source each) and merged; after every part the spec so far is saved.  A stop cancels the part
+at hand and keeps that spec, which is valid for the records that it counts.
+"""
 
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strataview.plans.profile import profile
+from strataview.plans.options import make_options
+from strataview.plans.profile import fixed_rows, profile
 from strataview.plans.spec import RawSpec
 
 
 class Probe:
-    """A profile that runs in a thread of its own and saves its spec to ``output_path``."""
+    """A profile that runs in a thread of its own and saves its spec to ``output_path``.
+
+    ``progress`` holds (parts done, parts, seconds); ``where_saved`` is the folder of the last spec.
+    """
 
-    def __init__(self, df: DataFrame, probe=0, *, output_path: str, **options):
+    def __init__(self, df: DataFrame, probe=0, *, output_path: str, parts: int = 1, **options):
         self.group = f"probe-{uuid.uuid4().hex}"
         self.output_path, self.error = output_path, None
-        self._spark = df.sparkSession
+        self.progress: list[tuple[int, int, float]] = []
+        self.where_saved: str | None = None
+        self._spark, self._stopped = df.sparkSession, threading.Event()
 
         def run() -> None:
             self._spark.sparkContext.setJobGroup(self.group, "profile", interruptOnCancel=True)
             try:
-                profile(df, probe, output_path=output_path, **options)
+                self._run(df, probe, parts, options)
             except Exception as error:  # noqa: BLE001  kept for the caller
-                self.error = error
+                self.error = None if self._stopped.is_set() and self.where_saved else error
 
         self._thread = threading.Thread(target=run, daemon=True)
         self._thread.start()
 
+    def _run(self, df: DataFrame, probe, parts: int, options: dict) -> None:
+        began = time.monotonic()
+        if parts <= 1:
+            profile(df, probe, output_path=self.output_path, **options)
+            self.where_saved = self.output_path
+            self.progress.append((1, 1, time.monotonic() - began))
+            return
+        limit = make_options(**options).limit
+        if limit is not None:
+            df, options = fixed_rows(df.limit(limit)), {**options, "limit": None}
+        # maps and variants have no hash; their text has
+        plain = [F.col(f"`{f.name}`") if f.dataType.typeName() not in ("map", "variant") else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields]
+        spec: RawSpec | None = None
+        processed = 0
+        for k in range(parts):
+            if self._stopped.is_set():
+                return
+            path = self.output_path if k == parts - 1 else f"{self.output_path}-interim-{k + 1}"
+            part = f"{self.output_path}-part"
+            one = profile(df.where(F.pmod(F.xxhash64(*plain), F.lit(parts)) == k), probe, output_path=part, **options)
+            processed += one.meta["processed"]
+            one = RawSpec.load(self._spark, part)
+            spec = (one if spec is None else spec.merge(one)).with_meta(processed=processed)
+            spec.save(path, "overwrite")
+            spec, self.where_saved = RawSpec.load(self._spark, path), path
+            self.progress.append((k + 1, parts, time.monotonic() - began))
+
     def running(self) -> bool:
         return self._thread.is_alive()
 
     def stop(self) -> None:
-        """Cancel the jobs; nothing is saved unless the profile was done."""
+        """Cancel what runs; the spec of the parts that are done stays."""
+        self._stopped.set()
         self._spark.sparkContext.cancelJobGroup(self.group)
 
-    def wait(self, timeout: float | None = None) -> RawSpec:
+    def wait(self, timeout: float | None = None) -> RawSpec | None:
+        """The final spec, or after a stop the last interim one (None if no part was done)."""
         self._thread.join(timeout)
-        if self.error:
+        if self.error and not self._stopped.is_set():
             raise self.error
-        return RawSpec.load(self._spark, self.output_path)
+        return RawSpec.load(self._spark, self.where_saved) if self.where_saved else None

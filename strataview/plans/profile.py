@@ -68,11 +68,26 @@ def probe_facts(df: DataFrame, probe=0, options: Options | None = None, where=No
     return flat.withColumn("h", hash32(F.col("vtext"), options.hash))
 
 
+def fixed_rows(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as they are now: written once where the session has a checkpoint folder, else kept in memory.
+
+    A limit may pick other rows each time it is evaluated, and a profile reads its input several times.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **given) -> RawSpec:
     """Profile ``df``: ``probe`` is a selector or (selector, {"ts": ..., "key": ...})."""
     options = make_options(**given)
     started = datetime.datetime.now(datetime.timezone.utc).isoformat()
     _, attrs = normalize_probe(probe)
+    if options.limit is not None:
+        df = fixed_rows(df.limit(options.limit))
     flat = probe_facts(df, probe, options, where)
 
     # what the schema rules out is not scanned for: a false filter leaves an empty relation
@@ -95,9 +110,11 @@ def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **give
     k = options.sample_size
     plain = flat.where(~F.col("class").startswith("#") & ~F.col("class").isin("map", "null"))
     samples = sample(plain, k, expected).persist(StorageLevel.MEMORY_AND_DISK) if options.samples else None
+    # the greatest integer counts only if it is the greatest number (others do not fit a bigint)
+    exact = lambda inum, num: F.when(inum.cast("double") == num, inum)
     numeric = base.groupBy(*NODE).agg(F.min("num_min").alias("num_min"), F.max("num_max").alias("num_max"), F.min("inum_min").alias("inum_min"), F.max("inum_max").alias("inum_max")).where("num_min is not null")
-    number_ends = numeric.select(*NODE, F.lit("min").alias("which"), F.col("num_min").alias("num"), F.col("inum_min").alias("inum"), F.lit(None).cast("string").alias("vtext")).unionByName(
-        numeric.select(*NODE, F.lit("max").alias("which"), F.col("num_max").alias("num"), F.col("inum_max").alias("inum"), F.lit(None).cast("string").alias("vtext"))
+    number_ends = numeric.select(*NODE, F.lit("min").alias("which"), F.col("num_min").alias("num"), exact(F.col("inum_min"), F.col("num_min")).alias("inum"), F.lit(None).cast("string").alias("vtext")).unionByName(
+        numeric.select(*NODE, F.lit("max").alias("which"), F.col("num_max").alias("num"), exact(F.col("inum_max"), F.col("num_max")).alias("inum"), F.lit(None).cast("string").alias("vtext"))
     )
     text_ends = scanned_for("string", "boolean", "binary", "timestamp", "timestamp_ntz", "date").where(F.col("class").isin(*TEXTS)).groupBy(*NODE).agg(F.min("vtext").alias("lo"), F.max("vtext").alias("hi"))
     text_ends = text_ends.select(*NODE, F.inline(F.array(F.struct(F.lit("min").alias("which"), F.col("lo").alias("vtext")), F.struct(F.lit("max").alias("which"), F.col("hi").alias("vtext")))))
@@ -133,7 +150,7 @@ def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **give
     meta = {**asdict(options), "probe": repr(probe), "fields": field_paths(select(df, normalize_probe(probe)[0]).dtype), "started": started, "processed": None, "truncated": []}
     spec = RawSpec(nodes, registers, samples, extremes, dictionary, histogram, meta)
     if options.output_path:
-        processed = (df.limit(options.limit) if options.limit is not None else df).count()
+        processed = df.count()
         capped = [r["path"] for r in dictionary.groupBy("path").count().where(F.col("count") >= options.dict_cap).collect()] if options.dict_cap else []
         spec = spec.with_meta(processed=processed, ended=datetime.datetime.now(datetime.timezone.utc).isoformat(), truncated=capped)
         spec.save(options.output_path, "overwrite")

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from strataview.functions.hierarchy import ancestors, kind
+from strataview.functions.hierarchy import ancestors, kind, path_above
 
 #: Nodes that may be brought to the driver for rendering.
 MAX_NODES = 200_000
@@ -30,12 +30,6 @@ def collect_nodes(nodes: DataFrame) -> list[tuple[str, str, int]]:
     return sorted((r["path"], r["class"], r["n"]) for r in rows)
 
 
-def _parent_path(path: str) -> str | None:
-    if path == "$":
-        return None
-    return path[:-2] if path.endswith("[]") else path[: path.rfind(".")]
-
-
 def build(rows: list[tuple[str, str, int]], path: str = "$", fields: list[str] = ()) -> Type:
     """The type tree at ``path``; ``fields``: paths of record fields in their order."""
     order = {p: k for k, p in enumerate(fields)}
@@ -44,7 +38,7 @@ def build(rows: list[tuple[str, str, int]], path: str = "$", fields: list[str] =
         positions.setdefault(p, []).append((name, n))
     inside: dict[str, list[str]] = {}
     for p in positions:
-        if (above := _parent_path(p)) is not None:
+        if (above := path_above(p)) is not None:
             inside.setdefault(above, []).append(p)
 
     def position(p: str) -> Type:
@@ -55,7 +49,7 @@ def build(rows: list[tuple[str, str, int]], path: str = "$", fields: list[str] =
             (above.subtypes if above else tops).append(node)
             if kind(name) == "generic":
                 for q in sorted(inside.get(p, []), key=lambda q: (order.get(q, len(order)), q)):
-                    if q.endswith("[]") == (name in ("nonempty_list", "improper_list")):
+                    if q[len(p) :] in {"nonempty_list": ("[]",), "improper_list": ("[]", "[|]")}.get(name, (q[len(p) :],) if q[len(p)] == "." else ()):
                         node.parameters.append((q[len(p) :].lstrip("."), position(q)))
         for node in made.values():
             node.subtypes.sort(key=lambda t: (-t.n, t.name))

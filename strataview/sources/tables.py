@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from strataview.functions.hierarchy import IMPROPER
 from pyspark.sql import types as T
 
 FILE_FORMATS = ("parquet", "orc", "csv", "json", "text", "avro", "xml")
@@ -73,5 +75,5 @@ def from_values(spark: SparkSession, values: list, schema: str = "value string")
 
 
 def improper_list(items: Column, tail: Column) -> Column:
-    """A list with a tail of another kind."""
-    return F.struct(items.alias("items"), tail.alias("tail"))
+    """A list with a tail of another kind; flattening tells it from records by its field names."""
+    return F.struct(items.alias(IMPROPER[0]), tail.alias(IMPROPER[1]))
