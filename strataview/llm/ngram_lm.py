@@ -1,171 +1,63 @@
-"""N-gram language model as a weighted backoff automaton.
+"""N-gram language model as a weighted backoff automaton, built block by block.
 
-States are n-gram contexts: the root (empty context), frequent words, and frequent
-longer contexts up to ``order - 1`` words.  A state's arcs are the n-grams seen often after it;
-where a word has no arc, the failure arc leads to the state of the shortened context and
-costs its backoff weight.  One left-to-right traversal of a text carries the state and adds up
-log10 probabilities; texts are traversed many at a time.
+States are n-gram contexts: the root (no context), words, and longer contexts of up to
+``order - 1`` words.  A state's arcs are the n-grams of the training texts; where a word has no arc, the
+failure arc leads to the state of the shortened context and costs its weight.  One left-to-right
+traversal of a text carries the state (the arc that the previous token took) and adds up log10
+probabilities; the texts of a block are traversed at once.
 
-Smoothing is absolute discounting: an arc has (c(h, w) - D) / c(h); what the arcs of a state
-leave over is spread over the shorter context's words that have no arc there.  At the root, the
-discounts of all distinct words make the probability of one unknown word.
+Every n-gram of the corpus counts, however rare, so the counts grow with the input and are neither
+cut nor broadcast.  A block is a run of rows of one file with some BLOCK_BYTES of text:
 
-An n-gram becomes an arc if it makes up ``arc_share`` of all training tokens, a word becomes
-a state's word if it makes up ``word_share``.  Both are shares, so the automaton has at most
-``1 / share`` entries per order at any corpus size, and is broadcast.  The root has an
-arc for every word of the training corpus, however rare: the rare ones are too
-many to broadcast, so their counts stay in a table, and each document's rare words are joined with it.
+1. each block lists its distinct n-grams by order, with their counts in its own training texts,
+   as sorted 64-bit keys in chunks by key range;
+2. each key range adds up what all blocks sent, and answers every block with the totals of the keys it
+   asked for, in their order;
+3. each block meets its answers, makes the automaton of its own n-grams with the corpus-wide
+   counts (arcs that no text of the block can take are not sent), and traverses it.
+
+A common n-gram is sent once a block, so no key crowds a range with more than its number of blocks.
+
+Smoothing: an arc has (c(h, w) + m * P(w | h')) / (c(h) + m), h' being h without its first word; the failure
+arc of h costs m / (c(h) + m).  For every state the probabilities add up to one.  At the root, the discounts of all
+distinct words make the probability of one unknown word.  ``STRENGTHS`` (m by order from 2) were chosen on training rows.
 
 Counts cover all training documents (those whose crc32(doc_id) mod 10 is not 0).
 
 Defined cases: a null text is an empty one and has the end token alone; rows that repeat
 are scored each (and each counts in training); with an empty training table every word is unknown
 and has the log10 probability of 1 / (V + 1) = 1, that is 0; an empty table gives an
-empty result; other columns are ignored.
+empty result; a very long text is a block of its own rows' size; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataview.llm.staging import crc_bucket, stage
-from strataview.llm.textkit import steps, text_buffers, word_hashes
+from strataview.llm.textkit import mix, steps, text_buffers, word_hashes
 
 ORDER = 3
-WORD_SHARE, ARC_SHARE = 1e-5, 1e-6
+STRENGTHS = (300.0, 2.0)
 DISCOUNT = 0.7
 FOLDS = 10
+#: Text bytes of a block, keys of a range.
+BLOCK_BYTES = 8 << 20
+RANGE_KEYS = 4_000_000
 #: Identity of the end token: no word's hash is kept equal to it (one in 2**64).
-END = np.int64(-1)
-
-
-@dataclass
-class Automaton:
-    """Frequent words (sorted by hash) and, per order, arcs keyed by (state, word)."""
-
-    total: int = 0
-    distinct: int = 0
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    word_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    root: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: per order from 2: keys state * len(words) + word, log10 probability, log10 backoff weight of the states they start from
-    keys: list[np.ndarray] = field(default_factory=list)
-    logs: list[np.ndarray] = field(default_factory=list)
-    counts: list[np.ndarray] = field(default_factory=list)
-    backoff: list[np.ndarray] = field(default_factory=list)
-
-    def rare_log(self, count: np.ndarray) -> np.ndarray:
-        """Root probability of a word with ``count`` training occurrences."""
-        if not self.total:
-            return np.zeros(len(count))
-        unknown = (DISCOUNT * self.distinct + 1) / (self.total + 1)
-        known = np.maximum(count - DISCOUNT, 1e-9) / (self.total + 1)
-        return np.log10(np.where(count > 0, known, unknown))
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Arcs of the next order: (state, word) keys and their counts."""
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        n = max(len(self.words), 1)
-        state, word = keys // n, keys % n
-        context = self.counts[-1] if self.counts else self.word_counts
-        mass = np.maximum(context[state], counts)
-        logs = np.log10(np.maximum(counts - DISCOUNT, 1e-9) / mass)
-        lower = 10.0 ** self._score(self._suffix(state), word, len(self.keys))
-        states = len(context)
-        kept = np.bincount(state, 10.0**logs, states)
-        covered = np.bincount(state, lower, states)
-        left = np.clip(1 - kept, 1e-6, 1) / np.clip(1 - covered, 1e-6, 1)
-        self.keys.append(keys)
-        self.logs.append(logs)
-        self.counts.append(counts)
-        self.backoff.append(np.log10(left))
-
-    def _suffix(self, state: np.ndarray) -> np.ndarray:
-        """State of the context without its first word, at the level below."""
-        level = len(self.keys)
-        if level == 0:
-            return np.zeros(len(state), np.int64)
-        n = len(self.words)
-        word = self.keys[-1][state] % n
-        if level == 1:
-            return word
-        first = self.keys[-1][state] // n
-        shorter = self._suffix_at(first, level - 1)
-        return self._find(level - 2, shorter, word)
-
-    def _suffix_at(self, state: np.ndarray, level: int) -> np.ndarray:
-        n = len(self.words)
-        word = self.keys[level - 1][state] % n
-        if level == 1:
-            return word
-        return self._find(level - 2, self._suffix_at(self.keys[level - 1][state] // n, level - 1), word)
-
-    def _find(self, k: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Arc number in keys[k], or -1."""
-        if not len(self.keys[k]):
-            return np.full(len(word), -1)
-        wanted = state * len(self.words) + word
-        at = np.minimum(np.searchsorted(self.keys[k], wanted), len(self.keys[k]) - 1)
-        return np.where((state >= 0) & (word >= 0) & (self.keys[k][at] == wanted), at, -1)
-
-    def _score(self, state: np.ndarray, word: np.ndarray, level: int) -> np.ndarray:
-        """log10 P(word | state) for states of ``level`` words (-1: fall through at no cost)."""
-        if level == 0:
-            return self.root[word]
-        arc = self._find(level - 1, state, word)
-        shorter = word * 0 if level == 1 else self._suffix_of(state, level)
-        below = self._score(shorter, word, level - 1)
-        weight = np.where(state >= 0, self.backoff[level - 1][np.maximum(state, 0)], 0.0)
-        return np.where(arc >= 0, self.logs[level - 1][np.maximum(arc, 0)], weight + below)
-
-    def _suffix_of(self, state: np.ndarray, level: int) -> np.ndarray:
-        safe = np.maximum(state, 0)
-        return np.where(state >= 0, self._suffix_at(safe, level - 1), -1)
-
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-    def traverse(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """log10 probability of every token (rare words: without the root's part), and the states passed.
-
-        States are carried from token to token: the state of ``k`` words before a token is the
-        arc that the previous token took from the state of ``k - 1`` words.
-        """
-        n = len(ids)
-        fresh = np.ones(n, bool)
-        fresh[1:] = owner[1:] != owner[:-1]
-        before = np.full(n, -1)
-        before[1:] = ids[:-1]
-        before[fresh] = -1
-        states, arcs = [before], []  # states[k]: context of k + 1 words
-        for k in range(len(self.keys)):
-            arc = self._find(k, states[k], ids)
-            arcs.append(arc)
-            follow = np.full(n, -1)
-            follow[1:] = arc[:-1]
-            follow[fresh] = -1
-            states.append(follow)
-        out = np.where(ids >= 0, self.root[np.maximum(ids, 0)] if len(self.root) else 0.0, 0.0)
-        for k in range(len(self.keys)):  # from the shortest context to the longest
-            failed = np.where(states[k] >= 0, self.backoff[k][np.maximum(states[k], 0)], 0.0) + out
-            out = np.where(arcs[k] >= 0, self.logs[k][np.maximum(arcs[k], 0)] if len(self.logs[k]) else 0.0, failed)
-        return out, states
+END = np.uint64(2**64 - 1)
+_PLACE = 0x9E3779B97F4A7C15
 
 
 def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes and text numbers of a batch, every text closed by the end token."""
-    data, offsets = text_buffers(batch.column(1))
+    data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text")))
     hashes, owner = word_hashes(data, offsets)
     n = len(offsets) - 1
     counts = np.bincount(owner, minlength=n)
@@ -173,134 +65,235 @@ def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(len(hashes) + n, END)
     inner = np.ones(len(out), bool)
     inner[ends] = False
-    out[inner] = np.where(hashes.view(np.int64) == END, 0, hashes.view(np.int64))
+    out[inner] = np.where(hashes == END, np.uint64(0), hashes)
     return out, np.repeat(np.arange(n), counts + 1)
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(back, counts, len(keys)).astype(np.int64)
+def grams(tokens: np.ndarray, owner: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order: keys of all n-grams within a text, and the places of their last tokens."""
+    yield tokens, np.arange(len(tokens))
+    for k in range(2, order + 1):
+        at = np.flatnonzero(owner[k - 1 :] == owner[: max(len(owner) - k + 1, 0)]) + k - 1
+        total = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            total += mix(tokens[at - j] + np.uint64(_PLACE * (j + 1) % 2**64))
+        yield mix(total), at
+
+
+def encode(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, which the shuffle's compression shortens."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def decode(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def encode_sorted(keys: np.ndarray) -> bytes:
+    steps_ = keys.copy()
+    steps_[1:] -= keys[:-1]
+    return encode(steps_)
+
+
+def decode_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(decode(data), dtype=np.uint64)
+
 
+def _sum_by(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(back, np.concatenate(counts), len(found)).astype(np.int64)
 
-def _count(model, level: int, most: int = 400_000):
-    """Counts of tokens (level 0) or of (state, word) pairs; combined within a task."""
+
+def _requests(order: int, ranges: int):
+    """Chunks (part, block, keys, own) of the blocks' distinct n-grams; a part is an order and a key range.
+
+    A block that a file split cuts sends from both sides; so does one with very many n-grams.
+    """
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("own", pa.binary())])
+
+    def chunks(block: int, held: list[list]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list, ...] = ([], [], [], [])
+        for level, pairs in enumerate(held):
+            if not pairs:
+                continue
+            keys, own = _sum_by([k for k, _ in pairs], [c for _, c in pairs])
+            part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                for column, value in zip(rows, (level * ranges + int(part[a]), block, encode_sorted(keys[a:b]), encode(own[a:b])), strict=True):
+                    column.append(value)
+        for at in range(0, len(rows[0]), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 1000], t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value if model else None
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        current, held, size = None, [[] for _ in range(order)], 0
         for whole in batches:
-            for batch in steps(whole):
-                tokens, owner = tokens_of(batch)
-                if level:
-                    ids = automaton.word_ids(tokens)
-                    state = automaton.traverse(ids, owner)[1][level - 1]
-                    seen = (state >= 0) & (ids >= 0)
-                    tokens = state[seen] * len(automaton.words) + ids[seen]
-                found, n = np.unique(tokens, return_counts=True)
-                keys, counts = _sum_by(np.concatenate([keys, found]), np.concatenate([counts, n]))
-                if len(keys) > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "c"])
-                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "c"])
+            blocks = whole.column(whole.schema.get_field_index("block")).to_numpy()
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if a == b:
+                    continue
+                for batch in steps(whole.slice(a, b - a)):
+                    if current is not None and (blocks[a] != current or size > 2 * RANGE_KEYS):
+                        yield from chunks(current, held)
+                        held, size = [[] for _ in range(order)], 0
+                    current = int(blocks[a])
+                    tokens, owner = tokens_of(batch)
+                    train = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False)[owner]
+                    for level, (keys, at) in enumerate(grams(tokens, owner, order)):
+                        held[level].append(_sum_by([keys], [train[at].astype(np.int64)]))
+                        size += len(held[level][-1][0])
+        if current is not None:
+            yield from chunks(current, held)
 
     return run
 
 
-def _traverse(model):
-    """Per document: sums of the traversal, and its rare words for the join."""
+def _totals(ranges: int):
+    """Answers (block, part, totals) of a part; its first row also carries the part's training words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        block = table.column("block").to_numpy()
+        keys = [decode_sorted(v.as_py()) for v in table.column("keys")]
+        own = [decode(v.as_py()) for v in table.column("own")]
+        size = np.array([len(k) for k in keys])
+        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(back, np.concatenate(own), len(found)).astype(np.int64)
+        begin = np.cumsum(size) - size
+        order = np.argsort(block, kind="stable")
+        out_blocks, answers = [], []
+        for chunk in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            places = back[begin[chunk[0]] : begin[chunk[0]] + size[chunk[0]]]
+            if len(chunk) > 1:
+                places = np.unique(np.concatenate([back[begin[c] : begin[c] + size[c]] for c in chunk.tolist()]))
+            out_blocks.append(int(block[chunk[0]]))
+            answers.append(encode(totals[places]))
+        n = len(out_blocks)
+        tokens, words = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if part < ranges:
+            tokens[0], words[0] = totals.sum(), (totals > 0).sum()
+        return pa.table({"block": pa.array(out_blocks, pa.int64()), "part": pa.array([part] * n, pa.int64()), "totals": pa.array(answers, pa.binary()), "tokens": tokens, "words": words})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
-        floor = 0.1
-        for whole in batches:
+    return run
+
+
+class Automaton:
+    """Arcs of the n-grams of some texts, by order, with the counts given for their sorted keys."""
+
+    def __init__(self, tokens: np.ndarray, owner: np.ndarray, order: int, counts, total: int, distinct: int, strengths: tuple[float, ...] = STRENGTHS):
+        self.total, self.distinct = total, distinct
+        #: by order: the arc that each token takes from the longest context of that size (-1: the text has none)
+        self.arcs: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        #: by order: probabilities of the arcs, the weight of the failure arc being part of those never seen
+        self.probabilities: list[np.ndarray] = []
+        for level, (keys, at) in enumerate(grams(tokens, owner, order)):
+            found, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            count = counts(level, found)
+            if len(count) != len(found):
+                raise ValueError(f"{len(count)} counts for {len(found)} n-grams of order {level + 1}")
+            arc = np.full(len(tokens), -1)
+            arc[at] = back
+            if level == 0:
+                probability = self.root(count)
+            else:
+                last = at[first]
+                context = self.counts[-1][self.arcs[-1][last - 1]]
+                shorter = self.probabilities[-1][self.arcs[-1][last]]
+                m = strengths[level - 1]
+                probability = (count + m * shorter) / (context + m)
+            self.arcs.append(arc)
+            self.counts.append(count)
+            self.probabilities.append(probability)
+
+    def root(self, count: np.ndarray) -> np.ndarray:
+        """Probability of words with ``count`` training occurrences; 0: of the unknown word."""
+        unknown = (DISCOUNT * self.distinct + 1) / (self.total + 1)
+        return np.where(count > 0, np.maximum(count - DISCOUNT, 1e-9) / (self.total + 1), unknown)
+
+    def traverse(self) -> np.ndarray:
+        """log10 probability of every token from the longest state that its text allows."""
+        out = np.log10(self.probabilities[0])[self.arcs[0]]
+        for arcs, probabilities in zip(self.arcs[1:], self.probabilities[1:], strict=True):
+            taken = np.flatnonzero(arcs >= 0)
+            out[taken] = np.log10(probabilities)[arcs[taken]]
+        return out
+
+
+def _score(order: int, ranges: int, total: int, distinct: int, strengths: tuple[float, ...]):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        n, tokens, owner, before = texts.num_rows, [], [], 0
+        for whole in texts.select(["text"]).combine_chunks().to_batches():
             for batch in steps(whole):
-                tokens, owner = tokens_of(batch)
-                n = batch.num_rows
-                ids = automaton.word_ids(tokens)
-                logs, _ = automaton.traverse(ids, owner)
-                frequent = ids >= 0
-                base = np.where(frequent, np.log10(automaton.word_counts[np.maximum(ids, 0)] + floor) if len(automaton.words) else 0.0, 0.0)
-                rare_owner, rare = owner[~frequent], tokens[~frequent]
-                order = np.lexsort((rare, rare_owner))
-                rare_owner, rare = rare_owner[order], rare[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(rare)))
-                bounds = np.searchsorted(rare_owner[at], np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(np.bincount(owner, minlength=n)),
-                        pa.array(np.bincount(owner, frequent, n).astype(np.int64)),
-                        pa.array(np.bincount(owner, base, n)),
-                        pa.array(np.bincount(owner, logs, n)),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(rare[at])),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int32))),
-                    ],
-                    ["row", "n_tokens", "n_frequent", "base_part", "score_part", "rare", "times"],
-                )
+                t, o = tokens_of(batch)
+                tokens.append(t)
+                owner.append(o + before)
+                before += batch.num_rows
+        if not tokens:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_sum": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+        part = answers.column("part").to_numpy()
+        rows = [int(r) for r in np.argsort(part)]
+        packed = answers.column("totals")
+
+        def counts(level: int, _: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.uint64), *(decode(packed[r].as_py()) for r in rows if part[r] // ranges == level)]).astype(np.int64)
+
+        automaton = Automaton(tokens, owner, order, counts, total, distinct, strengths)
+        known = automaton.counts[0][automaton.arcs[0]]
+        return pa.table(
+            {
+                "doc_id": texts.column("doc_id"),
+                "n_tokens": np.bincount(owner, minlength=n).astype(np.int64),
+                "n_known": np.bincount(owner, known > 0, n).astype(np.int64),
+                "base_sum": np.bincount(owner, np.log10(known + 0.1), n),
+                "score": np.bincount(owner, automaton.traverse(), n),
+            }
+        )
 
     return run
 
 
-def _frequent(counts: DataFrame, least: float) -> pd.DataFrame:
-    """Entries of at least ``least``: by arithmetic no more than total / least."""
-    return counts.where(F.col("c") >= least).toPandas()
-
-
-def fit(texts: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the staged table (key, c) of all training tokens."""
-    spark = texts.sparkSession
-    table = stage(texts.mapInArrow(_count(None, 0), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "tokens")
-    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = Automaton(total=int(total), distinct=int(distinct))
-    if total:
-        # the end token is always a word of the automaton
-        words = table.where((F.col("c") >= total * word_share) | (F.col("key") == int(END))).toPandas().sort_values("key")
-        model.words, model.word_counts = words["key"].to_numpy(), words["c"].to_numpy()
-        model.root = model.rare_log(model.word_counts)
-    for level in range(1, order):
-        if not total:
-            break
-        shared = spark.sparkContext.broadcast(model)
-        counted = texts.mapInArrow(_count(shared, level), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-        arcs = _frequent(counted, max(total * arc_share, 2))
-        model.add_order(arcs["key"].to_numpy(), arcs["c"].to_numpy())
-        shared.unpersist()
-    return model, table
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (crc_bucket(F.col(id_col), FOLDS) == 0).alias("held_out"))
-    model, table = fit(rows.where(~F.col("held_out")).select("doc_id", "text"), order, word_share, arc_share)
-    shared = spark.sparkContext.broadcast(model)
-    parts = rows.select("doc_id", "text").mapInArrow(_traverse(shared), "row long, n_tokens long, n_frequent long, base_part double, score_part double, rare array<long>, times array<int>")
-    # a row of its own for every document, repeated ids included
-    parts = stage(parts.withColumn("uid", F.monotonically_increasing_id()), "traversed")
-    floor = model.total + 0.1 * (model.distinct + 1)
-    unknown = float(model.rare_log(np.zeros(1, np.int64))[0])
-    words = parts.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("uid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    rare = table.where(F.col("c") < model.total * word_share)  # no key of it can crowd a task
-    joined = words.join(rare, "key", "left")
-    count = F.coalesce(F.col("c"), F.lit(0))
-    root = F.when(F.col("c").isNull(), F.lit(unknown)).otherwise(F.log10(F.greatest(F.col("c") - DISCOUNT, F.lit(1e-9)) / (model.total + 1)))
-    sums = joined.groupBy("uid").agg(
-        F.sum(F.col("times") * F.log10(count + 0.1)).alias("base_rare"),
-        F.sum(F.col("times") * root).alias("score_rare"),
-        F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("known_rare"),
+def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Columns doc_id, text, file and row: where a row lies; rows that come from no file are staged first."""
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return docs.select(*columns, *place)
+    except AnalysisException:
+        return stage(docs.select(*columns), "texts").select("doc_id", "text", *place)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strengths: tuple[float, ...] = STRENGTHS, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score (a token)."""
+    placed = _with_place(docs, id_col, text_col)
+    n, size = placed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    run_rows = max(1, int(block_bytes * n // max(size, 1)))
+    # a word of two bytes and more has three n-grams
+    ranges = int(size // range_keys) + 1
+    held_out = crc_bucket(F.col("doc_id"), FOLDS) == 0
+    rows = placed.select("doc_id", "text", (~held_out).alias("train"), F.xxhash64("file", F.floor(F.col("row") / run_rows)).alias("block"))
+    asked = rows.mapInArrow(_requests(order, ranges), "part long, block long, keys binary, own binary")
+    answers = stage(asked.groupBy("part").applyInArrow(_totals(ranges), "block long, part long, totals binary, tokens long, words long"), "answers")
+    total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    schema = "doc_id long, n_tokens long, n_known long, base_sum double, score double"
+    scored = (
+        rows.select("block", "doc_id", "text")
+        .groupBy("block")
+        .cogroup(answers.select("block", "part", "totals").groupBy("block"))
+        .applyInArrow(_score(order, ranges, int(total), int(distinct), strengths), schema)
     )
-    out = parts.drop("rare", "times").join(sums, "uid", "left")
-    zero = F.lit(0.0)
-    return out.select(
-        F.col("row").alias("doc_id"),
-        (crc_bucket(F.col("row"), FOLDS) == 0).alias("held_out"),
+    floor = F.lit(float(total + 0.1 * (distinct + 1)))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
         "n_tokens",
-        (F.col("n_frequent") + F.coalesce("known_rare", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_part") + F.coalesce("base_rare", zero) - F.col("n_tokens") * F.log10(F.lit(float(floor)))).alias("base_score"),
-        (F.col("score_part") + F.coalesce("score_rare", zero)).alias("score"),
+        "n_known",
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base_sum") - F.col("n_tokens") * F.log10(floor)).alias("base_score"),
+        "score",
+        (F.col("score") / F.col("n_tokens")).alias("mean_score"),
     )

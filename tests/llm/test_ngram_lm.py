@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from strataview.llm import ngram_lm as lm
 from tests.llm import cases
@@ -17,90 +18,83 @@ def tokens(text):
 
 
 class Naive:
-    """The same model with dictionaries, one token at a time along failure arcs."""
-
-    def __init__(self, texts, order, word_share, arc_share):
-        self.c = Counter(w for t in texts for w in t)
-        self.n, self.v = sum(self.c.values()), len(self.c)
-        frequent = {w for w, c in self.c.items() if c >= self.n * word_share} | {"</s>"}
-        self.states = {(w,): self.c[w] for w in frequent if w in self.c}
-        self.arcs = [{}]
-        for k in range(2, order + 1):
-            grams = Counter()
-            for t in texts:
-                for i in range(k - 1, len(t)):
-                    h = tuple(t[i - k + 1 : i])
-                    if h in self.states and t[i] in frequent:
-                        grams[(h, t[i])] += 1
-            arcs = {g: c for g, c in grams.items() if c >= max(self.n * arc_share, 2)}
-            level = {}
-            left, covered = Counter(), Counter()
-            for (h, w), c in arcs.items():
-                p = max(c - D, 1e-9) / max(self.states[h], c)
-                level[(h, w)] = p
-                left[h] += p
-                covered[h] += 10 ** self.log(h[1:], w)
-            self.arcs.append((level, {h: np.clip(1 - left[h], 1e-6, 1) / np.clip(1 - covered[h], 1e-6, 1) for h in self.states if len(h) == k - 1}))
-            self.states |= {(*h, w): c for (h, w), c in arcs.items()}
-
-    def log(self, h, w):
+    """The same model with dictionaries, one token at a time along arcs and failure arcs."""
+
+    def __init__(self, texts, order, strengths):
+        self.order, self.strengths = order, strengths
+        self.c = Counter()
+        for t in texts:
+            for k in range(1, order + 1):
+                self.c.update(tuple(t[i - k : i]) for i in range(k, len(t) + 1))
+        self.n = sum(c for g, c in self.c.items() if len(g) == 1)
+        self.v = sum(len(g) == 1 for g in self.c)
+
+    def p(self, h, w):
         if not h:
-            c = self.c[w]
-            return math.log10(((c - D) if c else D * self.v + 1) / (self.n + 1))
-        if h not in self.states:
-            return self.log(h[1:], w)
-        level, weight = self.arcs[len(h)]
-        if (h, w) in level:
-            return math.log10(level[(h, w)])
-        return math.log10(weight[h]) + self.log(h[1:], w)
+            c = self.c[(w,)]
+            return ((c - D) if c else D * self.v + 1) / (self.n + 1)
+        m = self.strengths[len(h) - 1]
+        failure = m / (self.c[h] + m)
+        return self.c[(*h, w)] / (self.c[h] + m) + failure * self.p(h[1:], w)
 
-    def score(self, text, order):
-        return sum(self.log(tuple(text[max(0, i - order + 1) : i]), w) for i, w in enumerate(text))
+    def score(self, text):
+        state, total = (), 0.0
+        for w in text:
+            total += math.log10(self.p(state, w))
+            state = (*state, w)[-(self.order - 1) :]
+        return total
 
 
-def test_equals_naive_traversal(spark):
+def corpus():
     rng = random.Random(1)
     vocab = [f"W{k}" for k in range(50)]
     data = []
     for k in range(150):
         words = [vocab[min(int(rng.expovariate(0.15)), 49)] for _ in range(rng.randint(0, 60))]
         data.append((k, " ".join(words) + (f" only{k}" if k % 3 == 0 else ""), "en", "a", 0, "", "", ""))
-    data += [(k + 200, *r[1:]) for k, r in enumerate(cases.rows()[:11])]
-    order, shares = 3, (0.004, 0.001)
-    got = {r.doc_id: r for r in lm.score_documents(cases.frame(spark, data), order=order, word_share=shares[0], arc_share=shares[1]).collect()}
-    train = [tokens(r[1]) for r in data if zlib.crc32(str(r[0]).encode()) % 10]
-    naive = Naive(train, order, *shares)
-    assert len(naive.arcs[1][0]) > 20 and len(naive.arcs[2][0]) > 5
+    return data + [(k + 200, *r[1:]) for k, r in enumerate(cases.rows())]
+
+
+@pytest.mark.parametrize(("order", "block_bytes", "range_keys", "from_file"), [(3, 1000, 5000, False), (2, 1 << 20, 4_000_000, True)])
+def test_equals_naive_traversal(spark, tmp_path, order, block_bytes, range_keys, from_file):
+    data, strengths = corpus(), (3.0, 1.5)
+    docs = cases.frame(spark, data)
+    if from_file:
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: r for r in lm.score_documents(docs, order=order, strengths=strengths, block_bytes=block_bytes, range_keys=range_keys).collect()}
+    assert len(got) == len(data)
+    naive = Naive([tokens(r[1]) for r in data if zlib.crc32(str(r[0]).encode()) % 10], order, strengths)
     for row in data:
         text, r = tokens(row[1]), got[row[0]]
         assert r.held_out == (zlib.crc32(str(row[0]).encode()) % 10 == 0)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(text), sum(naive.c[w] > 0 for w in text), naive.n)
-        base = sum(math.log10((naive.c[w] + 0.1) / (naive.n + 0.1 * (naive.v + 1))) for w in text)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(text), sum(naive.c[(w,)] > 0 for w in text), naive.n)
+        base = sum(math.log10((naive.c[(w,)] + 0.1) / (naive.n + 0.1 * (naive.v + 1))) for w in text)
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(r.score, naive.score(text, order), rel_tol=1e-9, abs_tol=1e-9), row
+        assert math.isclose(r.score, naive.score(text), rel_tol=1e-9, abs_tol=1e-9), row
+        assert math.isclose(r.mean_score * r.n_tokens, r.score, rel_tol=1e-9, abs_tol=1e-9)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one(spark):
+def test_probabilities_sum_to_one():
     rng = random.Random(2)
-    data = [(k, " ".join(rng.choice("abcab") for _ in range(30)), "", "", 0, "", "", "") for k in range(40)]
-    model, _ = lm.fit(cases.frame(spark, data).select("doc_id", "text"), 3, 1e-3, 1e-3)
-    everything = np.arange(len(model.words))
-    unknown = 10.0 ** model.rare_log(np.zeros(1, np.int64))[0]
-    for level, states in ((0, 1), (1, len(model.words)), (2, len(model.keys[0]))):
-        for state in range(states):
-            mass = (10.0 ** model._score(np.full(len(everything), state), everything, level)).sum()
-            weight = 1.0
-            at, k = np.array([state]), level
-            while k:
-                weight *= 10.0 ** model.backoff[k - 1][at[0]]
-                at = at * 0 if k == 1 else model._suffix_of(at, k)
-                k -= 1
-            assert math.isclose(mass + weight * unknown, 1, abs_tol=2e-2)
+    naive = Naive([tokens(" ".join(rng.choice("abcab") for _ in range(30))) for _ in range(40)], 3, (5.0, 2.0))
+    words = ["a", "b", "c", "</s>", "unknown"]
+    for h in [(), ("a",), ("b", "c"), ("unknown",), ("a", "unknown")]:
+        assert math.isclose(sum(naive.p(h, w) for w in words), 1, abs_tol=1e-9)
+
+
+def test_chunks_round_trip():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64))
+    assert (lm.decode_sorted(lm.encode_sorted(keys)) == keys).all()
+    assert (lm.decode(lm.encode(keys[:7])) == keys[:7]).all()
+    assert len(lm.decode(lm.encode(keys[:0]))) == 0
 
 
 def test_edge_cases(spark):
     got = lm.score_documents(cases.frame(spark)).collect()
     assert len(got) == len(cases.rows()) and all(r.score <= 0 and np.isfinite(r.base_score) for r in got)
     assert lm.score_documents(cases.frame(spark, [])).count() == 0
+    only_held = [(k, "a b", "", "", 0, "", "", "") for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
+    assert {r.score for r in lm.score_documents(cases.frame(spark, only_held)).collect()} == {0.0}
