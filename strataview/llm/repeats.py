@@ -42,6 +42,8 @@ PASSAGE, PASSAGE_GRAM = 51, 8
 BYTES, WORDS = 0, 1
 #: Variants of an anchor that are compared in one task.
 HOT = 20_000
+#: Windows that are hashed, and compared, at a time.
+STEP_WINDOWS = 1 << 18
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POSITION_BITS = 24
 
@@ -169,6 +171,30 @@ def shared_windows(value: np.ndarray, least: np.ndarray, most: np.ndarray) -> np
     return (low != high)[back]
 
 
+def shared_flags(kind: int, n: np.ndarray, gap: np.ndarray, anchor: np.ndarray, column: pa.Array, least: np.ndarray, most: np.ndarray, limit: int = STEP_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the given runs are shared, and their places in the run.
+
+    Hashes are made for some runs at a time, and compared for a part of the range of hashes at a time:
+    beside about 20 bytes a window, memory is bounded by ``limit`` windows.
+    """
+    ends = np.cumsum(n)
+    value, step = np.empty(int(ends[-1]), np.uint64), np.empty(int(ends[-1]), np.int32)
+    at = 0
+    while at < len(n):
+        low = int(ends[at - 1]) if at else 0
+        end = max(int(np.searchsorted(ends, low + limit, "right")), at + 1)
+        value[low : ends[end - 1]], step[low : ends[end - 1]] = _values(kind, n[at:end], gap[at:end], anchor[at:end], column.slice(at, end - at))
+        at = end
+    which = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    parts = len(value) // limit + 1
+    part = (value % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+    flags = np.zeros(len(value), bool)
+    for k in range(parts):
+        own = np.flatnonzero(part == k)
+        flags[own] = shared_windows(value[own], least[which[own]], most[which[own]])
+    return flags, step
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared window ranges of the variants of each anchor; rows are sorted by anchor."""
     waiting: list[pa.RecordBatch] = []
@@ -180,18 +206,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(n)
             at = 0
             while at < len(n):  # whole anchors, a few MB of symbols at a time
-                end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right"))
+                end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_WINDOWS, "right"))
                 end = min(max(end, at + 1), len(n))
                 end = at + int(np.searchsorted(anchor[at:], anchor[end - 1], "right"))
                 part = slice(at, end)
-                value, step = _values(kind, n[part], gap[part], anchor[part], own.column(7).slice(at, end - at))
-                which = np.repeat(np.arange(at, end), n[part])
                 # bytes: any two variants; words: variants of two documents
-                flags = shared_windows(value, *((which, which) if kind == BYTES else (least[which], most[which])))
+                origin = (np.arange(at, end),) * 2 if kind == BYTES else (least[part], most[part])
+                flags, step = shared_flags(kind, n[part], gap[part], anchor[part], own.column(7).slice(at, end - at), *origin)
                 begins = flags & ((step == 0) | ~np.concatenate([[False], flags[:-1]]))
                 stops = flags & (np.concatenate([step[1:] == 0, [True]]) | ~np.concatenate([flags[1:], [False]]))
                 b, e = np.flatnonzero(begins), np.flatnonzero(stops)
-                row = which[b]
+                row = at + np.searchsorted(ends[part] - (ends[at - 1] if at else 0), b, "right")
                 yield _batch(SHARED, [np.full(len(row), kind), n[row], gap[row], anchor[row], content[row], step[b], step[e]])
                 at = end
 

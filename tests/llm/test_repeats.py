@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from strataview.llm import repeats
 from tests.llm import cases
@@ -106,3 +107,24 @@ def test_long_texts_in_pieces(monkeypatch):
 def test_sliding_min():
     values = np.random.default_rng(0).integers(0, 50, 100).astype(np.uint64)
     assert (repeats.sliding_min(values, 7) == np.lib.stride_tricks.sliding_window_view(values, 7).min(axis=1)).all()
+
+
+def test_windows_compared_in_parts():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 100, 600, np.uint8)
+    texts, n = [], rng.integers(1, 120, 300)
+    for size in n:
+        text = base[: size - 1 + repeats.LENGTH].copy()
+        if rng.random() < 0.7:
+            text[rng.integers(0, len(text))] = 33
+        texts.append(text.tobytes())
+    args = (repeats.BYTES, n, np.full(300, 130), np.repeat(np.arange(6), 50), pa.array(texts, pa.binary()), np.arange(300), np.arange(300))
+    flags, step = repeats.shared_flags(*args)
+    seen = {}
+    places = [(run // 50, k, texts[run][k : k + repeats.LENGTH], run) for run in range(300) for k in range(n[run])]
+    for anchor, k, window, run in places:
+        seen.setdefault((anchor, k, window), set()).add(run)
+    assert flags.tolist() == [len(seen[p[:3]]) > 1 for p in places] and 0 < flags.sum() < len(flags)
+    assert step.tolist() == [p[1] for p in places]
+    for limit in (1, 50, 1000):
+        assert (repeats.shared_flags(*args, limit=limit)[0] == flags).all()
