@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataview.llm.staging import join_groups, release, stage
+from strataview.llm.textkit import thrifty
 
 #: Edges that a task contracts at once.
 CONTRACTED = 2_000_000
@@ -71,9 +72,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Raises if the labels have not settled after ``max_rounds``.
     """
-    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_contract, "a long, b long")
+    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(thrifty(_contract), "a long, b long")
     for end, other in ("ba", "ab"):
-        edges = edges.repartition(end, F.pmod(F.xxhash64(other), F.lit(SALTS))).mapInArrow(_contract, "a long, b long")
+        edges = edges.repartition(end, F.pmod(F.xxhash64(other), F.lit(SALTS))).mapInArrow(thrifty(_contract), "a long, b long")
     edges = stage(edges.distinct(), "edges")
     before = _signature(edges)
     for _ in range(max_rounds):

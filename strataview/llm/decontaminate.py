@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataview.llm.textkit import mix, powers, range_sums, steps, text_buffers
+from strataview.llm.textkit import mix, powers, range_sums, steps, text_buffers, thrifty
 
 Q, EDIT_SHARE, LEAST = 10, 0.08, 24
 #: A q-gram at more item positions than this is not looked up, if the bound allows.
@@ -213,6 +213,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for block in _blocks(benchmark, block_bytes, least):
-        hits = rows.mapInArrow(_search(spark.sparkContext.broadcast(indexes(block, q, edit_share))), HIT)
+        hits = rows.mapInArrow(thrifty(_search(spark.sparkContext.broadcast(indexes(block, q, edit_share)))), HIT)
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else spark.createDataFrame([], HIT)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from strataview.llm.components import connected_components, forest
 from strataview.llm.staging import BROADCAST_ROWS, join_groups, keep_rows, release, stage
-from strataview.llm.textkit import distinct_sets, mix, shingle_hashes, steps, text_buffers
+from strataview.llm.textkit import distinct_sets, mix, shingle_hashes, steps, text_buffers, thrifty
 
 WORDS = 5
 #: Threshold as hundredths: 100 * intersection >= PERCENT * union.
@@ -144,8 +144,8 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_sketch(described: DataFrame) -> np.ndarray:
     """Counts by the tokens' leading bits: 2**SKETCH_BITS numbers at any corpus size."""
     parts = described.where("slice is not null").select("slice", "counts")
-    spread = parts.repartition(2 * SLICES, "slice", F.pmod(F.crc32("counts"), F.lit(4))).mapInArrow(_add_slices, "slice int, counts binary")
-    rows = spread.repartition(SLICES, "slice").mapInArrow(_add_slices, "slice int, counts binary").collect()  # SLICES rows
+    spread = parts.repartition(2 * SLICES, "slice", F.pmod(F.crc32("counts"), F.lit(4))).mapInArrow(thrifty(_add_slices), "slice int, counts binary")
+    rows = spread.repartition(SLICES, "slice").mapInArrow(thrifty(_add_slices), "slice int, counts binary").collect()  # SLICES rows
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for row in rows:
         sketch[row["slice"]] += np.frombuffer(zlib.decompress(row["counts"]), "<i8")
@@ -204,8 +204,8 @@ def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_groups(described: DataFrame) -> DataFrame:
     """(node, component) of all nodes that share a key with another."""
-    keys = described.where("node is not null").select("node", "bands").mapInArrow(_combine_keys, "key long, node long, head long")
-    edges = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_key_edges, "a long, b long")
+    keys = described.where("node is not null").select("node", "bands").mapInArrow(thrifty(_combine_keys), "key long, node long, head long")
+    edges = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(thrifty(_key_edges), "a long, b long")
     return connected_components(edges)
 
 
@@ -426,7 +426,7 @@ def open_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ``units`` (unit, role, node); few of them go to the sets by broadcast."""
     wanted = F.broadcast(units) if units.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else units
     rows = sets.join(wanted, "node").select("unit", "role", "node", "tokens")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_open(percent), "a long, b long")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(thrifty(_open(percent)), "a long, b long")
 
 
 def between_groups(placed: DataFrame, percent: int) -> DataFrame:
@@ -457,7 +457,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = stage(texts.mapInArrow(_describe(words), DESCRIBED), "described")
+    described = stage(texts.mapInArrow(thrifty(_describe(words)), DESCRIBED), "described")
     sketch = spark.sparkContext.broadcast(count_sketch(described))
     rows = described.where("slice is null").select("doc_id", "n_shingles", "node", "check")
     nodes = rows.where("node is not null").groupBy("node").agg(
@@ -478,12 +478,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     inside = other.select(pair, F.when(F.col("tile") == F.col("u"), 3).when(F.col("tile") < F.col("u"), 1).otherwise(2).alias("role"), "node")
 
     # the matrix, and what qualifies between groups
-    matrix = texts.mapInArrow(_matrix_rows(words, percent, sketch), MATRIX)
-    matrix = matrix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, MATRIX)
+    matrix = texts.mapInArrow(thrifty(_matrix_rows(words, percent, sketch)), MATRIX)
+    matrix = matrix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(thrifty(_shared_only), MATRIX)
     whose, few = members.select("node", "grp"), members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     placed = matrix.join(F.broadcast(whose) if few else whose, "node", "left").withColumn("large", F.col("grp").isNotNull()).withColumn("grp", F.coalesce("grp", "node"))
     placed = placed.select("token", "node", "rank", "size", "grp", "large")
-    placed = (placed if few else placed.repartition("token")).sortWithinPartitions("token").mapInArrow(_several_groups, PLACED)
+    placed = (placed if few else placed.repartition("token")).sortWithinPartitions("token").mapInArrow(thrifty(_several_groups), PLACED)
     placed = stage(placed, "matrix")
     asked = stage(between_groups(placed, percent), "asked")
     release(placed)
@@ -500,7 +500,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # whole sets of the nodes concerned, and the links
     ids = nodes.join(units.select("node").distinct(), "node", "left_semi").select("least_id")
-    sets = keep_rows(texts, ids, "least_id", F.col("doc_id")).mapInArrow(_sets(words), "node long, tokens array<long>")
+    sets = keep_rows(texts, ids, "least_id", F.col("doc_id")).mapInArrow(thrifty(_sets(words)), "node long, tokens array<long>")
     links = stage(open_units(units, sets, percent), "links")
     release(units)
     final = connected_components(links)

@@ -7,6 +7,8 @@ Words and shingles are identified by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,25 @@ _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def free_unused() -> None:
+    """Give memory of finished work back to the system, where the platform allows."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run):
+    """``run`` with its memory given back at the end of each task, as workers live on beside the next ones."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        free_unused()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
