@@ -20,7 +20,8 @@ A common n-gram is sent once a block, so no key crowds a range with more than it
 
 Smoothing: an arc has (c(h, w) + m * P(w | h')) / (c(h) + m), h' being h without its first word; the failure
 arc of h costs m / (c(h) + m).  For every state the probabilities add up to one.  At the root, the discounts of all
-distinct words make the probability of one unknown word.  ``STRENGTHS`` (m by order from 2) were chosen on training rows.
+distinct words make the probability of one unknown word.  ``STRENGTHS`` are m by order from 2; the README
+tells how they were picked.
 
 Counts cover all training documents (those whose crc32(doc_id) mod 10 is not 0).
 
