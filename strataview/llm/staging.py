@@ -47,6 +47,19 @@ def release(staged: DataFrame) -> None:
     path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes from now on, unless the session has a lower bound: whole texts come in batches
+    of 10,000 rows otherwise, which the executor and its workers hold several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def crc_bucket(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus`` (null: as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -42,6 +42,7 @@ def thrifty(run):
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        _powers[:] = [table[:1].copy() for table in _powers]
         free_unused()
 
     return whole

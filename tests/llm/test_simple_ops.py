@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 
-from strataview.llm import mixing, pii, secrets, warc
+from strataview.llm import mixing, pii, secrets, staging, warc
 from strataview.llm.exact_dedup import exact_dedup
 from tests.llm import cases
 
@@ -176,3 +176,15 @@ def test_rake_converges():
     cells = pd.DataFrame({"source": ["a", "a", "b"], "lang": ["x", "y", "y"], "topic": ["t"] * 3, "tokens": [100, 100, 100]})
     want = mixing.rake(cells, {"source": pd.Series({"a": 0.5, "b": 0.5}), "lang": pd.Series({"x": 0.25, "y": 0.75})}, 100)
     assert np.allclose([want[:2].sum(), want[2], want[0]], [50, 50, 25], atol=1e-3)
+
+
+def test_arrow_batches_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, then in (("64m", str(staging.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(key, given)
+            staging.small_batches(spark)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
