@@ -59,6 +59,8 @@ SPARE = 40
 QUERIES_A_COPY = 1000
 #: Columns of a dense product, and the documents a token may have to be counted pair by pair in a large unit.
 WIDTH, LIGHT = 2048, 8
+#: Rows of the intersections that are compared with the threshold at once.
+ROWS_A_TEST = 256
 _SEED1, _SEED2 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -351,9 +353,10 @@ def open_unit(role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent:
 
     Linked sets are given as a forest: each with the least of its component.
     """
-    whose = np.repeat(np.arange(len(sizes)), sizes)
+    sizes = sizes.astype(np.int64)
     order = np.argsort(tokens, kind="stable")
-    token, whose = tokens[order], whose[order]
+    token, whose = tokens[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    del order
     again = np.zeros(len(token), bool)
     again[1:] = token[1:] == token[:-1]
     again[:-1] |= again[1:].copy()
@@ -369,8 +372,12 @@ def open_unit(role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent:
     number = np.zeros(len(token), np.int64)
     number[1:] = np.cumsum(token[1:] != token[:-1])
     shared = intersections(number, whose, asks, opened)
-    linked = (100 + percent) * shared >= percent * (sizes[asks].astype(np.float32)[:, None] + sizes[opened].astype(np.float32))
-    a, b = np.nonzero(linked)
+    # in integers, a few rows at a time: products of large sets are not exact in 32-bit floats
+    found = []
+    for low in range(0, len(asks), ROWS_A_TEST):
+        both = sizes[asks[low : low + ROWS_A_TEST], None] + sizes[None, opened]
+        found.append(np.argwhere((100 + percent) * shared[low : low + ROWS_A_TEST].astype(np.int64) >= percent * both) + [low, 0])
+    a, b = np.concatenate(found).T
     a, b = asks[a], opened[b]
     return forest(len(sizes), a[a != b], b[a != b])
 

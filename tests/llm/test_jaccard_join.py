@@ -160,3 +160,12 @@ def test_several_groups_across_batches(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + 2, c]) for c in (0, 1, 0, 0, 1, 1)], schema) for k in range(0, len(rows), 2)]
     got = {r for b in jj._several_groups(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)}
     assert got >= {(t, g) for t, g in rows.tolist() if len(groups[t]) > 1}
+
+
+def test_threshold_is_exact_for_very_large_sets():
+    shared = 1_700_000
+    for total, linked in ((3_966_666, 1), (3_966_667, 0)):  # 7 * shared against 3 * total
+        a = total // 2
+        sizes = np.array([a, total - a])
+        tokens = np.concatenate([np.arange(a), np.arange(a - shared, a - shared + total - a)])
+        assert len(jj.open_unit(np.array([3, 3]), sizes, tokens, 75)[0]) == linked
