@@ -15,17 +15,19 @@ from strataview.llm.decontaminate import find_contamination
 from strataview.llm.exact_dedup import exact_dedup, normalised
 from strataview.llm.jaccard_join import jaccard_join
 from strataview.llm.mixing import mix_sources
-from strataview.llm.staging import drop_rows, read_documents, stage
+from strataview.llm.staging import drop_rows, read_documents, small_batches, stage
 from strataview.llm.toxicity import keep_clean
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below their language's threshold."""
+    small_batches(spark)
     return keep_clean(docs, read_documents(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each normalised text: the longest original, then the smallest id."""
+    small_batches(spark)
     judged = stage(exact_dedup(docs), "exact")
     keys = {"doc_id": F.col("doc_id").cast("long"), "text_sha256": F.sha2(normalised(F.col("text")), 256)}
     repeated = judged.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
@@ -39,12 +41,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest id."""
+    small_batches(spark)
     joined = jaccard_join(docs)
     return drop_rows(docs, joined.where("component_id <> doc_id").select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     hits = find_contamination(docs, read_documents(spark, sf_dir, "benchmark"))
     return drop_rows(docs, hits.select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
 
