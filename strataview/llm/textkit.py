@@ -29,7 +29,8 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def free_unused() -> None:
-    """Give memory of finished work back to the system, where the platform allows."""
+    """Drop the tables of powers, and give memory of finished work back to the system, where the platform allows."""
+    _powers[:] = [table[:1].copy() for table in _powers]
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -38,11 +39,13 @@ def free_unused() -> None:
 
 
 def thrifty(run):
-    """``run`` with its memory given back at the end of each task, as workers live on beside the next ones."""
+    """``run`` with its memory given back at the end of each task, as workers live on beside the next ones.
+
+    ``whole`` is pickled by value with the globals that it names, so it names functions of this module only.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _powers[:] = [table[:1].copy() for table in _powers]
         free_unused()
 
     return whole
