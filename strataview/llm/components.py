@@ -1,10 +1,12 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges are first contracted to forests within tasks, as they come and dealt by either end (an end of
-very many edges over ``SALTS`` tasks), so few rounds are left.  Each step is then a grouped minimum and
+very many edges over ``SALTS`` tasks), so few rounds are left.  Once no more than ``CONTRACTED`` edges are
+left, as many as any task contracts at once, one task does the rest; the rounds, each of a dozen
+stages that the driver plans and keeps records of, are for more.  Each step of a round is a grouped minimum and
 a join over the edge table, in which keys of very many edges are joined by broadcast (``join_groups``);
-nothing is gathered in one task or on the driver, and the edges are staged after every round, so a
-lost executor costs one round at most.
+more edges than that are never gathered in one task, and none on the driver; the edges are staged after
+every round, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -67,10 +69,10 @@ def _star(pairs: DataFrame, low: DataFrame, total: int) -> DataFrame:
     return join_groups(pairs, low, "u", "times", total).select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).where("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, at_once: int = CONTRACTED) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b, not null); component is the least node.
 
-    Raises if the labels have not settled after ``max_rounds``.
+    ``at_once`` edges, ``CONTRACTED`` at most, are left to one task.  Raises if the labels have not settled after ``max_rounds``.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(thrifty(_contract), "a long, b long")
     for end, other in ("ba", "ab"):
@@ -78,7 +80,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stage(edges.distinct(), "edges")
     before = _signature(edges)
     for _ in range(max_rounds):
-        if not before[0]:
+        if before[0] <= min(at_once, CONTRACTED):
+            if before[0]:
+                old, edges = edges, stage(edges.coalesce(1).mapInArrow(thrifty(_contract), "a long, b long"), "edges")
+                release(old)
             break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times"))
