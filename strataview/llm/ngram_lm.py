@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataview.llm.staging import crc_bucket, stage
-from strataview.llm.textkit import mix, steps, text_buffers, word_hashes
+from strataview.llm.textkit import free_unused, mix, steps, text_buffers, thrifty, word_hashes
 
 ORDER = 3
 STRENGTHS = (300.0, 2.0)
@@ -100,24 +100,35 @@ def decode_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(decode(data), dtype=np.uint64)
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the order of all (stable), and where in it each key begins."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new], order, np.flatnonzero(new)
+
+
 def _sum_by(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(back, np.concatenate(counts), len(found)).astype(np.int64)
+    found, order, begin = _runs(np.concatenate(keys))
+    return found, np.add.reduceat(np.concatenate(counts)[order], begin) if len(begin) else np.zeros(0, np.int64)
 
 
 def _requests(order: int, ranges: int):
     """Chunks (part, block, keys, own) of the blocks' distinct n-grams; a part is an order and a key range.
 
-    A block that a file split cuts sends from both sides; so does one with very many n-grams.
+    A block that a file split cuts sends from both sides; so does one with very many n-grams.  Its orders are
+    sent one after the other, and what was held for one goes before the next.
     """
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("own", pa.binary())])
 
     def chunks(block: int, held: list[list]) -> Iterator[pa.RecordBatch]:
-        rows: tuple[list, ...] = ([], [], [], [])
         for level, pairs in enumerate(held):
             if not pairs:
                 continue
+            rows: tuple[list, ...] = ([], [], [], [])
             keys, own = _sum_by([k for k, _ in pairs], [c for _, c in pairs])
+            pairs.clear()
             part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -125,8 +136,9 @@ def _requests(order: int, ranges: int):
                     continue
                 for column, value in zip(rows, (level * ranges + int(part[a]), block, encode_sorted(keys[a:b]), encode(own[a:b])), strict=True):
                     column.append(value)
-        for at in range(0, len(rows[0]), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 1000], t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
+            del keys, own, part
+            for at in range(0, len(rows[0]), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 1000], t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, size = None, [[] for _ in range(order)], 0
@@ -192,12 +204,14 @@ class Automaton:
         #: by order: probabilities of the arcs, the weight of the failure arc being part of those never seen
         self.probabilities: list[np.ndarray] = []
         for level, (keys, at) in enumerate(grams(tokens, owner, order)):
-            found, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            found, sorted_, begin = _runs(keys)
+            first = sorted_[begin]
+            arc = np.full(len(tokens), -1, np.int32)
+            arc[at[sorted_]] = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(begin, append=len(keys)))
+            del keys, sorted_, begin
             count = counts(level, found)
             if len(count) != len(found):
                 raise ValueError(f"{len(count)} counts for {len(found)} n-grams of order {level + 1}")
-            arc = np.full(len(tokens), -1)
-            arc[at] = back
             if level == 0:
                 probability = self.root(count)
             else:
@@ -225,7 +239,7 @@ class Automaton:
 
 
 def _score(order: int, ranges: int, total: int, distinct: int, strengths: tuple[float, ...]):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
         n, tokens, owner, before = texts.num_rows, [], [], 0
         for whole in texts.select(["text"]).combine_chunks().to_batches():
             for batch in steps(whole):
@@ -241,7 +255,7 @@ def _score(order: int, ranges: int, total: int, distinct: int, strengths: tuple[
         packed = answers.column("totals")
 
         def counts(level: int, _: np.ndarray) -> np.ndarray:
-            return np.concatenate([np.zeros(0, np.uint64), *(decode(packed[r].as_py()) for r in rows if part[r] // ranges == level)]).astype(np.int64)
+            return np.concatenate([np.zeros(0, np.int64), *(decode(packed[r].as_py()).view("<i8") for r in rows if part[r] // ranges == level)])
 
         automaton = Automaton(tokens, owner, order, counts, total, distinct, strengths)
         known = automaton.counts[0][automaton.arcs[0]]
@@ -255,6 +269,11 @@ def _score(order: int, ranges: int, total: int, distinct: int, strengths: tuple[
             }
         )
 
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = scored(texts, answers)
+        free_unused()
+        return out
+
     return run
 
 
@@ -277,7 +296,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = int(size // range_keys) + 1
     held_out = crc_bucket(F.col("doc_id"), FOLDS) == 0
     rows = placed.select("doc_id", "text", (~held_out).alias("train"), F.xxhash64("file", F.floor(F.col("row") / run_rows)).alias("block"))
-    asked = rows.mapInArrow(_requests(order, ranges), "part long, block long, keys binary, own binary")
+    asked = rows.mapInArrow(thrifty(_requests(order, ranges)), "part long, block long, keys binary, own binary")
     answers = stage(asked.groupBy("part").applyInArrow(_totals(ranges), "block long, part long, totals binary, tokens long, words long"), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     schema = "doc_id long, n_tokens long, n_known long, base_sum double, score double"

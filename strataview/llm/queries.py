@@ -14,7 +14,7 @@ from strataview.llm.ngram_lm import score_documents
 from strataview.llm.pii import find_pii
 from strataview.llm.repeats import remove_repeats
 from strataview.llm.secrets import scan_secrets
-from strataview.llm.staging import read_documents
+from strataview.llm.staging import read_documents, small_batches
 from strataview.llm.toxicity import score_toxicity
 from strataview.llm.warc import round_trip
 
@@ -28,6 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return score_documents(read_documents(spark, sf_dir))
 
 
