@@ -51,6 +51,10 @@ FOLDS = 10
 #: Text bytes of a block, keys of a range.
 BLOCK_BYTES = 8 << 20
 RANGE_KEYS = 4_000_000
+#: Bytes of a batch of chunks, n-grams that one vectorised step handles, and parts in which the n-grams of a block are sorted.
+SENT_BYTES = 1 << 20
+PIECE = 1 << 17
+BANDS = 8
 #: Identity of the end token: no word's hash is kept equal to it (one in 2**64).
 END = np.uint64(2**64 - 1)
 _PLACE = 0x9E3779B97F4A7C15
@@ -70,24 +74,33 @@ def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), counts + 1)
 
 
-def grams(tokens: np.ndarray, owner: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By order: keys of all n-grams within a text, and the places of their last tokens."""
-    yield tokens, np.arange(len(tokens))
-    for k in range(2, order + 1):
-        at = np.flatnonzero(owner[k - 1 :] == owner[: max(len(owner) - k + 1, 0)]) + k - 1
-        total = np.full(len(at), k, np.uint64)
+def grams(tokens: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams of order ``k`` within a text, and the places of their last tokens."""
+    if k == 1:
+        return tokens, np.arange(len(tokens), dtype=np.int32)
+    at = (np.flatnonzero(owner[k - 1 :] == owner[: max(len(owner) - k + 1, 0)]) + k - 1).astype(np.int32)
+    keys = np.empty(len(at), np.uint64)
+    for a in range(0, len(at), PIECE):
+        piece = at[a : a + PIECE]
+        total = np.full(len(piece), k, np.uint64)
         for j in range(k):
-            total += mix(tokens[at - j] + np.uint64(_PLACE * (j + 1) % 2**64))
-        yield mix(total), at
+            total += mix(tokens[piece - j] + np.uint64(_PLACE * (j + 1) % 2**64))
+        keys[a : a + PIECE] = mix(total)
+    return keys, at
 
 
 def encode(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, which the shuffle's compression shortens."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers as planes of bytes, compressed here already, as executors hold and sort what is sent."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="lz4_raw", asbytes=True)
 
 
 def decode(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = pa.decompress(memoryview(data)[8:], 8 * n, codec="lz4_raw")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
 def encode_sorted(keys: np.ndarray) -> bytes:
@@ -122,23 +135,35 @@ def _requests(order: int, ranges: int):
     """
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("own", pa.binary())])
 
+    # first key of every range's share of the bands
+    share = -(-ranges // BANDS)
+    lows = [((p << 32) + ranges - 1) // ranges << 32 for p in range(0, ranges, share)]
+
+    def packed(rows: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
+
     def chunks(block: int, held: list[list]) -> Iterator[pa.RecordBatch]:
         for level, pairs in enumerate(held):
-            if not pairs:
-                continue
+            cuts = [[*np.searchsorted(k, np.array(lows, np.uint64)).tolist(), len(k)] for k, _ in pairs]
             rows: tuple[list, ...] = ([], [], [], [])
-            keys, own = _sum_by([k for k, _ in pairs], [c for _, c in pairs])
+            size = 0
+            for band in range(len(lows) if pairs else 0):
+                spans = [slice(c[band], c[band + 1]) for c in cuts]
+                keys, own = _sum_by([k[x] for (k, _), x in zip(pairs, spans, strict=True)], [c[x] for (_, c), x in zip(pairs, spans, strict=True)])
+                part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    if a == b:
+                        continue
+                    for column, value in zip(rows, (level * ranges + int(part[a]), block, encode_sorted(keys[a:b]), encode(own[a:b])), strict=True):
+                        column.append(value)
+                    size += len(rows[2][-1]) + len(rows[3][-1])
+                    if size >= SENT_BYTES or len(rows[0]) == 1000:
+                        yield packed(rows)
+                        rows, size = ([], [], [], []), 0
             pairs.clear()
-            part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                for column, value in zip(rows, (level * ranges + int(part[a]), block, encode_sorted(keys[a:b]), encode(own[a:b])), strict=True):
-                    column.append(value)
-            del keys, own, part
-            for at in range(0, len(rows[0]), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 1000], t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
+            if rows[0]:
+                yield packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, size = None, [[] for _ in range(order)], 0
@@ -155,7 +180,8 @@ def _requests(order: int, ranges: int):
                     current = int(blocks[a])
                     tokens, owner = tokens_of(batch)
                     train = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False)[owner]
-                    for level, (keys, at) in enumerate(grams(tokens, owner, order)):
+                    for level in range(order):
+                        keys, at = grams(tokens, owner, level + 1)
                         held[level].append(_sum_by([keys], [train[at].astype(np.int64)]))
                         size += len(held[level][-1][0])
         if current is not None:
@@ -194,35 +220,50 @@ def _totals(ranges: int):
 
 
 class Automaton:
-    """Arcs of the n-grams of some texts, by order, with the counts given for their sorted keys."""
+    """Arcs of the n-grams of some texts, by order, with the counts given for their sorted keys.
+
+    Beside the arcs and probabilities of all orders it holds the work of one order at a time, of which a band of keys is sorted at once.
+    """
 
     def __init__(self, tokens: np.ndarray, owner: np.ndarray, order: int, counts, total: int, distinct: int, strengths: tuple[float, ...] = STRENGTHS):
         self.total, self.distinct = total, distinct
         #: by order: the arc that each token takes from the longest context of that size (-1: the text has none)
         self.arcs: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
         #: by order: probabilities of the arcs, the weight of the failure arc being part of those never seen
         self.probabilities: list[np.ndarray] = []
-        for level, (keys, at) in enumerate(grams(tokens, owner, order)):
-            found, sorted_, begin = _runs(keys)
-            first = sorted_[begin]
-            arc = np.full(len(tokens), -1, np.int32)
-            arc[at[sorted_]] = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(begin, append=len(keys)))
-            del keys, sorted_, begin
-            count = counts(level, found)
-            if len(count) != len(found):
-                raise ValueError(f"{len(count)} counts for {len(found)} n-grams of order {level + 1}")
+        before = np.zeros(0, np.int64)
+        for level in range(order):
+            arc, last = self.sort(*grams(tokens, owner, level + 1), len(tokens))
+            count = counts(level)
+            if len(count) != len(last):
+                raise ValueError(f"{len(count)} counts for {len(last)} n-grams of order {level + 1}")
             if level == 0:
                 probability = self.root(count)
+                #: counts of the words, by their arc
+                self.words = count
             else:
-                last = at[first]
-                context = self.counts[-1][self.arcs[-1][last - 1]]
-                shorter = self.probabilities[-1][self.arcs[-1][last]]
                 m = strengths[level - 1]
-                probability = (count + m * shorter) / (context + m)
+                probability = self.probabilities[-1][self.arcs[-1][last]]
+                probability *= m
+                probability += count
+                probability /= before[self.arcs[-1][last - 1]] + m
             self.arcs.append(arc)
-            self.counts.append(count)
             self.probabilities.append(probability)
+            before = count
+
+    @staticmethod
+    def sort(keys: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The arc of each of ``n`` tokens, numbered in order of the keys, and a place where each arc is taken."""
+        arc, places, found = np.full(n, -1, np.int32), [], 0
+        top = keys.astype("<u8", copy=False).view(np.uint8)[7::8]
+        for band in range(BANDS):
+            where = np.flatnonzero(top // (256 // BANDS) == band)
+            _, order, begin = _runs(keys[where])
+            where = at[where[order]]
+            arc[where] = np.repeat(np.arange(found, found + len(begin), dtype=np.int32), np.diff(begin, append=len(where)))
+            places.append(where[begin])
+            found += len(begin)
+        return arc, np.concatenate(places)
 
     def root(self, count: np.ndarray) -> np.ndarray:
         """Probability of words with ``count`` training occurrences; 0: of the unknown word."""
@@ -233,38 +274,42 @@ class Automaton:
         """log10 probability of every token from the longest state that its text allows."""
         out = np.log10(self.probabilities[0])[self.arcs[0]]
         for arcs, probabilities in zip(self.arcs[1:], self.probabilities[1:], strict=True):
-            taken = np.flatnonzero(arcs >= 0)
-            out[taken] = np.log10(probabilities)[arcs[taken]]
+            logs = np.log10(probabilities)
+            for a in range(0, len(arcs), PIECE):
+                taken = np.flatnonzero(arcs[a : a + PIECE] >= 0) + a
+                out[taken] = logs[arcs[taken]]
         return out
 
 
 def _score(order: int, ranges: int, total: int, distinct: int, strengths: tuple[float, ...]):
     def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
         n, tokens, owner, before = texts.num_rows, [], [], 0
-        for whole in texts.select(["text"]).combine_chunks().to_batches():
+        for whole in texts.select(["text"]).to_batches():
             for batch in steps(whole):
                 t, o = tokens_of(batch)
                 tokens.append(t)
-                owner.append(o + before)
+                owner.append((o + before).astype(np.int32))
                 before += batch.num_rows
         if not tokens:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_sum": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+        free_unused()  # the tables of powers
         part = answers.column("part").to_numpy()
         rows = [int(r) for r in np.argsort(part)]
         packed = answers.column("totals")
 
-        def counts(level: int, _: np.ndarray) -> np.ndarray:
+        def counts(level: int) -> np.ndarray:
             return np.concatenate([np.zeros(0, np.int64), *(decode(packed[r].as_py()).view("<i8") for r in rows if part[r] // ranges == level)])
 
         automaton = Automaton(tokens, owner, order, counts, total, distinct, strengths)
-        known = automaton.counts[0][automaton.arcs[0]]
+        del tokens
+        word = automaton.arcs[0]
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
                 "n_tokens": np.bincount(owner, minlength=n).astype(np.int64),
-                "n_known": np.bincount(owner, known > 0, n).astype(np.int64),
-                "base_sum": np.bincount(owner, np.log10(known + 0.1), n),
+                "n_known": np.bincount(owner, (automaton.words > 0)[word], n).astype(np.int64),
+                "base_sum": np.bincount(owner, np.log10(automaton.words + 0.1)[word], n),
                 "score": np.bincount(owner, automaton.traverse(), n),
             }
         )
