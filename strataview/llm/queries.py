@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strataview.llm.bpe import encoded_digests
+from strataview.llm.conversations import damage, repair, reports
 from strataview.llm.decontaminate import find_contamination
 from strataview.llm.exact_dedup import exact_dedup
 from strataview.llm.jaccard_join import jaccard_join
@@ -14,6 +17,7 @@ from strataview.llm.ngram_lm import score_documents
 from strataview.llm.pii import find_pii
 from strataview.llm.repeats import remove_repeats
 from strataview.llm.secrets import scan_secrets
+from strataview.llm.spelling import group_variants
 from strataview.llm.staging import read_documents, small_batches
 from strataview.llm.toxicity import score_toxicity
 from strataview.llm.warc import round_trip
@@ -60,8 +64,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_documents(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return reports(repair(damage(read_documents(spark, sf_dir, "conversations")), F.col("gone")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return group_variants(read_documents(spark, sf_dir), damage=31)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    small_batches(spark)
+    return encoded_digests(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_toxicity, op3_ngram_lm, op4_secrets, op5_exact_dedup, op6_decontamination, op7_jaccard_join, op8_repeats, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_mixing, op2_toxicity, op3_ngram_lm, op4_secrets, op5_exact_dedup, op6_decontamination, op7_jaccard_join, op8_repeats, op9_pii, op10_warc, op11_conversations, op12_spelling, op13_bpe)
 }
 
 ORACLE_SQL = {
