@@ -3,11 +3,14 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from strataview.llm.bpe import Vocabulary, decode, encode, encoded_digests, merged_long, merged_short
+from strataview.llm import bpe
+from strataview.llm.bpe import Vocabulary, decode, encode, encoded_digests
 from tests.llm.cases import frame, rows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -28,24 +31,23 @@ def test_encoding_equals_library(library):
         n = rng.randrange(0, 300 if k % 50 == 0 else 14)
         text = "".join(rng.choice(pool) if pool else chr(rng.choice([rng.randrange(0x800), rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(n))
         ids = library.encode(text, add_special_tokens=False).ids
-        assert own.encode(text) == ids, ascii(text)
-        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
-    for text in ("ab" * 40_000, "é" * 5000, "x<|startoftext|>" * 900, "word " * 30_000):
-        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert own.encode([text]).to_pylist() == [ids], ascii(text)
+        assert own.decode(pa.array([ids], pa.list_(pa.int32()))).to_pylist() == [library.decode(ids, skip_special_tokens=False)]
+    texts = ["ab" * 40_000, "é" * 5000, "x<|startoftext|>" * 900, "", "word " * 300_000, "more words here"]
+    assert own.encode(texts).to_pylist() == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for texts in ([f"{rng.getrandbits(90):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(5000)] for _ in range(50)):
+        own.encode(texts)
+        assert len(own.kept) <= bpe.KEPT
+    assert own.encode(texts).to_pylist() == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_scan_and_heap_agree():
+    with open(PATH, encoding="utf-8") as file:
+        own = Vocabulary(file.read())
     rng = random.Random(5)
-    for _ in range(2000):
-        letters = "abc"
-        ranks, tokens = {}, list(letters)
-        for rank in range(rng.randrange(12)):
-            pair = (rng.choice(tokens), rng.choice(tokens))
-            if pair not in ranks:
-                ranks[pair] = rank
-                tokens.append("".join(pair))
-        parts = [rng.choice(letters) for _ in range(rng.randrange(12))]
-        assert merged_short(parts, ranks) == merged_long(parts, ranks)
+    words = [bytes(rng.choice(b"aabcethins") if rng.random() < 0.9 else rng.randrange(256) for _ in range(rng.randrange(1, 65))) for _ in range(3000)]
+    ids, counts = own.merge(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [own._heaped(w) for w in words]
 
 
 def test_rows(spark, library):
