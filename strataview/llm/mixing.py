@@ -3,7 +3,7 @@
 Token weights are summed over the cells (source, language, topic).  Raking scales
 the cells until every marginal meets its target, with the rule that no cell may be
 asked for more tokens than it has (its documents are then all kept).  A document is
-kept with its cell's probability, decided by a hash of its id.
+kept with its cell's probability, decided by a hash of its id, or of its text where it has none.
 
 Targets are shares: given as dicts, or tempered from the data (share ``** temperature``,
 normalised).  Topics: column ``topic`` if the documents have one, else a topic by
@@ -14,7 +14,7 @@ the same raking runs as DataFrame aggregations.  Both ways give the same weights
 
 Defined cases: a null source, language or topic is a category of its own
 (``\\x00null``); a null text has no tokens and is never asked for, but has its cell's
-probability; rows that repeat are decided alike; an empty table gives an empty
+probability; rows that repeat are decided alike, and rows without id by their texts; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -111,16 +111,19 @@ def uniform(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(2**53))
 
 
-def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPLE_SHARE, seed: int = 17, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept."""
+def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPLE_SHARE, seed: int = 17, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept; and the columns ``keep`` of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     topic = F.coalesce(F.col("topic").cast("string"), F.lit(NULL)) if "topic" in docs.columns else form_topic(text)
+    doc_id = F.col("doc_id").cast("long")
     labelled = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        doc_id.alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit(NULL)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NULL)).alias("lang"),
         topic.alias("topic"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
+        F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(doc_id).alias("draw"),
+        *keep,
     )
     labelled = stage(labelled, "mix-rows")
     cells = stage(labelled.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
@@ -128,5 +131,5 @@ def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPL
     if cells.limit(max_cells + 1).count() <= max_cells:
         raked = F.broadcast(raked)  # at most max_cells rows, counted
     out = labelled.join(raked, list(MARGINS), "left")
-    kept = uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed) < F.col("probability")
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", kept.alias("kept"))
+    kept = uniform(F.col("draw"), seed) < F.col("probability")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", kept.alias("kept"), *keep)

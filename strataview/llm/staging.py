@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -117,3 +118,26 @@ def keep_rows(docs: DataFrame, kept: DataFrame, name: str, on: Column) -> DataFr
     if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         kept = F.broadcast(kept)
     return docs.join(kept, on.eqNullSafe(F.col("__kept")), "left_semi")
+
+
+#: Bits of a row's number that count rows within a file.
+ROW_BITS = 40
+
+
+def numbered(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` with a number for each row, other for equal rows too and the same whenever it is evaluated.
+
+    The number is made of a file's place among the sorted file names and the row's place in its file, which do not depend on how
+    files are dealt to tasks.  Rows that do not come straight from Parquet files are staged first.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place")]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    try:
+        rows = docs.select(*columns, *place)
+    except AnalysisException:
+        rows = stage(docs, "rows").select(*columns, *place)
+    files = rows.select("__file").distinct()
+    files = stage(files.select("__file", F.row_number().over(Window.orderBy("__file")).cast("long").alias("__nth")), "files")  # names alone
+    if files.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        files = F.broadcast(files)
+    return rows.join(files, "__file").select(*columns, (F.shiftleft("__nth", ROW_BITS) + F.col("__place")).alias(name))
