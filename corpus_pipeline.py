@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's documents.  The first four return the
-columns of their input.  Rows that share an id but not a text are judged one by one where the
-stage looks at texts (toxicity, exact deduplication), and together where it decides by id.
+columns of their input.  Every row is judged by itself: rows without id, and rows that share an id but not a
+text, stand for documents of their own, as stages tell rows apart by their place in the files.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from strataview.llm.decontaminate import find_contamination
 from strataview.llm.exact_dedup import exact_dedup, normalised
 from strataview.llm.jaccard_join import jaccard_join
 from strataview.llm.mixing import mix_sources
-from strataview.llm.staging import drop_rows, read_documents, small_batches, stage
+from strataview.llm.staging import drop_rows, keep_rows, numbered, read_documents, small_batches, stage
 from strataview.llm.toxicity import keep_clean
 
+ROW = "__row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below their language's threshold."""
@@ -39,24 +41,39 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth")
 
 
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` without the numbers in ``dropped``, and without their own."""
+    return drop_rows(rows, dropped.select(ROW), {ROW: F.col(ROW)}).drop(ROW)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id."""
+    """One document of each group of near copies: the smallest id; one without id only if none has any.
+
+    Of rows that repeat an id the one that comes first in the files.  Documents without words are no copies and stay.
+    """
     small_batches(spark)
-    joined = jaccard_join(docs)
-    return drop_rows(docs, joined.where("component_id <> doc_id").select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
+    rows = numbered(docs, ROW)
+    joined = jaccard_join(rows, id_col=ROW)
+    linked = stage(joined.where("component_id <> doc_id").select(F.col("doc_id").alias(ROW), "component_id"), "linked")
+    members = linked.unionByName(linked.select(F.col("component_id").alias(ROW), "component_id").distinct())
+    ids = keep_rows(rows.select(ROW, F.col("doc_id").cast("long").alias("id")), members, ROW, F.col(ROW))
+    members = stage(members.join(ids, ROW), "members")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first"))
+    return without(rows, members.select(ROW).join(stays.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; every row is judged by its own text."""
     small_batches(spark)
-    hits = find_contamination(docs, read_documents(spark, sf_dir, "benchmark"))
-    return drop_rows(docs, hits.select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
+    rows = numbered(docs, ROW)
+    hits = find_contamination(rows, read_documents(spark, sf_dir, "benchmark"), id_col=ROW)
+    return without(rows, hits.select(F.col("doc_id").alias(ROW)))
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that their tokens meet the source, language and topic targets."""
-    mixed = mix_sources(docs)
-    return drop_rows(docs, mixed.where("not kept").select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
+    """Documents drawn so that their tokens meet the source, language and topic targets; rows without id are drawn by their texts."""
+    rows = numbered(docs, ROW)
+    return without(rows, mix_sources(rows, keep=(ROW,)).where("not kept"))
 
 
 STAGES = [
