@@ -47,17 +47,16 @@ def merge_nodes(parts: DataFrame) -> DataFrame:
 def merge_extremes(parts: DataFrame) -> DataFrame:
     """Keep the smallest and largest values of each node; equal ones join their counts and spans.
 
-    Values are ordered by rank of kind, number, text; numbers compare by value whatever their type.
+    Values are ordered by rank of kind and the binary key ``ord``; numbers compare by value whatever their type.
     """
     order = Window.partitionBy(*NODE, "which")
-    low = [F.col("rank"), F.col("num").asc_nulls_last(), F.coalesce("inum", F.lit(0)), F.col("vtext")]
-    high = [F.col("rank").desc(), F.col("num").desc_nulls_last(), F.coalesce("inum", F.lit(0)).desc(), F.col("vtext").desc()]
-    mins = parts.where("which = 'min'").withColumn("__r", F.rank().over(order.orderBy(*low[:3], F.when(F.col("num").isNull(), F.col("vtext")))))
-    maxs = parts.where("which = 'max'").withColumn("__r", F.rank().over(order.orderBy(*high[:3], F.when(F.col("num").isNull(), F.col("vtext")).desc())))
+    mins = parts.where("which = 'min'").withColumn("__r", F.rank().over(order.orderBy("rank", "ord")))
+    maxs = parts.where("which = 'max'").withColumn("__r", F.rank().over(order.orderBy(F.desc("rank"), F.desc("ord"))))
     best = mins.unionByName(maxs).where(F.col("__r") == 1)
-    merged = best.groupBy(*NODE, "which", "rank", "num").agg(F.max("inum").alias("inum"), F.min("vtext").alias("vtext"), F.sum("n").alias("n"), first_of("first_ts", "first_key").alias("__first"), last_of("last_ts", "last_key").alias("__last"))
-    # texts: rank and text decide, so there is one group a node
-    return with_span(merged.select(*NODE, "which", "rank", "inum", "num", "vtext", "n", "__first", "__last"))
+    merged = best.groupBy(*NODE, "which", "rank", "ord").agg(
+        F.max("inum").alias("inum"), F.max("num").alias("num"), F.min("vtext").alias("vtext"), F.sum("n").alias("n"), first_of("first_ts", "first_key").alias("__first"), last_of("last_ts", "last_key").alias("__last")
+    )
+    return with_span(merged.select(*NODE, "which", "rank", "ord", "inum", "num", "vtext", "n", "__first", "__last"))
 
 
 def merge_sample_table(parts: DataFrame, k: int | None) -> DataFrame:

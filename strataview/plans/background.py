@@ -13,12 +13,22 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataview.plans.options import make_options
 from strataview.plans.profile import fixed_rows, profile
 from strataview.plans.spec import RawSpec
 
 
+def hashable(dtype: T.DataType) -> bool:
+    """Whether values of a type have a hash: no map or variant at any depth."""
+    if isinstance(dtype, T.StructType):
+        return all(hashable(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return hashable(dtype.elementType)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
 class Probe:
     """A profile that runs in a thread of its own and saves its spec to ``output_path``.
 
@@ -52,8 +62,8 @@ class Probe:
         limit = make_options(**options).limit
         if limit is not None:
             df, options = fixed_rows(df.limit(limit)), {**options, "limit": None}
-        # maps and variants have no hash; their text has
-        plain = [F.col(f"`{f.name}`") if f.dataType.typeName() not in ("map", "variant") else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields]
+        # maps and variants, and what holds them, have no hash; their text has
+        plain = [F.col(f"`{f.name}`") if hashable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields]
         spec: RawSpec | None = None
         processed = 0
         for k in range(parts):

@@ -1,10 +1,7 @@
 """Profiling: from a DataFrame and a probe to a spec.
 
-Three scans of the facts, none of which shuffles more than sketches or sampled values:
-
-1. counts, sketch registers and numeric extremes per (path, class, register);
-2. text extremes, dictionaries, histograms, and values whose hash is below the level that the estimates allow;
-3. spans (ts, key) of the sampled and extreme values, by a broadcast of those values.
+One scan of the facts fills a state for each node and task (``operators.accumulate``); these are kept, and all tables of the spec are
+merges of them.  Nothing but states is shuffled, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -18,29 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataview.functions.hashing import hash32
-from strataview.functions.hierarchy import RANK
+from strataview.operators.accumulate import merged_tables, node_states
 from strataview.operators.flatten import facts as make_facts
-from strataview.operators.flatten import field_paths, leaf_types
-from strataview.operators.merge import first_of, last_of, with_span
-from strataview.operators.sketches import NODE, estimates, register_index, register_rank, sample
+from strataview.operators.flatten import field_paths
+from strataview.operators.sketches import NODE, estimates
 from strataview.plans.options import Options, make_options
 from strataview.plans.selectors import normalize_probe, select
 from strataview.plans.spec import RawSpec
 
-NUMBERS = ("0", "byte", "char", "non_neg_integer", "neg_integer", "float", "decimal", "number", "integer")
-TEXTS = ("binary", "<<>>", "atom", "boolean", "timestamp", "date")
-HISTOGRAMS = ("binary", "<<>>", "nonempty_list", "improper_list")
-DICTIONARIES = ("atom", "boolean")
-
-
-def rank_column():
-    name = F.col("class")
-    return (
-        F.when(name.isin(*NUMBERS), RANK["number"]).when(name.isin("atom", "boolean"), RANK["atom"]).when(name.startswith("#") | name.startswith("tuple"), RANK["tuple"])
-        .when(name == "map", RANK["map"]).when(name.isin("[]", "nonempty_list", "list", "improper_list"), RANK["list"]).when(name == "null", RANK["null"])
-        .when(name == "timestamp", RANK["timestamp"]).when(name == "date", RANK["date"]).otherwise(RANK["bitstring"])
-    )
-
 
 def probe_facts(df: DataFrame, probe=0, options: Options | None = None, where=None) -> DataFrame:
     """The facts of a probe, with columns __ts, __key and the hash h."""
@@ -81,74 +63,24 @@ def fixed_rows(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def profile(df: DataFrame, probe=0, where=None, materialize: bool = True, **given) -> RawSpec:
+def profile(df: DataFrame, probe=0, where=None, **given) -> RawSpec:
     """Profile ``df``: ``probe`` is a selector or (selector, {"ts": ..., "key": ...})."""
     options = make_options(**given)
     started = datetime.datetime.now(datetime.timezone.utc).isoformat()
-    _, attrs = normalize_probe(probe)
     if options.limit is not None:
         df = fixed_rows(df.limit(options.limit))
     flat = probe_facts(df, probe, options, where)
 
-    # what the schema rules out is not scanned for: a false filter leaves an empty relation
-    held = leaf_types(select(df, normalize_probe(probe)[0]).dtype)
-    scanned_for = lambda *names: flat if held & {*names, "variant"} else flat.where(F.lit(False))
-
-    # 1. counts, registers, numeric extremes: fixed-width buffers only, so hash aggregation
-    b = options.hll_b
-    idx = register_index(F.col("h"), b).cast("int") if b else F.lit(0)
-    rank = F.max(register_rank(F.col("h"), b)) if b else F.lit(None).cast("int")
-    base = flat.groupBy(*NODE, idx.alias("idx")).agg(
-        F.count("*").alias("n"), rank.alias("rank"), F.min("num").alias("num_min"), F.max("num").alias("num_max"), F.min("inum").alias("inum_min"), F.max("inum").alias("inum_max")
-    )
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = base.groupBy(*NODE).agg(F.sum("n").alias("n"))
-    registers = base.where("rank is not null and idx is not null").select(*NODE, "idx", "rank") if b else None
-
-    # 2. samples, text extremes, dictionaries, histograms
-    expected = estimates(registers, b) if b else None
-    k = options.sample_size
-    plain = flat.where(~F.col("class").startswith("#") & ~F.col("class").isin("map", "null"))
-    samples = sample(plain, k, expected).persist(StorageLevel.MEMORY_AND_DISK) if options.samples else None
-    # the greatest integer counts only if it is the greatest number (others do not fit a bigint)
-    exact = lambda inum, num: F.when(inum.cast("double") == num, inum)
-    numeric = base.groupBy(*NODE).agg(F.min("num_min").alias("num_min"), F.max("num_max").alias("num_max"), F.min("inum_min").alias("inum_min"), F.max("inum_max").alias("inum_max")).where("num_min is not null")
-    number_ends = numeric.select(*NODE, F.lit("min").alias("which"), F.col("num_min").alias("num"), exact(F.col("inum_min"), F.col("num_min")).alias("inum"), F.lit(None).cast("string").alias("vtext")).unionByName(
-        numeric.select(*NODE, F.lit("max").alias("which"), F.col("num_max").alias("num"), exact(F.col("inum_max"), F.col("num_max")).alias("inum"), F.lit(None).cast("string").alias("vtext"))
-    )
-    text_ends = scanned_for("string", "boolean", "binary", "timestamp", "timestamp_ntz", "date").where(F.col("class").isin(*TEXTS)).groupBy(*NODE).agg(F.min("vtext").alias("lo"), F.max("vtext").alias("hi"))
-    text_ends = text_ends.select(*NODE, F.inline(F.array(F.struct(F.lit("min").alias("which"), F.col("lo").alias("vtext")), F.struct(F.lit("max").alias("which"), F.col("hi").alias("vtext")))))
-    ends = number_ends.unionByName(text_ends.select(*NODE, "which", F.lit(None).cast("double").alias("num"), F.lit(None).cast("bigint").alias("inum"), "vtext"))
-    ends = ends.persist(StorageLevel.MEMORY_AND_DISK)
-
-    # 3. spans of those values: two extremes and k samples a node are broadcast
-    match = (F.col("f.path") == F.col("e.path")) & (F.col("f.class") == F.col("e.class"))
-    same = F.when(F.col("e.vtext").isNotNull(), F.col("f.vtext") == F.col("e.vtext")).when(F.col("e.inum").isNotNull(), F.col("f.inum") == F.col("e.inum")).otherwise(F.col("f.num") == F.col("e.num"))
-    hit = flat.alias("f").join(F.broadcast(ends.alias("e")), match & same)
-    extremes = hit.groupBy("e.path", "e.class", "e.which", "e.inum", "e.num").agg(F.min("f.vtext").alias("vtext"), F.count("*").alias("n"), first_of("f.__ts", "f.__key").alias("__first"), last_of("f.__ts", "f.__key").alias("__last"))
-    extremes = with_span(extremes).withColumn("rank", rank_column())
-    if samples is not None and attrs and k is not None:
-        wanted = F.broadcast(samples.select(*NODE, "vtext"))
-        spans = plain.join(wanted, [*NODE, "vtext"]).groupBy(*NODE, "vtext").agg(first_of("__ts", "__key").alias("__first"), last_of("__ts", "__key").alias("__last"))
-        samples = with_span(samples.join(spans, [*NODE, "vtext"], "left").select(*NODE, "vtext", "h", "n", "__first", "__last"))
-    elif samples is not None and attrs:
-        spans = plain.groupBy(*NODE, "vtext").agg(first_of("__ts", "__key").alias("__first"), last_of("__ts", "__key").alias("__last"))
-        samples = with_span(samples.join(spans, [*NODE, "vtext"], "left").select(*NODE, "vtext", "h", "n", "__first", "__last"))
-    elif samples is not None:
-        none = F.lit(None).cast("string")
-        samples = samples.withColumns({"first_ts": none, "first_key": none, "last_ts": none, "last_key": none})
-    dictionary = with_span(
-        (flat if options.categorical else scanned_for("boolean")).where(F.col("class").isin(*DICTIONARIES)).groupBy(*NODE, "vtext").agg(F.count("*").alias("n"), first_of("__ts", "__key").alias("__first"), last_of("__ts", "__key").alias("__last"))
-    )
+    states = node_states(flat, options.hll_b, options.sample_size, bool(options.samples)).persist(StorageLevel.MEMORY_AND_DISK)
+    tables = merged_tables(states, options.hll_b, options.sample_size, bool(options.samples))
+    dictionary = tables["dictionary"]
     if options.dict_cap is not None:
         from pyspark.sql import Window
 
         order = Window.partitionBy(*NODE).orderBy(F.desc("n"), "vtext")
         dictionary = dictionary.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= options.dict_cap).drop("__r")
-    histogram = scanned_for("string", "binary", "array").where(F.col("class").isin(*HISTOGRAMS) & F.col("len").isNotNull()).groupBy(*NODE, F.col("len").alias("bucket")).agg(F.count("*").alias("n"))
-
     meta = {**asdict(options), "probe": repr(probe), "fields": field_paths(select(df, normalize_probe(probe)[0]).dtype), "started": started, "processed": None, "truncated": []}
-    spec = RawSpec(nodes, registers, samples, extremes, dictionary, histogram, meta)
+    spec = RawSpec(**{**tables, "dictionary": dictionary}, meta=meta)
     if options.output_path:
         processed = df.count()
         capped = [r["path"] for r in dictionary.groupBy("path").count().where(F.col("count") >= options.dict_cap).collect()] if options.dict_cap else []

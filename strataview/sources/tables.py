@@ -33,6 +33,12 @@ def open_source(spark: SparkSession, kind: str, name: str, tolerant: bool = Fals
     return reader.format(kind).load(name)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least as many partitions as tasks can run; only inputs of very few splits are dealt anew."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_log(spark: SparkSession, path: str, schema: str | T.StructType, header: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """An append-only log of JSON lines: (records, number of damaged lines); ``header`` rows are skipped."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
