@@ -2,7 +2,7 @@
 
 Everything is one expression per record, built from the schema, and one ``inline``:
 an array of equal structs (path, class, vtext, inum, num, len).  Variant columns (or JSON
-parsed to variant) are unrolled to a fixed depth.
+parsed to variant) are unrolled to their own depth.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from strataview.functions.hierarchy import IMPROPER, integer_class, scalar_class
 
 FACT = "struct<path:string,class:string,vtext:string,inum:bigint,num:double,len:bigint>"
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-#: Levels of a variant that are looked into.
-VARIANT_DEPTH = 3
+#: Levels of a variant that are looked into: all.
+VARIANT_DEPTH = None
 
 
 def canonical_text(v: Column, dtype: T.DataType) -> Column:
@@ -48,7 +48,7 @@ def scalar_fact(v: Column, dtype: T.DataType, path: Column, categorical: bool =
     return _fact(path, scalar_class(v, dtype, categorical), canonical_text(v, dtype), inum, v if number else None, bits)
 
 
-def facts_of(v: Column, dtype: T.DataType, path: Column, name: str, categorical: frozenset[str], depth: int = VARIANT_DEPTH, label: str = "$") -> Column:
+def facts_of(v: Column, dtype: T.DataType, path: Column, name: str, categorical: frozenset[str], depth: int | None = VARIANT_DEPTH, label: str = "$") -> Column:
     """Array of the facts of a value of any type."""
     if isinstance(dtype, T.StructType) and tuple(dtype.names) == IMPROPER and isinstance(dtype[0].dataType, T.ArrayType):
         items, tail = v.getField(IMPROPER[0]), v.getField(IMPROPER[1])
@@ -76,15 +76,49 @@ def facts_of(v: Column, dtype: T.DataType, path: Column, name: str, categorical:
     return F.array(scalar_fact(v, dtype, path, label in categorical))
 
 
-def variant_facts(v: Column, path: Column, depth: int) -> Column:
-    """Facts of a variant: its class depends on the value at hand."""
+def variant_facts(v: Column, path: Column, depth: int | None) -> Column:
+    """Facts of a variant and of all that it holds, level by level until a level is empty.
+
+    The levels are folded in one expression whose size does not grow with them: the state is the next level's values and
+    the facts so far.  A value cannot have more levels than its text has opening brackets.  With ``depth``
+    levels below that are not looked into.
+    """
+    text = v.cast("string")
+    brackets = F.coalesce(F.length(text) - F.length(F.translate(text, "[{", "")), F.lit(0))
+    levels = brackets if depth is None else F.least(brackets, F.lit(depth))
+    none = F.array().cast(f"array<{FACT}>")
+    start = F.struct(F.array(F.struct(path.alias("path"), v.alias("v"))).alias("level"), none.alias("facts"))
+
+    def step(state: Column, at: Column) -> Column:
+        own = F.transform(state["level"], lambda x: _variant_fact(x["v"], x["path"], at > levels))
+        below = F.flatten(F.transform(state["level"], lambda x: _variant_parts(x["v"], x["path"])))
+        return F.when(F.size(state["level"]) == 0, state).otherwise(F.struct(F.when(at > levels, F.slice(state["level"], 1, 0)).otherwise(below).alias("level"), F.concat(state["facts"], own).alias("facts")))
+
+    return F.aggregate(F.sequence(F.lit(1), levels + 1), start, step, lambda state: state["facts"])
+
+
+def _variant_parts(v: Column, path: Column) -> Column:
+    """(path, v) of what a list or map holds; empty for anything else."""
+    kind = F.schema_of_variant(v)
+    items = F.transform(v.try_cast("array<variant>"), lambda x: F.struct(F.concat(path, F.lit("[]")).alias("path"), x.alias("v")))
+    entries = F.transform(F.map_entries(v.try_cast("map<string,variant>")), lambda e: F.struct(F.concat(path, F.lit("."), step_column(e["key"])).alias("path"), e["value"].alias("v")))
+    none = F.array().cast("array<struct<path:string,v:variant>>")
+    return F.coalesce(F.when(kind.startswith("ARRAY"), items).when(kind.startswith("OBJECT"), entries), none)
+
+
+def _variant_fact(v: Column, path: Column, cut: Column) -> Column:
+    """The fact of a variant itself: its class depends on the value at hand."""
     kind = F.schema_of_variant(v)
     text = v.cast("string")
     integer, number = v.try_cast("bigint"), v.try_cast("double")
     whole = kind.rlike(r"^DECIMAL\(\d+,0\)$")  # integers beyond bigint
     is_list, is_map = kind.startswith("ARRAY"), kind.startswith("OBJECT")
-    scalar = (
+    length = F.when(is_list, F.size(v.try_cast("array<variant>")))
+    name = (
         F.when(v.isNull() | (kind == "VOID"), F.lit("null"))
+        .when(is_map, F.lit("map"))
+        .when(is_list & cut, F.lit("list"))
+        .when(is_list, F.when(length == 0, "[]").otherwise("nonempty_list"))
         .when(kind == "BOOLEAN", F.lit("boolean"))
         .when(kind == "BIGINT", integer_class(integer))
         .when(whole, integer_class(v.try_cast("decimal(38,0)")))
@@ -92,24 +126,12 @@ def variant_facts(v: Column, path: Column, depth: int) -> Column:
         .when(kind == "STRING", F.when(F.octet_length(text) == 0, "<<>>").otherwise("binary"))
         .otherwise("term")
     )
-    bits = F.when(kind == "STRING", F.octet_length(text).cast("bigint") * 8)
+    size = F.when(kind == "STRING", F.octet_length(text).cast("bigint") * 8).when(~cut & (length > 0), length.cast("bigint"))
     is_number = (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
-    one = F.array(_fact(path, scalar, F.when(kind != "VOID", text), F.when(kind == "BIGINT", integer), F.when(is_number, number), bits))
-    if depth <= 0:
-        return F.when(is_map, F.array(_fact(path, F.lit("map"), F.lit(None).cast("string")))).when(is_list, F.array(_fact(path, F.lit("list"), text))).otherwise(one)
-    items, entries = v.try_cast("array<variant>"), v.try_cast("map<string,variant>")
-    of_list = F.concat(
-        F.array(_fact(path, F.when(F.size(items) == 0, "[]").otherwise("nonempty_list"), text, size=F.when(F.size(items) > 0, F.size(items)))),
-        F.flatten(F.transform(items, lambda x: variant_facts(x, F.concat(path, F.lit("[]")), depth - 1))),
-    )
-    of_map = F.concat(
-        F.array(_fact(path, F.lit("map"), F.lit(None).cast("string"))),
-        F.flatten(F.transform(F.map_entries(entries), lambda e: variant_facts(e["value"], F.concat(path, F.lit("."), step_column(e["key"])), depth - 1))),
-    )
-    return F.when(is_list, of_list).when(is_map, of_map).otherwise(one)
+    return _fact(path, name, F.when((kind != "VOID") & ~is_map, text), F.when(kind == "BIGINT", integer), F.when(is_number, number), size)
 
 
-def facts(df: DataFrame, value: Column, dtype: T.DataType, name: str = "row", categorical=(), keep=(), depth: int = VARIANT_DEPTH) -> DataFrame:
+def facts(df: DataFrame, value: Column, dtype: T.DataType, name: str = "row", categorical=(), keep=(), depth: int | None = VARIANT_DEPTH) -> DataFrame:
     """Facts of ``value`` for every record of ``df``; the columns ``keep`` come along."""
     array = facts_of(value, dtype, F.lit("$"), name, frozenset(categorical), depth)
     return df.select(*keep, F.inline(array))

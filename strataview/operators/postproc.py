@@ -79,22 +79,33 @@ def stack_of(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.where(F.col("path").isin(steps)).withColumn("depth", depth.cast("int"))
 
 
-def siblings_of(nodes: DataFrame, path: str) -> DataFrame:
-    """The nodes of all positions that share the parent of ``path``, numbered by name (``place``)."""
+def _placed(nodes: DataFrame, fields: list[str] | None) -> DataFrame:
+    """Nodes with the ``place`` of their position below its parent: in the order of ``fields``, then by name."""
+    order = [F.col("path")]
+    if fields:
+        at = F.array_position(F.array(*map(F.lit, fields)), F.col("path"))
+        order = [F.when(at > 0, at).otherwise(F.lit(len(fields) + 1)), *order]
+    return nodes.withColumn("place", F.dense_rank().over(Window.partitionBy(path_parent(F.col("path"))).orderBy(*order)))
+
+
+def siblings_of(nodes: DataFrame, path: str, fields: list[str] | None = None) -> DataFrame:
+    """The nodes of all positions that share the parent of ``path``, numbered (``place``).
+
+    ``fields``: the paths of a record's fields in their order (a spec's metadata has them); other positions follow by name.
+    """
     above = path_above(path)
     if above is None:
         return nodes.where(F.col("path") == path).withColumn("place", F.lit(1))
-    return nodes.where(path_parent(F.col("path")) == above).withColumn("place", F.dense_rank().over(Window.partitionBy(path_parent(F.col("path"))).orderBy("path")))
+    return _placed(nodes.where(path_parent(F.col("path")) == above), fields)
 
 
-def neighbour_of(nodes: DataFrame, path: str, by: int) -> DataFrame:
+def neighbour_of(nodes: DataFrame, path: str, by: int, fields: list[str] | None = None) -> DataFrame:
     """The nodes ``by`` places to the right (left, if negative) of ``path``; none beyond the last."""
-    around = siblings_of(nodes, path)
-    here = around.where(F.col("path") == path).select(F.col("place").alias("__here")).distinct()
+    around = siblings_of(nodes, path, fields)
+    here = around.where(F.col("path") == path).select(F.col("place").alias("__here")).distinct()  # one row
     return around.join(F.broadcast(here), F.col("place") == F.col("__here") + by).drop("place", "__here")
 
 
-def nth_child(nodes: DataFrame, path: str, n: int) -> DataFrame:
-    """The nodes of the n-th position (from 1, by name) below ``path``."""
-    below = nodes.where(path_parent(F.col("path")) == path)
-    return below.withColumn("place", F.dense_rank().over(Window.partitionBy(path_parent(F.col("path"))).orderBy("path"))).where(F.col("place") == n).drop("place")
+def nth_child(nodes: DataFrame, path: str, n: int, fields: list[str] | None = None) -> DataFrame:
+    """The nodes of the n-th position (from 1) below ``path``."""
+    return _placed(nodes.where(path_parent(F.col("path")) == path), fields).where(F.col("place") == n).drop("place")

@@ -6,8 +6,8 @@ import warnings
 from dataclasses import dataclass, fields
 
 #: Default where an option is absent, value where it is given bare or is invalid.
-DEFAULTS = {"output_path": None, "hll_b": 8, "limit": 1000, "samples": 16, "hash": "xxhash", "categorical": (), "dict_cap": None, "progress": False, "variant_depth": 3, "name": "row"}
-BARE = {"output_path": "spec.parquet", "hll_b": 8, "limit": 1000, "samples": 16, "hash": "xxhash", "categorical": (), "dict_cap": None, "progress": 1, "variant_depth": 3, "name": "row"}
+DEFAULTS = {"output_path": None, "hll_b": 8, "limit": 1000, "samples": 16, "hash": "xxhash", "categorical": (), "dict_cap": None, "progress": False, "variant_depth": None, "name": "row"}
+BARE = {"output_path": "spec.parquet", "hll_b": 8, "limit": 1000, "samples": 16, "hash": "xxhash", "categorical": (), "dict_cap": None, "progress": 1, "variant_depth": None, "name": "row"}
 
 
 @dataclass(frozen=True)
@@ -15,6 +15,7 @@ class Options:
     """``limit``: records read (None: all). ``hll_b``: 4..16 or None (no sketch).
     ``samples``: distinct samples a node keeps, "all", or None (none). ``hash``: xxhash or md5.
     ``categorical``: paths of string columns whose values are kept exhaustively.
+    ``variant_depth``: levels of variants that are looked into (None: all); what is cut is flagged as truncated.
     ``dict_cap``: largest dictionary kept per node, flagged as truncated beyond (None: unbounded).
     """
 
@@ -26,7 +27,7 @@ class Options:
     categorical: tuple[str, ...] = ()
     dict_cap: int | None = None
     progress: int | bool = False
-    variant_depth: int = 3
+    variant_depth: int | None = None
     name: str = "row"
 
     @property
@@ -47,7 +48,7 @@ def _valid(name: str, value) -> bool:
     if name == "dict_cap":
         return value is None or (isinstance(value, int) and value > 0)
     if name == "variant_depth":
-        return isinstance(value, int) and 0 <= value <= 6
+        return value is None or (isinstance(value, int) and value >= 0)
     if name == "categorical":
         return isinstance(value, (tuple, list, set, frozenset))
     if name == "progress":

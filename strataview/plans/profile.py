@@ -10,11 +10,12 @@ import datetime
 from dataclasses import asdict
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataview.functions.hashing import hash32
+from strataview.functions.hierarchy import path_above
 from strataview.operators.accumulate import merged_tables, node_states
 from strataview.operators.flatten import facts as make_facts
 from strataview.operators.flatten import field_paths
@@ -63,28 +64,48 @@ def fixed_rows(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def profile(df: DataFrame, probe=0, where=None, **given) -> RawSpec:
-    """Profile ``df``: ``probe`` is a selector or (selector, {"ts": ..., "key": ...})."""
-    options = make_options(**given)
+def states_of(df: DataFrame, probe, options: Options, where=None) -> DataFrame:
+    """Node states of the records of ``df``, which is read once."""
+    return node_states(probe_facts(df, probe, options, where), options.hll_b, options.sample_size, bool(options.samples))
+
+
+def meta_of(df: DataFrame, probe, options: Options) -> dict:
+    """Metadata of a run that begins now."""
     started = datetime.datetime.now(datetime.timezone.utc).isoformat()
-    if options.limit is not None:
-        df = fixed_rows(df.limit(options.limit))
-    flat = probe_facts(df, probe, options, where)
+    return {**asdict(options), "probe": repr(probe), "fields": field_paths(select(df, normalize_probe(probe)[0]).dtype), "started": started, "processed": None, "truncated": []}
+
 
-    states = node_states(flat, options.hll_b, options.sample_size, bool(options.samples)).persist(StorageLevel.MEMORY_AND_DISK)
+def spec_of(states: DataFrame, options: Options, meta: dict) -> RawSpec:
+    """The spec that node states add up to."""
     tables = merged_tables(states, options.hll_b, options.sample_size, bool(options.samples))
-    dictionary = tables["dictionary"]
     if options.dict_cap is not None:
-        from pyspark.sql import Window
-
         order = Window.partitionBy(*NODE).orderBy(F.desc("n"), "vtext")
-        dictionary = dictionary.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= options.dict_cap).drop("__r")
-    meta = {**asdict(options), "probe": repr(probe), "fields": field_paths(select(df, normalize_probe(probe)[0]).dtype), "started": started, "processed": None, "truncated": []}
-    spec = RawSpec(**{**tables, "dictionary": dictionary}, meta=meta)
+        tables["dictionary"] = tables["dictionary"].withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= options.dict_cap).drop("__r")
+    return RawSpec(**tables, meta=meta)
+
+
+def cut_paths(spec: RawSpec, options: Options) -> list[str]:
+    """Paths at which something was left out: capped dictionaries, and variants below the depth that was asked for."""
+    cut = set()
+    if options.dict_cap is not None:
+        cut |= {r["path"] for r in spec.dictionary.groupBy("path", "class").count().where(F.col("count") >= options.dict_cap).collect()}
+    if options.variant_depth is not None:
+        # below a list of class "list", and below a map without any child, nothing was looked at
+        nodes = spec.nodes.select("path", "class").collect()
+        above = {path_above(r["path"]) for r in nodes}
+        cut |= {r["path"] for r in nodes if r["class"] == "list" or (r["class"] == "map" and r["path"] not in above)}
+    return sorted(cut)
+
+
+def profile(df: DataFrame, probe=0, where=None, **given) -> RawSpec:
+    """Profile ``df``: ``probe`` is a selector or (selector, {"ts": ..., "key": ...})."""
+    options = make_options(**given)
+    meta = meta_of(df, probe, options)
+    if options.limit is not None:
+        df = fixed_rows(df.limit(options.limit))
+    spec = spec_of(states_of(df, probe, options, where).persist(StorageLevel.MEMORY_AND_DISK), options, meta)
     if options.output_path:
-        processed = df.count()
-        capped = [r["path"] for r in dictionary.groupBy("path").count().where(F.col("count") >= options.dict_cap).collect()] if options.dict_cap else []
-        spec = spec.with_meta(processed=processed, ended=datetime.datetime.now(datetime.timezone.utc).isoformat(), truncated=capped)
+        spec = spec.with_meta(processed=df.count(), ended=datetime.datetime.now(datetime.timezone.utc).isoformat(), truncated=cut_paths(spec, options))
         spec.save(options.output_path, "overwrite")
     return spec
 

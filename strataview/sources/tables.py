@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def open_source(spark: SparkSession, kind: str, name: str, tolerant: bool = Fals
     return reader.format(kind).load(name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's ``spark.checkpoint.dir``; a private one on a local master alone."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return "file://" + tempfile.mkdtemp(prefix="strataview-")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A plain scan with at least as many partitions as tasks can run; only inputs of very few splits are dealt anew."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
