@@ -1,10 +1,9 @@
 """N-gram language model as a weighted backoff automaton, built block by block.
 
-States are n-gram contexts: the root (no context), words, and longer contexts of up to
+States are the n-gram contexts of the training texts: the root (no context), words, and longer contexts of up to
 ``order - 1`` words.  A state's arcs are the n-grams of the training texts; where a word has no arc, the
 failure arc leads to the state of the shortened context and costs its weight.  One left-to-right
-traversal of a text carries the state (the arc that the previous token took) and adds up log10
-probabilities; the texts of a block are traversed at once.
+traversal of a text carries the state and adds up log10 probabilities; the texts of a block take each step together.
 
 Every n-gram of the corpus counts, however rare, so the counts grow with the input and are neither
 cut nor broadcast.  A block is a run of rows of one file with some BLOCK_BYTES of text:
@@ -13,8 +12,8 @@ cut nor broadcast.  A block is a run of rows of one file with some BLOCK_BYTES o
    as sorted 64-bit keys in chunks by key range;
 2. each key range adds up what all blocks sent, and answers every block with the totals of the keys it
    asked for, in their order;
-3. each block meets its answers, makes the automaton of its own n-grams with the corpus-wide
-   counts (arcs that no text of the block can take are not sent), and traverses it.
+3. each block meets its answers, makes the automaton of those of its n-grams that occur in training, with the
+   corpus-wide counts (states and arcs that no text of the block can reach are not sent), and traverses it.
 
 A common n-gram is sent once a block, so no key crowds a range with more than its number of blocks.
 
@@ -54,6 +53,8 @@ RANGE_KEYS = 4_000_000
 #: Bytes of a batch of chunks, n-grams that one vectorised step handles, and parts in which the n-grams of a block are sorted.
 SENT_BYTES = 1 << 20
 PIECE = 1 << 17
+#: Tokens of a long text that are traversed in one go.
+SEGMENT = 1024
 BANDS = 8
 #: Identity of the end token: no word's hash is kept equal to it (one in 2**64).
 END = np.uint64(2**64 - 1)
@@ -220,40 +221,67 @@ def _totals(ranges: int):
 
 
 class Automaton:
-    """Arcs of the n-grams of some texts, by order, with the counts given for their sorted keys.
+    """States and arcs of the trained n-grams that some texts hold.
 
-    Beside the arcs and probabilities of all orders it holds the work of one order at a time, of which a band of keys is sorted at once.
+    State 0 is the root; other states are the trained contexts, numbered by order and within it by key.  An arc is a trained n-gram: it leads from the
+    state of its context with its last word to the state of the longest trained context that then ends there, and has a log10
+    probability.  The root has an arc for every word, also for those never seen, which leads back to it.  Every
+    other state has a failure arc to the state of its context without the first word, with the log10 of its weight.
+
+    ``counts(level)`` gives the corpus-wide counts of the texts' n-grams of one order, for their sorted keys.
     """
 
     def __init__(self, tokens: np.ndarray, owner: np.ndarray, order: int, counts, total: int, distinct: int, strengths: tuple[float, ...] = STRENGTHS):
-        self.total, self.distinct = total, distinct
-        #: by order: the arc that each token takes from the longest context of that size (-1: the text has none)
-        self.arcs: list[np.ndarray] = []
-        #: by order: probabilities of the arcs, the weight of the failure arc being part of those never seen
-        self.probabilities: list[np.ndarray] = []
-        before = np.zeros(0, np.int64)
+        self.total, self.distinct, self.order, self.owner = total, distinct, order, owner
+        arcs: dict[str, list[np.ndarray]] = {"keys": [np.zeros(0, np.int64)], "logs": [np.zeros(0)], "targets": [np.zeros(0, np.int32)]}
+        fails, weights = [np.zeros(1, np.int32)], [np.zeros(1)]
+        states = 1  # states numbered so far
+        end = probability = before = state = None
         for level in range(order):
-            arc, last = self.sort(*grams(tokens, owner, level + 1), len(tokens))
+            below, (end, last) = end, self.sort(*grams(tokens, owner, level + 1), len(tokens))
             count = counts(level)
             if len(count) != len(last):
                 raise ValueError(f"{len(count)} counts for {len(last)} n-grams of order {level + 1}")
+            trained = count > 0
+            numbers = np.where(trained, states - 1 + np.cumsum(trained, dtype=np.int32), 0).astype(np.int32) if level < order - 1 else np.zeros(len(last) if level == 0 else 0, np.int32)
             if level == 0:
                 probability = self.root(count)
-                #: counts of the words, by their arc
-                self.words = count
+                #: of each token its word, of each word its count, log10 probability at the root and state
+                self.word, self.words, self.root_logs, self.first_states = end, count, np.log10(probability), numbers
+                shorter = np.zeros(len(last), np.int32)
             else:
-                m = strengths[level - 1]
-                probability = self.probabilities[-1][self.arcs[-1][last]]
+                # arrays of a block's n-grams are large: each goes as soon as it can
+                m, context, suffix = strengths[level - 1], below[last - 1], below[last]
+                del below
+                probability, shorter = probability[suffix], state[suffix]
                 probability *= m
                 probability += count
-                probability /= before[self.arcs[-1][last - 1]] + m
-            self.arcs.append(arc)
-            self.probabilities.append(probability)
-            before = count
+                probability /= before[context] + m
+                found = slice(None) if trained.all() else np.flatnonzero(trained)
+                key = state[context[found]].astype(np.int64)
+                del context, suffix, before
+                key *= len(self.words)
+                key += self.word[last[found]]
+                by_key = np.argsort(key).astype(np.int32)
+                arcs["keys"].append(key[by_key])
+                del key
+                arcs["targets"].append((numbers if level < order - 1 else shorter)[found][by_key])
+                arcs["logs"].append(np.log10(probability[found][by_key]))
+                del by_key, found
+            if level < order - 1:
+                states += int(trained.sum())
+                fails.append(shorter[trained])
+                weights.append(np.log10(strengths[level] / (count[trained] + strengths[level])))
+            before, state = count, numbers
+            del count, last, trained, shorter
+        del end, probability, before
+        #: arcs by (state, word), the states of one order following those of the order before
+        self.keys, self.logs, self.targets = (np.concatenate(arcs.pop(name)) for name in ("keys", "logs", "targets"))
+        self.fails, self.weights = np.concatenate(fails), np.concatenate(weights)
 
     @staticmethod
     def sort(keys: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The arc of each of ``n`` tokens, numbered in order of the keys, and a place where each arc is taken."""
+        """The number of the n-gram that ends at each of ``n`` tokens, in order of the keys, and a place where each ends."""
         arc, places, found = np.full(n, -1, np.int32), [], 0
         top = keys.astype("<u8", copy=False).view(np.uint8)[7::8]
         for band in range(BANDS):
@@ -263,21 +291,62 @@ class Automaton:
             arc[where] = np.repeat(np.arange(found, found + len(begin), dtype=np.int32), np.diff(begin, append=len(where)))
             places.append(where[begin])
             found += len(begin)
-        return arc, np.concatenate(places)
+        return arc, np.concatenate(places).astype(np.int32)
 
     def root(self, count: np.ndarray) -> np.ndarray:
         """Probability of words with ``count`` training occurrences; 0: of the unknown word."""
         unknown = (DISCOUNT * self.distinct + 1) / (self.total + 1)
         return np.where(count > 0, np.maximum(count - DISCOUNT, 1e-9) / (self.total + 1), unknown)
 
-    def traverse(self) -> np.ndarray:
-        """log10 probability of every token from the longest state that its text allows."""
-        out = np.log10(self.probabilities[0])[self.arcs[0]]
-        for arcs, probabilities in zip(self.arcs[1:], self.probabilities[1:], strict=True):
-            logs = np.log10(probabilities)
-            for a in range(0, len(arcs), PIECE):
-                taken = np.flatnonzero(arcs[a : a + PIECE] >= 0) + a
-                out[taken] = logs[arcs[taken]]
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log10 probabilities: failure arcs are followed until a state has an arc for the word."""
+        state, out = state.copy(), np.zeros(len(state))
+        going = np.flatnonzero(state) if len(self.keys) else np.zeros(0, np.int64)
+        if not len(self.keys):
+            out += self.weights[state]  # an automaton of words alone: no state but fails
+            state[:] = 0
+        at_root = state == 0
+        while len(going):
+            key = state[going].astype(np.int64) * len(self.words) + word[going]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[arc] == key
+            taken, arc, failed = going[hit], arc[hit], going[~hit]
+            out[taken] += self.logs[arc]
+            state[taken] = self.targets[arc]
+            out[failed] += self.weights[state[failed]]
+            state[failed] = self.fails[state[failed]]
+            done = state[failed] == 0
+            at_root[failed[done]] = True
+            going = failed[~done]
+        out[at_root] += self.root_logs[word[at_root]]
+        state[at_root] = self.first_states[word[at_root]]
+        return state, out
+
+    def traverse(self, visit=None) -> np.ndarray:
+        """log10 probability of every token, from left to right with the state carried along.
+
+        All texts take a step at a time together.  A long text goes in segments of ``SEGMENT`` tokens: a state depends on at most
+        ``order - 1`` tokens, so a segment first takes those before it from the root.  ``visit(places, states)`` sees the states after each step.
+        """
+        n = len(self.word)
+        starts = np.flatnonzero(np.append(True, self.owner[1:] != self.owner[:-1])) if n else np.zeros(0, np.int64)
+        sizes = np.diff(starts, append=n)
+        parts = -(-sizes // SEGMENT)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        text_start, text_end = np.repeat(starts, parts), np.repeat(starts + sizes, parts)
+        first = text_start + nth * SEGMENT
+        begin, end = np.maximum(first - (self.order - 1), text_start), np.minimum(first + SEGMENT, text_end)
+        longest = np.argsort(begin - end, kind="stable")
+        first, begin, shorter = first[longest], begin[longest], (begin - end)[longest]
+        state, out = np.zeros(len(first), np.int32), np.zeros(n)
+        for t in range(-int(shorter[0]) if len(shorter) else 0):
+            on = int(np.searchsorted(shorter, -t))  # segments of more than t tokens come first
+            places = begin[:on] + t
+            state[:on], logs = self.step(state[:on], self.word[places])
+            own = places >= first[:on]
+            out[places[own]] = logs[own]
+            if visit is not None:
+                visit(places[own], state[:on][own])
         return out
 
 
@@ -303,7 +372,7 @@ def _score(order: int, ranges: int, total: int, distinct: int, strengths: tuple[
 
         automaton = Automaton(tokens, owner, order, counts, total, distinct, strengths)
         del tokens
-        word = automaton.arcs[0]
+        word = automaton.word
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),

@@ -98,3 +98,42 @@ def test_edge_cases(spark):
     assert lm.score_documents(cases.frame(spark, [])).count() == 0
     only_held = [(k, "a b", "", "", 0, "", "", "") for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
     assert {r.score for r in lm.score_documents(cases.frame(spark, only_held)).collect()} == {0.0}
+
+
+@pytest.mark.parametrize(("order", "segment"), [(3, 1024), (3, 4), (4, 5), (2, 3), (1, 7)])
+def test_visited_states_equal_the_naive_walk(monkeypatch, order, segment):
+    """Only trained n-grams are states and arcs, and each step ends in the longest trained context."""
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+    rng = random.Random(order * 10 + segment)
+    train = [[rng.choice("aaabbcde") for _ in range(rng.randrange(1, 30))] for _ in range(25)]
+    texts = [[rng.choice("aabbcdxyz") for _ in range(rng.randrange(1, 60))] for _ in range(30)]
+    strengths = (5.0, 2.0, 1.0)
+    naive = Naive(train, order, strengths)
+    ids = {w: np.uint64(k * 7919 + 13) for k, w in enumerate("abcdexyz")}
+    flat = [w for t in texts for w in t]
+    tokens_, owner = np.array([ids[w] for w in flat], np.uint64), np.repeat(np.arange(len(texts)), [len(t) for t in texts]).astype(np.int32)
+    starts = np.cumsum([0, *map(len, texts)])
+
+    def counts(level):
+        keys, at = lm.grams(tokens_, owner, level + 1)
+        by_key = {int(k): naive.c[tuple(flat[a - level : a + 1])] for k, a in zip(keys, at, strict=True)}
+        return np.array([by_key[k] for k in sorted(by_key)], np.int64)
+
+    automaton = lm.Automaton(tokens_, owner, order, counts, naive.n, naive.v, strengths)
+    held = {tuple(t[i : i + k]) for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1)}
+    trained = {g for g in held if naive.c[g]}
+    assert len(automaton.keys) == sum(len(g) > 1 for g in trained) and len(automaton.fails) == 1 + sum(len(g) < order for g in trained)
+    visited = {}
+    logs = automaton.traverse(lambda places, states: visited.update(zip(places.tolist(), states.tolist(), strict=True)))
+    contexts = {}
+    for k, text in enumerate(texts):
+        for i in range(len(text)):
+            suffix = next((tuple(text[i + 1 - n : i + 1]) for n in range(min(order - 1, i + 1), 0, -1) if naive.c[tuple(text[i + 1 - n : i + 1])]), ())
+            assert contexts.setdefault(suffix, visited[starts[k] + i]) == visited[starts[k] + i]
+            assert math.isclose(logs[starts[k] + i], math.log10(naive.p(tuple(text[max(0, i - order + 1) : i]), text[i])), rel_tol=1e-9)
+    assert len(set(contexts.values())) == len(contexts) and contexts.get((), 0) == 0
+
+
+def test_nothing_trained_gives_no_arcs():
+    automaton = lm.Automaton(np.arange(4, dtype=np.uint64), np.zeros(4, np.int32), 3, lambda level: np.zeros(4 - level, np.int64), 0, 0)
+    assert len(automaton.keys) == 0 and len(automaton.fails) == 1 and (automaton.traverse() == 0).all()
