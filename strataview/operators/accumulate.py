@@ -298,8 +298,8 @@ def accumulate(table: pa.Table, states: dict[tuple[str, str], State], b: int | N
             state.count_sizes(sizes[rows][sizes[rows] >= 0])
 
 
-def node_states(facts: DataFrame, b: int | None, k: int | None, sampled: bool = True) -> DataFrame:
-    """States of the nodes of ``facts``, one or more for each task and node."""
+def node_states(facts: DataFrame, b: int | None, k: int | None, sampled: bool = True, count=None) -> DataFrame:
+    """States of the nodes of ``facts``, one or more for each task and node; ``count``: an accumulator of records."""
     kinds = {f.name: f.dataType.simpleString() for f in facts.schema.fields}
     span = f"n:bigint,first_ts:{kinds['__ts']},first_key:{kinds['__key']},last_ts:{kinds['__ts']},last_key:{kinds['__key']}"
     ddl = (
@@ -318,6 +318,12 @@ def node_states(facts: DataFrame, b: int | None, k: int | None, sampled: bool =
             ("dictionary", listed(("vtext", pa.string()), *tail)), ("histogram", listed(("bucket", pa.int64()), ("n", pa.int64()))),
         ])
 
+    def add(batches: list[pa.RecordBatch], states: dict[tuple[str, str], State]) -> None:
+        table = pa.Table.from_batches(batches)
+        accumulate(table, states, b, k, sampled)
+        if count is not None:
+            count.add(pc.sum(pc.equal(table.column("path"), "$")).as_py())  # a record has one fact at the root
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple[str, str], State] = {}
         waiting: list[pa.RecordBatch] = []
@@ -333,12 +339,12 @@ def node_states(facts: DataFrame, b: int | None, k: int | None, sampled: bool =
             kind = kind or schema(batch.schema.field("__ts").type, batch.schema.field("__key").type)
             waiting.append(batch)
             if sum(x.num_rows for x in waiting) >= AT_ONCE:
-                accumulate(pa.Table.from_batches(waiting), states, b, k, sampled)
+                add(waiting, states)
                 waiting = []
                 if sum(s.entries() for s in states.values()) > HELD:
                     yield from flush()
         if waiting:
-            accumulate(pa.Table.from_batches(waiting), states, b, k, sampled)
+            add(waiting, states)
         yield from flush()
 
     return facts.select("path", "class", "vtext", "inum", "num", "len", "h", "__ts", "__key").mapInArrow(run, ddl)

@@ -21,6 +21,7 @@ from strataview.operators.flatten import facts as make_facts
 from strataview.operators.flatten import field_paths
 from strataview.operators.sketches import NODE, estimates
 from strataview.plans.options import Options, make_options
+from strataview.plans.progress import Progress, Report, status_line
 from strataview.plans.selectors import normalize_probe, select
 from strataview.plans.spec import RawSpec
 
@@ -64,9 +65,9 @@ def fixed_rows(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def states_of(df: DataFrame, probe, options: Options, where=None) -> DataFrame:
-    """Node states of the records of ``df``, which is read once."""
-    return node_states(probe_facts(df, probe, options, where), options.hll_b, options.sample_size, bool(options.samples))
+def states_of(df: DataFrame, probe, options: Options, where=None, count=None) -> DataFrame:
+    """Node states of the records of ``df``, which is read once; ``count``: an accumulator of records."""
+    return node_states(probe_facts(df, probe, options, where), options.hll_b, options.sample_size, bool(options.samples), count)
 
 
 def meta_of(df: DataFrame, probe, options: Options) -> dict:
@@ -97,13 +98,21 @@ def cut_paths(spec: RawSpec, options: Options) -> list[str]:
     return sorted(cut)
 
 
-def profile(df: DataFrame, probe=0, where=None, **given) -> RawSpec:
-    """Profile ``df``: ``probe`` is a selector or (selector, {"ts": ..., "key": ...})."""
+def profile(df: DataFrame, probe=0, where=None, report: Report = status_line, **given) -> RawSpec:
+    """Profile ``df``: ``probe`` is a selector or (selector, {"ts": ..., "key": ...}).
+
+    With the option ``progress`` the input is read at once, while ``report(records, seconds)`` is called at that interval.
+    """
     options = make_options(**given)
     meta = meta_of(df, probe, options)
     if options.limit is not None:
         df = fixed_rows(df.limit(options.limit))
-    spec = spec_of(states_of(df, probe, options, where).persist(StorageLevel.MEMORY_AND_DISK), options, meta)
+    count = df.sparkSession.sparkContext.accumulator(0) if options.progress else None
+    states = states_of(df, probe, options, where, count).persist(StorageLevel.MEMORY_AND_DISK)
+    if count is not None:
+        with Progress(count, float(options.progress), report):
+            states.write.format("noop").mode("overwrite").save()
+    spec = spec_of(states, options, meta)
     if options.output_path:
         spec = spec.with_meta(processed=df.count(), ended=datetime.datetime.now(datetime.timezone.utc).isoformat(), truncated=cut_paths(spec, options))
         spec.save(options.output_path, "overwrite")

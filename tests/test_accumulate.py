@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import time
 from decimal import Decimal
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from strataview.operators import accumulate as A
 from strataview.plans.background import Probe, hashable
 from strataview.plans.profile import profile
+from strataview.plans.terms import TermSpec, text_of
 
 
 def rows(df):
@@ -150,3 +152,36 @@ def test_background_parts_of_nested_maps(spark, tmp_path):
     assert [hashable(f.dataType) for f in df.schema.fields] == [True, False, False]
     spec = Probe(df, 0, output_path=f"{tmp_path}/bg", parts=2, limit=None, name="r").wait(120)
     assert rows(spec.nodes) == rows(profile(df, 0, limit=None, name="r").nodes)
+
+
+def test_progress_reports_rising_counts(spark):
+    def slow(batches):
+        for batch in batches:
+            time.sleep(0.4)
+            yield batch
+
+    seen = []
+    df = spark.range(0, 4000, 1, 12).selectExpr("id", "id % 3 as x").mapInPandas(slow, "id long, x long")
+    spec = profile(df, 0, limit=None, name="r", progress=1, report=lambda records, seconds: seen.append((records, seconds)))
+    assert seen[-1][0] == 4000 and len(seen) >= 2 and seen == sorted(seen) and seen[0][0] < 4000
+    assert spec.nodes.where("path = '$'").first()["n"] == 4000
+
+
+def test_terms_added_one_by_one(spark):
+    rng = random.Random(4)
+    terms = [rng.choice([None, True, k, k / 4, f"t{k % 9}", [k % 3, ["x", None]], {"a": k % 5, "b": {"c": [k % 2]}}, [], (1, 2)]) for k in range(200)]
+    added = TermSpec(spark, "ts date, key long", at_once=60, name="r", variant_depth=None)
+    for k, term in enumerate(terms[:150]):
+        added.add(term, datetime.date(2020, 1, 1 + k % 20), k)
+    assert added.spec().nodes.where("path = '$'").agg(F.sum("n")).first()[0] == 150
+    for k, term in enumerate(terms[150:], 150):
+        added.add(term, datetime.date(2020, 1, 1 + k % 20), k)
+    got = added.spec()
+    data = [(text_of(t), datetime.date(2020, 1, 1 + k % 20), k) for k, t in enumerate(terms)]
+    want = profile(spark.createDataFrame(data, "term string, ts date, key long").withColumn("term", F.parse_json("term")), ("term", {"ts": "ts", "key": "key"}), limit=None, name="r")
+    for table in ("nodes", "registers", "samples", "dictionary", "histogram", "extremes"):
+        columns = getattr(want, table).columns
+        assert rows(getattr(got, table).select(*columns)) == rows(getattr(want, table)), table
+    counts = {(r["path"], r["class"]): r["n"] for r in got.nodes.collect()}
+    assert counts["$", "float"] == sum(isinstance(t, float) for t in terms)
+    assert got.meta["processed"] == 200 and TermSpec(spark).spec().nodes.count() == 0
