@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from strataview.plans.profile import profile
 from strataview.queries import QUERIES
+from strataview.sources.tables import spread
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -30,7 +31,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
     times = {}
-    lineitem = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    lineitem = spread(spark.read.parquet(f"{SF_DIR}/lineitem.parquet"))
     rows = lineitem.count()
 
     def whole_record():
