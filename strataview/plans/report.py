@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strataview.functions.text import sigfig, wrap
 from strataview.operators.binning import bin_count, bin_histogram
 from strataview.plans.plots import timeline
+from strataview.plans.drawing import histogram_svg, timeline_svg
 from strataview.plans.profile import cardinalities
 from strataview.plans.render import build, collect_nodes, declaration
 from strataview.plans.spec import View
@@ -57,14 +58,21 @@ def columns_for(present: list[str]) -> list[str]:
     return ["vtext", "n", *spans]
 
 
-def samples_table(view: View, path: str, name: str, config: ReportConfig) -> tuple[list[str], list[tuple]]:
-    """Samples of a node; atoms use their exhaustive dictionary."""
+def first_rows(df: DataFrame, most: int) -> tuple[list, str]:
+    """The first ``most`` rows, and a remark for the title if there are more."""
+    rows = df.limit(most + 1).collect()
+    return rows[:most], f" (first {sigfig(most)} of {sigfig(df.count())})" if len(rows) > most else ""
+
+
+def samples_table(view: View, path: str, name: str, config: ReportConfig, most: int = 10_000) -> tuple[list[str], list[tuple], str]:
+    """Columns and rows of a node's samples, and a remark if they are cut; atoms use their exhaustive dictionary."""
     source = view.dictionary if name == "atom" else view.samples
     rows = source.where((F.col("path") == path) & (F.col("class") == name)) if source is not None else None
     if rows is None:
-        return ["vtext", "n"], []
+        return ["vtext", "n"], [], ""
     columns = columns_for(attributes_present(rows))
-    return columns, [tuple(r[c] for c in columns) for r in sort_table(rows, columns, config.sort_of("samples")).limit(10_000).collect()]
+    shown, remark = first_rows(sort_table(rows, columns, config.sort_of("samples")), most)
+    return columns, [tuple(r[c] for c in columns) for r in shown], remark
 
 
 def _table(title: str, columns: list[str], rows: list[tuple]) -> str:
@@ -86,13 +94,17 @@ def report_page(view: View, path: str, name: str, config: ReportConfig | None =
     present = attributes_present(ends)
     columns = columns_for(present)
     parts.append(_table("Extremes", ["which", *columns], [tuple(r[c] for c in ("which", *columns)) for r in ends.orderBy(F.desc("which")).collect()]))
-    columns, values = samples_table(view, path, name, config)
-    parts.append(_table("Samples", columns, values))
+    columns, values, remark = samples_table(view, path, name, config)
+    parts.append(_table("Samples" + remark, columns, values))
     if "ts" in present and view.samples is not None:
-        lines = timeline(view.samples.where(here), ends).orderBy("vtext").limit(1000).collect()
-        parts.append(_table("Timeline of sampled values", ["Value", "Count", "First", "Last"], [(r["vtext"], r["n"], r["first_ts"], r["last_ts"]) for r in lines]))
+        lines, remark = first_rows(timeline(view.samples.where(here), ends).orderBy("vtext"), 1000)
+        lines = [(r["vtext"], r["n"], r["first_ts"], r["last_ts"]) for r in lines]
+        parts.append(_table("Timeline of sampled values" + remark, ["Value", "Count", "First", "Last"], lines))
+        parts.append(timeline_svg(lines, config.width))
     hist = view.histogram.where(here).select("bucket", "n")
     if hist.limit(1).count():
         shown = bin_histogram(hist, bin_count(config.width)) if config.auto_bins else hist.select(F.col("bucket").alias("mid"), "n")
-        parts.append(_table("Histogram", ["Size", "Count"], [tuple(r) for r in shown.orderBy("mid").limit(10_000).collect()]))
+        bars, remark = first_rows(shown.orderBy("mid"), 10_000)
+        parts.append(_table("Histogram" + remark, ["Size", "Count"], [tuple(r) for r in bars]))
+        parts.append(histogram_svg([tuple(r) for r in bars], config.width, log=config.log_scale))
     return "<html><head><meta http-equiv=\"Content-Type\" content=\"text/html; charset=UTF-8\"></head><body>" + "<br>".join(parts) + "</font></body></html>"
