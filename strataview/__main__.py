@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     attrs = {k: v for k, v in (("ts", args.ts), ("key", args.key)) if v}
     spec = profile(open_source(spark, args.kind, args.name), (args.field, attrs) if attrs else args.field, limit=args.limit or None, output_path=args.out)
     view = spec.postproc()
-    print(declaration(build(collect_nodes(view.nodes), fields=view.meta["fields"])))
+    print(declaration(build(collect_nodes(view.nodes), fields=view.meta["fields"], records=view.meta["records"])))
     cardinalities(view).orderBy("path", "class").show(1000, truncate=False)
     return 0
 

@@ -148,6 +148,18 @@ def field_paths(dtype: T.DataType, path: str = "$") -> list[str]:
     return []
 
 
+def record_fields(dtype: T.DataType, name: str = "row", path: str = "$") -> list[tuple[str, str, list[str]]]:
+    """(path, class, names of the fields in their order) of every record that a schema names."""
+    if isinstance(dtype, T.StructType):
+        if tuple(dtype.names) == IMPROPER:
+            return [*record_fields(dtype[0].dataType, name, path), *record_fields(dtype[1].dataType, name, f"{path}[|]")]
+        own = (path, f"#{name}/{len(dtype.fields) + 1}", [step_name(f.name) for f in dtype.fields])
+        return [own, *(r for f in dtype.fields for r in record_fields(f.dataType, f.name, f"{path}.{step_name(f.name)}"))]
+    if isinstance(dtype, T.ArrayType):
+        return record_fields(dtype.elementType, name, f"{path}[]")
+    return []
+
+
 def leaf_types(dtype: T.DataType) -> set[str]:
     """Names of the scalar types inside a type."""
     if isinstance(dtype, T.StructType):

@@ -1,8 +1,9 @@
 """Asynchronous profiling with interim specs, progress and a soft stop.
 
-With ``parts`` above 1 the records are dealt by hash into so many parts, which are profiled one after
-another (one scan of the source each) and merged; after every part the spec so far is saved.  A stop cancels the part
-at hand and keeps that spec, which is valid for the records that it counts.
+With ``parts`` above 1 the records are dealt into so many parts, which are profiled one after another and merged; after every
+part the spec so far is saved.  Records of enough files are dealt by file, so that all parts together read the source once; others
+are dealt by a hash of the row, with a scan of the source for each part.  A stop cancels the part at hand and keeps the last spec,
+which is valid for the records that it counts.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import threading
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,10 @@ from strataview.plans.profile import fixed_rows, profile
 from strataview.plans.spec import RawSpec
 
 
+#: Files of a part at least, for parts of even size, if records are to be dealt by file.
+FILES = 4
+
+
 def hashable(dtype: T.DataType) -> bool:
     """Whether values of a type have a hash: no map or variant at any depth."""
     if isinstance(dtype, T.StructType):
@@ -29,6 +35,25 @@ def hashable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
+def deal(df: DataFrame, parts: int, by_file: bool = True) -> list[DataFrame]:
+    """The records of ``df`` in so many parts that have no record in common.
+
+    By file where the rows come, not cached, from one scan of at least ``FILES`` files a part: Spark leaves out the other parts' files
+    before it reads.  Otherwise by a hash of the row; maps and variants, and what holds them, have none, so their text is taken.
+    """
+    deal_by = None
+    if by_file and not df.is_cached and len(df.inputFiles()) >= FILES * parts:
+        name = F.col("_metadata.file_path")
+        try:
+            df.where(name.isNotNull()).schema  # noqa: B018  resolves the plan
+            deal_by = F.xxhash64(name)
+        except AnalysisException:
+            pass  # rows of several sources, or of none
+    if deal_by is None:
+        deal_by = F.xxhash64(*(F.col(f"`{f.name}`") if hashable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields))
+    return [df.where(F.pmod(deal_by, F.lit(parts)) == k) for k in range(parts)]
+
+
 class Probe:
     """A profile that runs in a thread of its own and saves its spec to ``output_path``.
 
@@ -61,9 +86,9 @@ class Probe:
             return
         limit = make_options(**options).limit
         if limit is not None:
+            # these rows are fixed; their files may hold others
             df, options = fixed_rows(df.limit(limit)), {**options, "limit": None}
-        # maps and variants, and what holds them, have no hash; their text has
-        plain = [F.col(f"`{f.name}`") if hashable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields]
+        dealt = deal(df, parts, by_file=limit is None)
         spec: RawSpec | None = None
         processed = 0
         for k in range(parts):
@@ -71,7 +96,7 @@ class Probe:
                 return
             path = self.output_path if k == parts - 1 else f"{self.output_path}-interim-{k + 1}"
             part = f"{self.output_path}-part"
-            one = profile(df.where(F.pmod(F.xxhash64(*plain), F.lit(parts)) == k), probe, output_path=part, **options)
+            one = profile(dealt[k], probe, output_path=part, **options)
             processed += one.meta["processed"]
             one = RawSpec.load(self._spark, part)
             spec = (one if spec is None else spec.merge(one)).with_meta(processed=processed)

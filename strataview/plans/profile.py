@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -18,12 +19,12 @@ from strataview.functions.hashing import hash32
 from strataview.functions.hierarchy import path_above
 from strataview.operators.accumulate import merged_tables, node_states
 from strataview.operators.flatten import facts as make_facts
-from strataview.operators.flatten import field_paths
+from strataview.operators.flatten import field_paths, record_fields
 from strataview.operators.sketches import NODE, estimates
 from strataview.plans.options import Options, make_options
 from strataview.plans.progress import Progress, Report, status_line
 from strataview.plans.selectors import normalize_probe, select
-from strataview.plans.spec import RawSpec
+from strataview.plans.spec import RawSpec, united_meta
 
 
 def probe_facts(df: DataFrame, probe=0, options: Options | None = None, where=None) -> DataFrame:
@@ -73,7 +74,9 @@ def states_of(df: DataFrame, probe, options: Options, where=None, count=None) ->
 def meta_of(df: DataFrame, probe, options: Options) -> dict:
     """Metadata of a run that begins now."""
     started = datetime.datetime.now(datetime.timezone.utc).isoformat()
-    return {**asdict(options), "probe": repr(probe), "fields": field_paths(select(df, normalize_probe(probe)[0]).dtype), "started": started, "processed": None, "truncated": []}
+    dtype = select(df, normalize_probe(probe)[0]).dtype
+    records = [list(r) for r in record_fields(dtype, options.name)]
+    return {**asdict(options), "probe": repr(probe), "fields": field_paths(dtype), "records": records, "started": started, "processed": None, "truncated": []}
 
 
 def spec_of(states: DataFrame, options: Options, meta: dict) -> RawSpec:
@@ -119,6 +122,31 @@ def profile(df: DataFrame, probe=0, where=None, report: Report = status_line, **
     return spec
 
 
+def profile_variants(variants: list[DataFrame], probe=0, where=None, **given) -> RawSpec:
+    """Profile records of several schemas as one table (see ``sources.variants``): each is read once, by its own fields.
+
+    Records of different sizes are nodes of their own; the metadata's ``records`` keep every list of field names, also those of one name and size.
+    A record whose schema lacks the selected field is not explored.  ``limit`` counts the records of all schemas, the first ones first.
+    """
+    if not variants:
+        raise ValueError("no records of any schema")
+    options = make_options(**given)
+    meta = united_meta([meta_of(df, probe, options) for df in variants])
+    left, kept = options.limit, []
+    for df in variants:
+        if left is not None:
+            df = fixed_rows(df.limit(left))
+            left -= df.count()
+        kept.append(df)
+    states = reduce(DataFrame.unionByName, (states_of(df, probe, options, where) for df in kept)).persist(StorageLevel.MEMORY_AND_DISK)
+    spec = spec_of(states, options, meta)
+    if options.output_path:
+        ended = datetime.datetime.now(datetime.timezone.utc).isoformat()
+        spec = spec.with_meta(processed=sum(df.count() for df in kept), ended=ended, truncated=cut_paths(spec, options))
+        spec.save(options.output_path, "overwrite")
+    return spec
+
+
 def cardinalities(spec, b: int | None = None) -> DataFrame:
     """(path, class, n, cardinality, error) of every node."""
     b = b or spec.meta["hll_b"]

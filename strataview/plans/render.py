@@ -21,6 +21,8 @@ class Type:
     n: int = 0
     subtypes: list[Type] = field(default_factory=list)
     parameters: list[tuple[str, Type]] = field(default_factory=list)
+    #: Lists of field names that records of this name and size have, where there are several.
+    variants: list[list[str]] = field(default_factory=list)
 
 
 def collect_nodes(nodes: DataFrame) -> list[tuple[str, str, int]]:
@@ -30,9 +32,15 @@ def collect_nodes(nodes: DataFrame) -> list[tuple[str, str, int]]:
     return sorted((r["path"], r["class"], r["n"]) for r in rows)
 
 
-def build(rows: list[tuple[str, str, int]], path: str = "$", fields: list[str] = ()) -> Type:
-    """The type tree at ``path``; ``fields``: paths of record fields in their order."""
+def build(rows: list[tuple[str, str, int]], path: str = "$", fields: list[str] = (), records: list[tuple[str, str, list[str]]] = ()) -> Type:
+    """The type tree at ``path``; ``fields``: paths of record fields in their order; ``records``: (path, class, names) of known records.
+
+    A record of a known class holds its own fields only; where a position has records of several classes, each has those of its schemas.
+    """
     order = {p: k for k, p in enumerate(fields)}
+    known: dict[tuple[str, str], list[list[str]]] = {}
+    for p, name, names in records:
+        known.setdefault((p, name), []).append(list(names))
     positions: dict[str, list[tuple[str, int]]] = {}
     for p, name, n in rows:
         positions.setdefault(p, []).append((name, n))
@@ -47,10 +55,14 @@ def build(rows: list[tuple[str, str, int]], path: str = "$", fields: list[str] =
         for name, node in made.items():
             above = next((made[a] for a in ancestors(name) if a in made), None)
             (above.subtypes if above else tops).append(node)
+            lists = known.get((p, name), [])
+            node.variants = lists if len(lists) > 1 else []
+            own = {f"{p}.{x}" for names in lists for x in names}
             if kind(name) == "generic":
                 for q in sorted(inside.get(p, []), key=lambda q: (order.get(q, len(order)), q)):
                     if q[len(p) :] in {"nonempty_list": ("[]",), "improper_list": ("[]", "[|]")}.get(name, (q[len(p) :],) if q[len(p)] == "." else ()):
-                        node.parameters.append((q[len(p) :].lstrip("."), position(q)))
+                        if not own or q in own:
+                            node.parameters.append((q[len(p) :].lstrip("."), position(q)))
         for node in made.values():
             node.subtypes.sort(key=lambda t: (-t.n, t.name))
         tops.sort(key=lambda t: (-t.n, t.name))
@@ -65,6 +77,14 @@ def build(rows: list[tuple[str, str, int]], path: str = "$", fields: list[str] =
 LITERALS = {"0": "0", "<<>>": "<<>>", "{}": "{}", "[]": "[]", "map": "map()", "term": "term()"}
 
 
+def form_record(t: Type, given: list[tuple[str, Type]]) -> str:
+    """A record with its fields and their types."""
+    fields_ = [f"{k or f'field{i + 2}'} :: {' | '.join(form(p))}" for i, (k, p) in enumerate(given)]
+    if not fields_:
+        fields_ = [f"field{i} :: term()" for i in range(2, int(t.name.rpartition("/")[2]) + 1)]
+    return t.name.rpartition("/")[0] + "{" + ", ".join(fields_) + "}"
+
+
 def form(t: Type) -> list[str]:
     """Alternatives of a type, nested unions flattened."""
     if kind(t.name) == "union":
@@ -78,13 +98,11 @@ def form(t: Type) -> list[str]:
     if t.name.startswith("tuple/"):
         return ["{" + ", ".join(" | ".join(form(p)) for _, p in t.parameters) + "}"]
     if t.name.startswith("#"):
-        size = int(t.name.rpartition("/")[2])
         given = t.parameters or []
-        names = [k or f"field{i + 2}" for i, (k, _) in enumerate(given)]
-        fields_ = [f"{k} :: {' | '.join(form(p))}" for k, (_, p) in zip(names, given, strict=True)]
-        if not fields_:
-            fields_ = [f"field{i} :: term()" for i in range(2, size + 1)]
-        return [t.name.rpartition("/")[0] + "{" + ", ".join(fields_) + "}"]
+        if t.variants:
+            types = dict(given)
+            return [form_record(t, [(x, types[x]) for x in names if x in types]) for names in t.variants]
+        return [form_record(t, given)]
     if t.name.startswith("fun/"):
         return ["fun()"]
     return [f"{t.name}()"]

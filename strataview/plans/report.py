@@ -87,7 +87,7 @@ def report_page(view: View, path: str, name: str, config: ReportConfig | None =
     here = (F.col("path") == path) & (F.col("class") == name)
     card = cardinalities(view).where(here).first()
     rows = collect_nodes(view.nodes.where(F.col("path").startswith(path)))
-    parts = [f'<font size="{config.zoom}"><b>{html.escape(name)}</b><br><code>{html.escape(declaration(build(rows, path, view.meta.get('fields') or ())))}</code>']
+    parts = [f'<font size="{config.zoom}"><b>{html.escape(name)}</b><br><code>{html.escape(declaration(build(rows, path, view.meta.get('fields') or (), view.meta.get('records') or ())))}</code>']
     if card:
         parts.append(_table("Properties", ["Property", "Value"], [("Count", sigfig(card["n"])), ("Cardinality", f"{sigfig(card['cardinality'])} ± {sigfig(card['error'])}")]))
     ends = view.extremes.where(here)

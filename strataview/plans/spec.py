@@ -20,6 +20,15 @@ from strataview.operators.sketches import merge_registers
 TABLES = ("nodes", "registers", "samples", "extremes", "dictionary", "histogram")
 
 
+def united_meta(metas: list[dict]) -> dict:
+    """Metadata of the first with the fields and record variants of all, each once, in order of appearance."""
+
+    def every(name: str) -> list:
+        return list({json.dumps(x): x for meta in metas for x in meta.get(name) or ()}.values())
+
+    return {**metas[0], "fields": every("fields"), "records": every("records"), "truncated": every("truncated")}
+
+
 @dataclass(frozen=True)
 class Spec:
     """Tables: nodes (path, class, n); registers (idx, rank); samples and dictionary (vtext, n, span);
@@ -71,7 +80,7 @@ class RawSpec(Spec):
             return reduce(DataFrame.unionByName, (getattr(s, table) for s in every))
 
         k = None if self.meta["samples"] in ("all", None) else int(self.meta["samples"])
-        meta = {**self.meta, "processed": sum(s.meta.get("processed") or 0 for s in every), "started": min(str(s.meta.get("started")) for s in every), "ended": max(str(s.meta.get("ended")) for s in every)}
+        meta = {**united_meta([s.meta for s in every]), "processed": sum(s.meta.get("processed") or 0 for s in every), "started": min(str(s.meta.get("started")) for s in every), "ended": max(str(s.meta.get("ended")) for s in every)}
         return RawSpec(
             nodes=M.merge_nodes(union("nodes")),
             registers=merge_registers(union("registers")) if self.registers is not None else None,
