@@ -133,3 +133,30 @@ def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPL
     out = labelled.join(raked, list(MARGINS), "left")
     kept = uniform(F.col("draw"), seed) < F.col("probability")
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", kept.alias("kept"), *keep)
+
+
+def margin_report(mixed: DataFrame, given: dict | None = None, share: float = SAMPLE_SHARE) -> DataFrame:
+    """How well ``mixed`` (of ``mix_sources`` with the same targets) meets its marginals.
+
+    One row per value of each margin, also of values that are asked for and absent: margin, value, tokens that there are, goal and expected tokens,
+    residual (expected less goal, as a share of all tokens asked for).  A residual below zero where expected equals tokens is a value that has too few.
+    """
+    given, spark = given or {}, mixed.sparkSession
+    cells = stage(mixed.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected")), "mix-margins")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    budget, parts = share * total, []
+    for margin in MARGINS:
+        sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("expected").alias("expected"))
+        if margin in given:
+            whole = float(sum(given[margin].values()))
+            goals = spark.createDataFrame([(k, float(v) / whole * budget) for k, v in given[margin].items()], "value string, goal double")
+            sums = sums.join(goals, "value", "full")
+        else:
+            power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / max(total, 1.0), F.lit(TEMPERATURES[margin]))).otherwise(0.0)
+            norm = max(float(sums.agg(F.sum(power)).first()[0] or 0), 1e-300)
+            sums = sums.withColumn("goal", power / norm * budget)
+        zero = F.lit(0)
+        columns = [F.coalesce("tokens", zero).cast("long").alias("tokens"), F.coalesce("goal", zero).cast("double").alias("goal"), F.coalesce("expected", zero).cast("double").alias("expected")]
+        parts.append(sums.select(F.lit(margin).alias("margin"), "value", *columns))
+    report = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return report.withColumn("residual", (F.col("expected") - F.col("goal")) / max(budget, 1e-300))

@@ -6,7 +6,8 @@ failure arc leads to the state of the shortened context and costs its weight.  O
 traversal of a text carries the state and adds up log10 probabilities; the texts of a block take each step together.
 
 Every n-gram of the corpus counts, however rare, so the counts grow with the input and are neither
-cut nor broadcast.  A block is a run of rows of one file with some BLOCK_BYTES of text:
+cut nor broadcast.  A block is a run of rows of one file with some BLOCK_BYTES of text (by the mean size of rows; a run that
+holds more than twice as much, as where a table is ordered by length, is cut by its running bytes):
 
 1. each block lists its distinct n-grams by order, with their counts in its own training texts,
    as sorted 64-bit keys in chunks by key range;
@@ -27,7 +28,8 @@ Counts cover all training documents (those whose crc32(doc_id) mod 10 is not 0).
 Defined cases: a null text is an empty one and has the end token alone; rows that repeat
 are scored each (and each counts in training); with an empty training table every word is unknown
 and has the log10 probability of 1 / (V + 1) = 1, that is 0; an empty table gives an
-empty result; a very long text is a block of its own rows' size; other columns are ignored.
+empty result; a text longer than BLOCK_BYTES is a block of its own size, and no other block has more than twice BLOCK_BYTES and one row;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataview.llm.staging import crc_bucket, stage
+from strataview.llm.staging import BROADCAST_ROWS, crc_bucket, stage
 from strataview.llm.textkit import free_unused, mix, steps, text_buffers, thrifty, word_hashes
 
 ORDER = 3
@@ -401,15 +403,48 @@ def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return stage(docs.select(*columns), "texts").select("doc_id", "text", *place)
 
 
+#: Rows whose sizes are added up together before blocks are laid out.
+FINE = 256
+#: A run of rows is cut if it holds more than so many times the bytes of a block.
+SLACK = 2
+
+
+def _in_blocks(placed: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(doc_id, text, block) and the bytes of all texts.
+
+    A run of rows is as long as holds ``block_bytes`` at the mean size of rows.  Runs that hold too much are cut where their running bytes pass a
+    multiple of ``block_bytes``; the window over a run sees places and sizes alone, never texts.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sums = stage(placed.groupBy("file", F.floor(F.col("row") / FINE).alias("fine")).agg(F.count("*").alias("n"), F.sum(size).alias("size")), "sizes")
+    n, total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    fine = max(1, int(block_bytes * n // max(total, 1)) // FINE)
+    placed = placed.withColumn("run", F.floor(F.col("row") / (fine * FINE)))
+    runs = sums.groupBy("file", F.floor(F.col("fine") / fine).alias("run")).agg(F.sum("size").alias("size"))
+    full = stage(runs.where(F.col("size") > SLACK * block_bytes).select("file", "run"), "full-runs")
+    n_full = full.count()
+    if n_full == 0:
+        return placed.select("doc_id", "text", F.xxhash64("file", "run").alias("block")), int(total)
+    within = placed.select("file", "run", "row", size.alias("size")).join(F.broadcast(full) if n_full <= BROADCAST_ROWS else full, ["file", "run"], "left_semi")
+    before = Window.partitionBy("file", "run").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / block_bytes)
+    firsts = within.withColumn("nth", nth).groupBy("file", "run", "nth").agg(F.min("row").alias("first"))
+    cuts = stage(firsts.groupBy("file", "run").agg(F.sort_array(F.collect_list("first")).alias("firsts")), "cuts")  # at most a run's rows
+    if cuts.agg(F.sum(F.size("firsts"))).first()[0] <= BROADCAST_ROWS:
+        cuts = F.broadcast(cuts)
+    piece = F.coalesce(F.size(F.filter("firsts", lambda x: x <= F.col("row"))), F.lit(0))
+    rows = placed.join(cuts, ["file", "run"], "left")
+    return rows.select("doc_id", "text", F.xxhash64("file", "run", piece).alias("block")), int(total)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strengths: tuple[float, ...] = STRENGTHS, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score (a token)."""
     placed = _with_place(docs, id_col, text_col)
-    n, size = placed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    run_rows = max(1, int(block_bytes * n // max(size, 1)))
+    rows, size = _in_blocks(placed, block_bytes)
     # a word of two bytes and more has three n-grams
     ranges = int(size // range_keys) + 1
     held_out = crc_bucket(F.col("doc_id"), FOLDS) == 0
-    rows = placed.select("doc_id", "text", (~held_out).alias("train"), F.xxhash64("file", F.floor(F.col("row") / run_rows)).alias("block"))
+    rows = rows.select("doc_id", "text", (~held_out).alias("train"), "block")
     asked = rows.mapInArrow(thrifty(_requests(order, ranges)), "part long, block long, keys binary, own binary")
     answers = stage(asked.groupBy("part").applyInArrow(_totals(ranges), "block long, part long, totals binary, tokens long, words long"), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
