@@ -97,4 +97,78 @@ ORACLE_SQL = {
                      count(*) OVER (PARTITION BY sha) AS group_size
               FROM t)
     """,
+    # links by shared shingles, then everything that is reachable; texts are compared, not hashes
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE t AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+          FROM documents),
+        s AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS grams
+          FROM t),
+        g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+        e AS (
+          SELECT a.doc_id AS x, b.doc_id AS y
+          FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n
+          HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        r AS (
+          SELECT doc_id, doc_id AS other FROM documents
+          UNION
+          SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
+        SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, c.component_id
+        FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON s.doc_id = c.doc_id
+    """,
+    # 40 hexadecimal digits are 32 of base32: five of the one are four of the other
+    "op10_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id,
+                     list_transform(range(8), lambda k: ('0x' || substr(hex, 5 * k + 1, 5))::BIGINT) AS parts FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda k:
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((parts[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM q
+    """,
+    # crc32 by its table of 256 entries, made from the polynomial; near words as pairs
+    "op12_spelling": r"""
+        WITH RECURSIVE crc AS (
+          SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+                   lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS entries),
+        runs AS (
+          SELECT doc_id, run, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || run)) AS bytes
+          FROM (SELECT doc_id, unnest(regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+          WHERE length(run) >= 7
+          GROUP BY doc_id, run),
+        hashed AS (
+          SELECT run, n, xor(list_reduce(list_transform(range(length(bytes) // 2), lambda k: ('0x' || substr(bytes, 2 * k + 1, 2))::BIGINT),
+                   lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h
+          FROM runs, crc),
+        v AS (
+          SELECT word, sum(n)::BIGINT AS n
+          FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 7
+          GROUP BY word HAVING sum(n) >= 2),
+        cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM v),
+        wild AS (SELECT word, n, place, substr(word, 1, place - 1) AS head, substr(word, place + 1) AS tail FROM cut),
+        shorter AS (SELECT DISTINCT w.word AS long, w.n AS long_n, v.word AS short, v.n AS short_n FROM wild w JOIN v ON v.word = w.head || w.tail),
+        near AS (
+          SELECT a.word, a.n, b.word AS other, b.n AS other_n
+          FROM wild a JOIN wild b ON a.place = b.place AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+          UNION ALL SELECT long, long_n, short, short_n FROM shorter
+          UNION ALL SELECT short, short_n, long, long_n FROM shorter),
+        best AS (
+          SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        forms AS (
+          SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n
+          FROM v LEFT JOIN best ON v.word = best.word),
+        led AS (
+          SELECT word, word AS root, form AS ahead FROM forms
+          UNION ALL SELECT led.word, forms.word, forms.form FROM led JOIN forms ON led.ahead = forms.word)
+        SELECT f.word, f.n, f.n_near, f.form, f.form_n, led.root
+        FROM forms f JOIN led ON f.word = led.word AND led.ahead IS NULL
+    """,
 }
