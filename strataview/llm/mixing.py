@@ -6,8 +6,8 @@ asked for more tokens than it has (its documents are then all kept).  A document
 kept with its cell's probability, decided by a hash of its id, or of its text where it has none.
 
 Targets are shares: given as dicts, or tempered from the data (share ``** temperature``,
-normalised).  Topics: column ``topic`` if the documents have one, else a topic by
-form: ``table``, ``symbols``, ``numeric``, ``long`` or ``prose``.
+normalised).  Topics: column ``topic`` if the documents have one, else clusters of their words (``topics``), or
+with ``topics_by="form"`` the form of the text: ``table``, ``symbols``, ``numeric``, ``long`` or ``prose``.
 
 Cells are collected to the driver when they are at most ``max_cells``; beyond that
 the same raking runs as DataFrame aggregations.  Both ways give the same weights.
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataview.llm.staging import stage
+from strataview.llm.topics import fit_topics, topic_of, with_vectors
 
 MARGINS = ("source", "lang", "topic")
 NULL = "\x00null"
@@ -111,21 +112,24 @@ def uniform(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(2**53))
 
 
-def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPLE_SHARE, seed: int = 17, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPLE_SHARE, seed: int = 17, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, keep: tuple[str, ...] = (), topics_by: str = "words") -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept; and the columns ``keep`` of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit(NULL)) if "topic" in docs.columns else form_topic(text)
     doc_id = F.col("doc_id").cast("long")
-    labelled = docs.select(
+    columns = [
         doc_id.alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit(NULL)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NULL)).alias("lang"),
-        topic.alias("topic"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
         F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(doc_id).alias("draw"),
         *keep,
-    )
-    labelled = stage(labelled, "mix-rows")
+    ]
+    if "topic" in docs.columns or topics_by == "form":
+        topic = F.coalesce(F.col("topic").cast("string"), F.lit(NULL)) if "topic" in docs.columns else form_topic(text)
+        tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens")
+        labelled = stage(docs.select(*columns, tokens, topic.alias("topic")), "mix-rows")
+    else:
+        vectored = stage(with_vectors(docs.select(*columns, text.alias("text"))), "mix-rows")
+        labelled = vectored.withColumn("topic", topic_of(fit_topics(vectored), F.col("vector"))).drop("vector")
     cells = stage(labelled.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     raked = rake_cells(cells, given, share, max_cells, rounds).select(*MARGINS, "probability")
     if cells.limit(max_cells + 1).count() <= max_cells:
