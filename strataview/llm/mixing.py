@@ -6,8 +6,8 @@ asked for more tokens than it has (its documents are then all kept).  A document
 kept with its cell's probability, decided by a hash of its id, or of its text where it has none.
 
 Targets are shares: given as dicts, or tempered from the data (share ``** temperature``,
-normalised).  Topics: column ``topic`` if the documents have one, else clusters of their words (``topics``), or
-with ``topics_by="form"`` the form of the text: ``table``, ``symbols``, ``numeric``, ``long`` or ``prose``.
+normalised).  Topics: column ``topic`` if the documents have one, else the form of the text:
+``table``, ``symbols``, ``numeric``, ``long`` or ``prose``; with ``topics_by="words"`` clusters of words over all documents (``topics``).
 
 Cells are collected to the driver when they are at most ``max_cells``; beyond that
 the same raking runs as DataFrame aggregations.  Both ways give the same weights.
@@ -112,8 +112,10 @@ def uniform(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(2**53))
 
 
-def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPLE_SHARE, seed: int = 17, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, keep: tuple[str, ...] = (), topics_by: str = "words") -> DataFrame:
+def mix_sources(docs: DataFrame, given: dict | None = None, share: float = SAMPLE_SHARE, seed: int = 17, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, keep: tuple[str, ...] = (), topics_by: str = "form") -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept; and the columns ``keep`` of ``docs``."""
+    if topics_by not in ("form", "words"):
+        raise ValueError(f"topics_by is form or words, not {topics_by!r}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     columns = [

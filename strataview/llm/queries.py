@@ -25,7 +25,7 @@ from strataview.llm.warc import round_trip
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return mix_sources(read_documents(spark, sf_dir))
+    return mix_sources(read_documents(spark, sf_dir), topics_by="words")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

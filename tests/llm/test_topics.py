@@ -57,11 +57,11 @@ def test_vocabularies_part(spark):
 
 
 def test_awkward_documents(spark):
-    mixed = mix_sources(frame(spark)).collect()
+    mixed = mix_sources(frame(spark), topics_by="words").collect()
     topics = {r.doc_id: r.topic for r in mixed}
     assert topics[5] == topics[6] == topics[7] == "none"  # empty, null, blanks
     assert topics[0] == topics[1] == topics[2] == topics[3] and topics[8] == topics[9]  # same words, same topic
     assert len(mixed) == frame(spark).count() and all(0 <= r.probability <= 1 for r in mixed)
     none = spark.createDataFrame([], DOC)
-    assert mix_sources(none).collect() == []
-    assert {r.topic for r in mix_sources(frame(spark), topics_by="form").collect()} <= {"table", "symbols", "numeric", "long", "prose"}
+    assert mix_sources(none, topics_by="words").collect() == []
+    assert {r.topic for r in mix_sources(frame(spark)).collect()} <= {"table", "symbols", "numeric", "long", "prose"}
