@@ -72,8 +72,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that their tokens meet the source, language and topic targets; rows without id are drawn by their texts."""
+    small_batches(spark)
     rows = numbered(docs, ROW)
-    return without(rows, mix_sources(rows, keep=(ROW,)).where("not kept"))
+    return without(rows, mix_sources(rows, keep=(ROW,), topics_by="words").where("not kept"))
 
 
 STAGES = [
