@@ -63,3 +63,25 @@ def test_ids_with_several_labels_and_texts(spark):
         sample, prior = toxicity.labelled_sample(cases.frame(spark, data), label_frame(spark, labels), fit_toxic=3, fit_clean=100)
         assert sorted(sample["toxic"].to_pylist()) == [0] * 10 + [1] * 3 and prior == 0.75
         assert set(sample["text"].to_pylist()) == {"two"} and set(sample["lang"].to_pylist()) == {"de"}
+
+
+def test_long_texts_are_learned(spark):
+    """Words that stand in long labelled texts alone count: no labelled row is left out of the fit."""
+    data, labels = corpus(400)
+    long = [(k, " ".join(["grimmest", *["plain"] * 2500]) if k % 2 else " ".join(["plain"] * 2500), "en", "a", 0, "", "", "") for k in range(1000, 1080)]
+    short = [(k, "grimmest word7 word9" if k % 2 else "plain word7 word9", "en", "a", 0, "", "", "") for k in range(2000, 2020)]
+    known = label_frame(spark, [*labels, *((r[0], 1, r[0] % 2) for r in long)])
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(cases.frame(spark, [*data, *long, *short]), known).collect()}
+    assert all(got[r[0]] == r[0] % 2 for r in short)
+
+
+def test_blocks_of_rows(spark, monkeypatch):
+    """Every labelled row is in one block, and a model averaged over blocks tells held-out rows."""
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 150)
+    data, labels = corpus()
+    rows = toxicity.labelled_rows(cases.frame(spark, data), label_frame(spark, labels))
+    assert {r["__id"] for r in rows.collect()} == {d for d, _, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2}
+    assert rows.count() == rows.select("__id").distinct().count() and rows.select("block").distinct().count() == 5
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(cases.frame(spark, data), label_frame(spark, labels)).collect()}
+    held = [got[d] == y for d, _, y in labels if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert sum(held) / len(held) > 0.93
