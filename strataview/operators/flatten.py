@@ -76,12 +76,17 @@ def facts_of(v: Column, dtype: T.DataType, path: Column, name: str, categorical:
     return F.array(scalar_fact(v, dtype, path, label in categorical))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once; an expression that a lambda names twice is computed twice."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def variant_facts(v: Column, path: Column, depth: int | None) -> Column:
     """Facts of a variant and of all that it holds, level by level until a level is empty.
 
     The levels are folded in one expression whose size does not grow with them: the state is the next level's values and
     the facts so far.  A value cannot have more levels than its text has opening brackets.  With ``depth``
-    levels below that are not looked into.
+    levels below that are not looked into.  Each value is opened once; what it holds serves its fact and the next level.
     """
     text = v.cast("string")
     brackets = F.coalesce(F.length(text) - F.length(F.translate(text, "[{", "")), F.lit(0))
@@ -90,45 +95,62 @@ def variant_facts(v: Column, path: Column, depth: int | None) -> Column:
     start = F.struct(F.array(F.struct(path.alias("path"), v.alias("v"))).alias("level"), none.alias("facts"))
 
     def step(state: Column, at: Column) -> Column:
-        own = F.transform(state["level"], lambda x: _variant_fact(x["v"], x["path"], at > levels))
-        below = F.flatten(F.transform(state["level"], lambda x: _variant_parts(x["v"], x["path"])))
-        return F.when(F.size(state["level"]) == 0, state).otherwise(F.struct(F.when(at > levels, F.slice(state["level"], 1, 0)).otherwise(below).alias("level"), F.concat(state["facts"], own).alias("facts")))
+        # below the last level that brackets allow there are no lists, so the asked depth alone cuts
+        cut = F.lit(False) if depth is None else at > depth
+        opened = F.transform(state["level"], lambda x: _let(_opened(x["v"], x["path"]), _described))
+
+        def folded(held: Column) -> Column:
+            own = F.transform(held, lambda x: _variant_fact(x, cut))
+            below = F.flatten(F.transform(held, _variant_parts))
+            below = below if depth is None else F.when(cut, F.slice(state["level"], 1, 0)).otherwise(below)
+            return F.struct(below.alias("level"), F.concat(state["facts"], own).alias("facts"))
+
+        return F.when(F.size(state["level"]) == 0, state).otherwise(_let(opened, folded))
 
     return F.aggregate(F.sequence(F.lit(1), levels + 1), start, step, lambda state: state["facts"])
 
 
-def _variant_parts(v: Column, path: Column) -> Column:
+def _opened(v: Column, path: Column) -> Column:
+    """A variant with what it holds: ``items`` of a list, ``entries`` of a map."""
+    return F.struct(path.alias("path"), v.alias("v"), v.try_cast("array<variant>").alias("items"), v.try_cast("map<string,variant>").alias("entries"))
+
+
+def _described(x: Column) -> Column:
+    """An opened variant with its kind; the kind of a list or map is not derived from all that it holds."""
+    kind = F.when(x["items"].isNotNull(), "ARRAY").when(x["entries"].isNotNull(), "OBJECT").otherwise(F.schema_of_variant(x["v"]))
+    text = F.when(x["entries"].isNull(), x["v"].cast("string"))
+    return F.struct(*(x[name].alias(name) for name in ("path", "v", "items", "entries")), kind.alias("kind"), text.alias("text"))
+
+
+def _variant_parts(x: Column) -> Column:
     """(path, v) of what a list or map holds; empty for anything else."""
-    kind = F.schema_of_variant(v)
-    items = F.transform(v.try_cast("array<variant>"), lambda x: F.struct(F.concat(path, F.lit("[]")).alias("path"), x.alias("v")))
-    entries = F.transform(F.map_entries(v.try_cast("map<string,variant>")), lambda e: F.struct(F.concat(path, F.lit("."), step_column(e["key"])).alias("path"), e["value"].alias("v")))
+    items = F.transform(x["items"], lambda y: F.struct(F.concat(x["path"], F.lit("[]")).alias("path"), y.alias("v")))
+    entries = F.transform(F.map_entries(x["entries"]), lambda e: F.struct(F.concat(x["path"], F.lit("."), step_column(e["key"])).alias("path"), e["value"].alias("v")))
     none = F.array().cast("array<struct<path:string,v:variant>>")
-    return F.coalesce(F.when(kind.startswith("ARRAY"), items).when(kind.startswith("OBJECT"), entries), none)
+    return F.coalesce(items, entries, none)
 
 
-def _variant_fact(v: Column, path: Column, cut: Column) -> Column:
+def _variant_fact(x: Column, cut: Column) -> Column:
     """The fact of a variant itself: its class depends on the value at hand."""
-    kind = F.schema_of_variant(v)
-    text = v.cast("string")
+    v, kind, text = x["v"], x["kind"], x["text"]
     integer, number = v.try_cast("bigint"), v.try_cast("double")
-    whole = kind.rlike(r"^DECIMAL\(\d+,0\)$")  # integers beyond bigint
-    is_list, is_map = kind.startswith("ARRAY"), kind.startswith("OBJECT")
-    length = F.when(is_list, F.size(v.try_cast("array<variant>")))
+    is_list, is_map, is_decimal = kind == "ARRAY", kind == "OBJECT", kind.startswith("DECIMAL")
+    length = F.size(x["items"])
     name = (
         F.when(v.isNull() | (kind == "VOID"), F.lit("null"))
         .when(is_map, F.lit("map"))
         .when(is_list & cut, F.lit("list"))
         .when(is_list, F.when(length == 0, "[]").otherwise("nonempty_list"))
         .when(kind == "BOOLEAN", F.lit("boolean"))
-        .when(kind == "BIGINT", integer_class(integer))
-        .when(whole, integer_class(v.try_cast("decimal(38,0)")))
-        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.lit("float"))
+        .when(kind == "BIGINT", _let(integer, integer_class))
         .when(kind == "STRING", F.when(F.octet_length(text) == 0, "<<>>").otherwise("binary"))
+        .when(is_decimal & kind.endswith(",0)"), integer_class(v.try_cast("decimal(38,0)")))  # integers beyond bigint
+        .when((kind == "DOUBLE") | is_decimal, F.lit("float"))
         .otherwise("term")
     )
-    size = F.when(kind == "STRING", F.octet_length(text).cast("bigint") * 8).when(~cut & (length > 0), length.cast("bigint"))
-    is_number = (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
-    return _fact(path, name, F.when((kind != "VOID") & ~is_map, text), F.when(kind == "BIGINT", integer), F.when(is_number, number), size)
+    size = F.when(kind == "STRING", F.octet_length(text).cast("bigint") * 8).when(is_list & ~cut & (length > 0), length.cast("bigint"))
+    is_number = (kind == "BIGINT") | (kind == "DOUBLE") | is_decimal
+    return _fact(x["path"], name, F.when((kind != "VOID") & ~is_map, text), F.when(kind == "BIGINT", integer), F.when(is_number, number), size)
 
 
 def facts(df: DataFrame, value: Column, dtype: T.DataType, name: str = "row", categorical=(), keep=(), depth: int | None = VARIANT_DEPTH) -> DataFrame:

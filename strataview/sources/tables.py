@@ -46,9 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan with at least as many partitions as tasks can run; only inputs of very few splits are dealt anew."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """A plain scan whose rows lie in at least as many partitions as tasks can run; only inputs of few splits are dealt anew.
+
+    Where there are fewer than two splits a core, Spark has cut files into as many pieces as cores, and a piece without the middle of a
+    row group is empty, so the number of splits says nothing of the rows in each.
+    """
+    cores, splits = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    return scan.repartition(cores if splits < cores else 2 * cores) if splits < 2 * cores else scan
 
 
 def read_log(spark: SparkSession, path: str, schema: str | T.StructType, header: Column | None = None) -> tuple[DataFrame, DataFrame]:

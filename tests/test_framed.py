@@ -157,3 +157,10 @@ def test_moves_follow_the_fields(spark):
     assert [r["path"] for r in neighbour_of(spec.nodes, "$.zeta", 1, fields).collect()] == ["$.alpha"]
     assert neighbour_of(spec.nodes, "$.zeta", -1, fields).collect() == []
     assert rows(siblings_of(spec.nodes, "$.m.q", fields).select("path", "place")) == [("$.m.p", 1), ("$.m.q", 2)]
+
+
+def test_a_variant_is_opened_once():
+    """The kind of a value, for which all that it holds is read, stands once in the expression of its facts, and never for a list or map."""
+    from strataview.operators.flatten import variant_facts
+
+    assert str(variant_facts(F.col("v"), F.lit("$"), None)).count("schema_of_variant") == 1
