@@ -1,12 +1,13 @@
 """Profiling: from a DataFrame and a probe to a spec.
 
-One scan of the facts fills a state for each node and task (``operators.accumulate``); these are kept, and all tables of the spec are
+One scan of the facts fills a state for each node and task (``operators.accumulate``); these are written once, and all tables of the spec are
 merges of them.  Nothing but states is shuffled, and nothing is broadcast.
 """
 
 from __future__ import annotations
 
 import datetime
+import uuid
 from dataclasses import asdict
 from functools import reduce
 
@@ -25,6 +26,7 @@ from strataview.plans.options import Options, make_options
 from strataview.plans.progress import Progress, Report, status_line
 from strataview.plans.selectors import normalize_probe, select
 from strataview.plans.spec import RawSpec, united_meta
+from strataview.sources.tables import shared_folder
 
 
 def probe_facts(df: DataFrame, probe=0, options: Options | None = None, where=None) -> DataFrame:
@@ -68,7 +70,18 @@ def fixed_rows(df: DataFrame) -> DataFrame:
 
 def states_of(df: DataFrame, probe, options: Options, where=None, count=None) -> DataFrame:
     """Node states of the records of ``df``, which is read once; ``count``: an accumulator of records."""
-    return node_states(probe_facts(df, probe, options, where), options.hll_b, options.sample_size, bool(options.samples), count)
+    found = probe_facts(df, probe, options, where)
+    if not options.hll_b and not options.samples:
+        found = found.withColumn("h", F.lit(None).cast("long"))  # hashes serve sketches and samples alone
+    return node_states(found, options.hll_b, options.sample_size, bool(options.samples), count)
+
+
+def kept_states(states: DataFrame) -> DataFrame:
+    """``states`` filled by one job and written; the merges of a spec run side by side and would each fill states that are not there yet."""
+    spark = states.sparkSession
+    path = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    states.write.parquet(path)
+    return spark.read.schema(states.schema).parquet(path)
 
 
 def meta_of(df: DataFrame, probe, options: Options) -> dict:
@@ -104,17 +117,19 @@ def cut_paths(spec: RawSpec, options: Options) -> list[str]:
 def profile(df: DataFrame, probe=0, where=None, report: Report = status_line, **given) -> RawSpec:
     """Profile ``df``: ``probe`` is a selector or (selector, {"ts": ..., "key": ...}).
 
-    With the option ``progress`` the input is read at once, while ``report(records, seconds)`` is called at that interval.
+    The input is read at once, and only once; with the option ``progress``, ``report(records, seconds)`` is called at that interval meanwhile.
     """
     options = make_options(**given)
     meta = meta_of(df, probe, options)
     if options.limit is not None:
         df = fixed_rows(df.limit(options.limit))
     count = df.sparkSession.sparkContext.accumulator(0) if options.progress else None
-    states = states_of(df, probe, options, where, count).persist(StorageLevel.MEMORY_AND_DISK)
+    states = states_of(df, probe, options, where, count)
     if count is not None:
         with Progress(count, float(options.progress), report):
-            states.write.format("noop").mode("overwrite").save()
+            states = kept_states(states)
+    else:
+        states = kept_states(states)
     spec = spec_of(states, options, meta)
     if options.output_path:
         spec = spec.with_meta(processed=df.count(), ended=datetime.datetime.now(datetime.timezone.utc).isoformat(), truncated=cut_paths(spec, options))
@@ -138,7 +153,7 @@ def profile_variants(variants: list[DataFrame], probe=0, where=None, **given) ->
             df = fixed_rows(df.limit(left))
             left -= df.count()
         kept.append(df)
-    states = reduce(DataFrame.unionByName, (states_of(df, probe, options, where) for df in kept)).persist(StorageLevel.MEMORY_AND_DISK)
+    states = kept_states(reduce(DataFrame.unionByName, (states_of(df, probe, options, where) for df in kept)))
     spec = spec_of(states, options, meta)
     if options.output_path:
         ended = datetime.datetime.now(datetime.timezone.utc).isoformat()
