@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from strataview.functions.hierarchy import RANK
 from strataview.operators import merge as M
 from strataview.operators.sketches import NODE, merge_registers
+from strataview.sources.tables import small_batches
 
 INTEGERS = ("0", "byte", "char", "non_neg_integer", "neg_integer")
 NUMBERS = (*INTEGERS, "float", "decimal", "number", "integer")
 TEXTS = ("binary", "<<>>", "atom", "boolean", "timestamp", "date")
 HISTOGRAMS = ("binary", "<<>>", "nonempty_list", "improper_list")
 DICTIONARIES = ("atom", "boolean")
-#: Facts that are handled at once, and entries after which a task returns its states.
-AT_ONCE, HELD = 60_000, 200_000
+#: Facts, and bytes of facts, that are handled at once, and entries after which a task returns its states.
+AT_ONCE, BYTES, HELD = 60_000, 16 << 20, 200_000
 NO_SPAN = (None, None)
 
 
@@ -298,6 +299,16 @@ def accumulate(table: pa.Table, states: dict[tuple[str, str], State], b: int | N
             state.count_sizes(sizes[rows][sizes[rows] >= 0])
 
 
+def in_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in halves of halves, until each is within ``BYTES`` or a single fact."""
+    if batch.nbytes <= BYTES or batch.num_rows <= 1:
+        yield batch
+        return
+    middle = batch.num_rows // 2
+    yield from in_bytes(batch.slice(0, middle))
+    yield from in_bytes(batch.slice(middle))
+
+
 def node_states(facts: DataFrame, b: int | None, k: int | None, sampled: bool = True, count=None) -> DataFrame:
     """States of the nodes of ``facts``, one or more for each task and node; ``count``: an accumulator of records."""
     kinds = {f.name: f.dataType.simpleString() for f in facts.schema.fields}
@@ -327,6 +338,7 @@ def node_states(facts: DataFrame, b: int | None, k: int | None, sampled: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple[str, str], State] = {}
         waiting: list[pa.RecordBatch] = []
+        held = 0
         kind = None
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -335,18 +347,20 @@ def node_states(facts: DataFrame, b: int | None, k: int | None, sampled: bool =
             for at in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[at : at + 1000], kind)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_bytes(whole)):
             kind = kind or schema(batch.schema.field("__ts").type, batch.schema.field("__key").type)
             waiting.append(batch)
-            if sum(x.num_rows for x in waiting) >= AT_ONCE:
+            held += batch.nbytes
+            if held >= BYTES or sum(x.num_rows for x in waiting) >= AT_ONCE:
                 add(waiting, states)
-                waiting = []
+                waiting, held = [], 0
                 if sum(s.entries() for s in states.values()) > HELD:
                     yield from flush()
         if waiting:
             add(waiting, states)
         yield from flush()
 
+    small_batches(facts.sparkSession)
     return facts.select("path", "class", "vtext", "inum", "num", "len", "h", "__ts", "__key").mapInArrow(run, ddl)
 
 

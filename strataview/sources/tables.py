@@ -55,6 +55,18 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores if splits < cores else 2 * cores) if splits < 2 * cores else scan
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes from now on, unless the session has a lower bound; whole texts come in batches of 10,000 otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def read_log(spark: SparkSession, path: str, schema: str | T.StructType, header: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """An append-only log of JSON lines: (records, number of damaged lines); ``header`` rows are skipped."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
