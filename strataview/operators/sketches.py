@@ -15,8 +15,10 @@ def register_index(h: Column, b: int) -> Column:
 def register_rank(h: Column, b: int) -> Column:
     """Leading zeros of the hash's low bits, plus one."""
     width = 32 - b
-    low = h.bitwiseAND(F.lit((1 << width) - 1))
-    return F.when(low == 0, F.lit(width + 1)).otherwise(F.lit(width + 1) - F.length(F.bin(low))).cast("int")
+    low = h.bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    for by in (1, 2, 4, 8, 16):  # all bits below the first one are set, then counted: no texts are made
+        low = low.bitwiseOR(F.shiftright(low, by))
+    return (F.lit(width + 1) - F.bit_count(low)).cast("int")
 
 
 def alpha(b: int) -> float:
