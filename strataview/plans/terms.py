@@ -1,7 +1,8 @@
 """A spec of terms that the caller adds one by one.
 
-Terms wait on the driver; once ``at_once`` terms or ``CHARS`` characters are held, they become a small DataFrame of variants, whose
-node states are written to the shared folder.  So the driver holds a bounded part, and the spec is the merge of the states.
+Terms wait on the driver; once ``at_once`` terms or ``CHARS`` characters are held, they are written to the shared folder.  When a spec is asked
+for, or ``FOLD`` such parts are there, one job over all parts fills node states, which are written too.  So the driver holds a bounded part, and
+the spec is the merge of the states.
 Terms are Python values: numbers, booleans, None, texts, lists and tuples, and dicts with text keys, nested to any depth.
 """
 
@@ -20,6 +21,8 @@ from strataview.plans.spec import RawSpec
 from strataview.sources.tables import shared_folder
 
 CHARS = 16 << 20
+#: Parts whose node states are filled by one job.
+FOLD = 500
 
 
 def text_of(term: Any) -> str:
@@ -43,6 +46,7 @@ class TermSpec:
         self.options = make_options(**{"limit": None, **options})
         self.path = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
         self._held: list[tuple] = []
+        self._parts: list[str] = []
         self._chars = self._spills = self.processed = 0
         self._meta: dict | None = None
 
@@ -55,16 +59,28 @@ class TermSpec:
             self.spill()
 
     def spill(self) -> None:
-        """Turn what is held into node states."""
+        """Write what is held."""
         if not self._held and self._spills:
             return
-        rows = self.spark.createDataFrame(self._held, self.schema).withColumn("term", F.parse_json("term"))
+        rows = self.spark.createDataFrame(self._held, self.schema)
+        self._parts.append(f"{self.path}/terms-{self._spills}")
+        rows.coalesce(1).write.mode("overwrite").parquet(self._parts[-1])
+        self._held, self._chars, self._spills = [], 0, self._spills + 1
+        if len(self._parts) >= FOLD:
+            self.fold()
+
+    def fold(self) -> None:
+        """Turn the parts into node states."""
+        if not self._parts:
+            return
+        rows = self.spark.read.schema(self.schema).parquet(*self._parts).withColumn("term", F.parse_json("term"))
         probe = ("term", {"ts": "ts", "key": "key"})
         self._meta = self._meta or meta_of(rows, probe, self.options)
-        states_of(rows, probe, self.options).write.mode("append").parquet(self.path)
-        self._held, self._chars, self._spills = [], 0, self._spills + 1
+        states_of(rows, probe, self.options).write.mode("append").parquet(f"{self.path}/states")
+        self._parts = []
 
     def spec(self) -> RawSpec:
         """The spec of all terms added so far; more may be added after it."""
         self.spill()
-        return spec_of(self.spark.read.parquet(self.path), self.options, {**self._meta, "processed": self.processed})
+        self.fold()
+        return spec_of(self.spark.read.parquet(f"{self.path}/states"), self.options, {**self._meta, "processed": self.processed})
